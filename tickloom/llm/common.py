@@ -42,8 +42,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def row_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

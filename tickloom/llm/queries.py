@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tickloom.llm.bpe import op5_bpe
 from tickloom.llm.chat import OP4_SQL, op4_chat_formatting
+from tickloom.llm.classifier import op7_quality_classifier
 from tickloom.llm.fingerprints import OP6_SQL, op6_document_fingerprints
 from tickloom.llm.mixing import op10_mix_sources
+from tickloom.llm.token_files import op3_token_files
 from tickloom.llm.url_filter import OP8_SQL, op8_url_filters
 
-_QUERIES = (op4_chat_formatting, op6_document_fingerprints, op8_url_filters, op10_mix_sources)
+_QUERIES = (op3_token_files, op4_chat_formatting, op5_bpe, op6_document_fingerprints, op7_quality_classifier, op8_url_filters, op10_mix_sources)
 
 
 def queries() -> dict:
