@@ -3,8 +3,8 @@
 Rules are (host/path, action). A rule fits its host and every subdomain when the url's path starts with the rule's
 path; the longest fitting rule wins. Every (host suffix, path prefix) of a url that could equal a rule is hashed and
 looked up with numpy.searchsorted; a hit counts only when the stored rule string itself equals the probe, so digest
-collisions cannot decide. The three index files are shipped with SparkContext.addFile, and each Python worker maps
-them from its executor's local copy.
+collisions cannot decide. The index is one file, shipped with SparkContext.addFile, and each Python worker maps
+its executor's copy.
 
 Defined cases: null url or one without "://": host and path are empty, no rule fits. Equal rules: the last listed wins.
 Repeated page rows give repeated results. An empty table or empty rule list gives no rows / only defaults. Further
@@ -13,7 +13,6 @@ columns of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
@@ -28,8 +27,11 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def build_index(rules: list[tuple[str, str]], folder: str) -> None:
-    """Writes keys.u64 (sorted digests), spans.i64 (offset, end, action per key), strings.bin, meta.json into folder."""
+def build_index(rules: list[tuple[str, str]], path: str) -> None:
+    """Writes the index file: int64 header (keys, path lengths, string bytes), path lengths, sorted digests, spans, strings.
+
+    A span is (start, end, 1 if the action is allow) of a key's rule among the strings.
+    """
     unique = dict(rules)
     entries = sorted((xxhash.xxh64_intdigest(rule.encode()), rule, action) for rule, action in unique.items())
     blob, spans = bytearray(), []
@@ -37,27 +39,25 @@ def build_index(rules: list[tuple[str, str]], folder: str) -> None:
         start = len(blob)
         blob += rule.encode()
         spans.append((start, len(blob), int(action == "allow")))
-    os.makedirs(folder, exist_ok=True)
-    np.array([e[0] for e in entries], np.uint64).tofile(f"{folder}/keys.u64")
-    np.array(spans, np.int64).reshape(-1, 3).tofile(f"{folder}/spans.i64")
-    with open(f"{folder}/strings.bin", "wb") as f:
-        f.write(blob)
     lengths = sorted({len(rule) - len(rule.partition("/")[0]) for rule in unique})
-    with open(f"{folder}/meta.json", "w") as f:
-        json.dump({"n": len(entries), "path_lengths": lengths}, f)
+    with open(path, "wb") as f:
+        f.write(np.array([len(entries), len(lengths), len(blob), *lengths], np.int64).tobytes())
+        f.write(np.array([e[0] for e in entries], np.uint64).tobytes())
+        f.write(np.array(spans, np.int64).tobytes())
+        f.write(blob)
 
 
 class DigestIndex:
-    """The index files of build_index(), memory-mapped."""
+    """The index file of build_index(), memory-mapped."""
 
-    def __init__(self, folder: str):
-        with open(f"{folder}/meta.json") as f:
-            meta = json.load(f)
-        self.path_lengths = meta["path_lengths"]
-        n = meta["n"]
-        self.keys = np.memmap(f"{folder}/keys.u64", np.uint64, "r") if n else np.zeros(0, np.uint64)
-        self.spans = np.memmap(f"{folder}/spans.i64", np.int64, "r").reshape(-1, 3) if n else np.zeros((0, 3), np.int64)
-        self.blob = np.memmap(f"{folder}/strings.bin", np.uint8, "r") if n else np.zeros(0, np.uint8)
+    def __init__(self, path: str):
+        raw = np.memmap(path, np.uint8, "r")
+        n, n_lengths, n_blob = (int(v) for v in raw[:24].view(np.int64))
+        ends = np.cumsum([24, 8 * n_lengths, 8 * n, 24 * n, n_blob])
+        self.path_lengths = [int(v) for v in raw[ends[0] : ends[1]].view(np.int64)]
+        self.keys = raw[ends[1] : ends[2]].view(np.uint64)
+        self.spans = raw[ends[2] : ends[3]].view(np.int64).reshape(-1, 3)
+        self.blob = raw[ends[3] : ends[4]]
 
     def find(self, probes: np.ndarray) -> np.ndarray:
         """For each probe string the index of the rule equal to it, or -1."""
@@ -110,9 +110,10 @@ _open: dict[str, DigestIndex] = {}
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id, host, path, rule (null if none fits) and verdict of each url; default: the verdict of urls not in the index."""
     spark = pages.sparkSession
-    folder = os.path.join(tempfile.mkdtemp(), name := f"url-index-{uuid.uuid4().hex}")
-    build_index(rules, folder)
-    spark.sparkContext.addFile(folder, recursive=True)
+    name = f"url-index-{uuid.uuid4().hex}"
+    path = os.path.join(tempfile.mkdtemp(), name)
+    build_index(rules, path)
+    spark.sparkContext.addFile(path)
 
     @F.pandas_udf("rule string, verdict string")
     def judged(host: pd.Series, path: pd.Series) -> pd.DataFrame:
