@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS_PER_ROWS = 20_000
 
 
 def source_targets(sizes: DataFrame, max_repeats: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -122,7 +121,7 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: i
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("key"), *keep)
     targets = source_targets(base.select("source", "size"), max_repeats, weights)
-    spread = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKETS_PER_ROWS))
+    spread = F.ceil(F.sqrt("n_docs"))  # buckets and rows in a bucket grow alike
     placed = (
         base.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .drop("of")
