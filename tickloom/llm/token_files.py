@@ -12,7 +12,7 @@ codes follow from the lengths (shorter first, then by id), none longer than 16 b
 Decoding needs nothing but a block and the lengths: a 65,536-entry table gives id and length for any 16 bits, and all
 checkpoints of a block are decoded side by side, one id each per step.
 
-Tokenising: the tokenizers library, called once per distinct pre-token of a task's batches. Texts with characters outside
+Tokenising: the tokenizers library, called once per distinct piece between spaces of a task's batches. Texts with characters outside
 the blocks where its Unicode tables are known to agree with Python's regex module go through it whole.
 
 Defined cases: null or empty text gives only the end id; repeated doc_ids stay separate, ordered by text; a null doc_id
@@ -39,13 +39,19 @@ from tickloom.llm.common import removed, shared_dir
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 17
-CACHE = 400_000
-#: The pre-token pattern of byte-level BPE vocabularies.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CACHE = 800_000
+RARE_SPACE = regex.compile(r"[^\S \n]")
+#: A space with white space, or the text's end, on both sides.
+BETWEEN = regex.compile(r"\s \s|\s $")
 
 
 class CachedTokenizer:
-    """encode() of the tokenizers library, with a cache by pre-token."""
+    """encode() of the tokenizers library, with a cache by the pieces between single spaces.
+
+    A byte-level pre-tokenizer never joins what stands before a space with what follows it, unless the space has white
+    space on its left and on its right (or the text's end); texts with such a space, with special tokens or with
+    unusual characters go through the library whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,23 +59,63 @@ class CachedTokenizer:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, list[int]] = {}
-
-    def library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        odd = [bool(UNUSUAL.search(t)) or any(s in t for s in self.special) for t in texts]
-        whole = iter(self.library([t for t, o in zip(texts, odd, strict=True) if o]))
-        parts = [None if o else PRE_TOKEN.findall(t) for t, o in zip(texts, odd, strict=True)]
-        new = set().union(*(p for p in parts if p)).difference(self.known)
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.width = np.zeros(self.size, np.int64)  # bytes that a token stands for: one for each character of its name
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
+        self.known: dict[str, bytes] = {}  # by piece, without the space before it, which the ids include
+
+    def odd(self, text: str) -> bool:
+        """Whether a text must go through the library whole."""
+        if UNUSUAL.search(text) or any(t in text for t in self.special):
+            return True
+        # Most texts hold neither rare white space nor a space after white space.
+        return bool(("  " in text or "\n " in text or RARE_SPACE.search(text)) and BETWEEN.search(text))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def separately(self, words: list[str], before: str, chunk: int = 2000) -> list[bytes]:
+        """The ids of each word, `before` in front of it and not counted unless it is a space.
+
+        Words without white space at either end go many in one text, which is cut where the bytes of its tokens add up
+        to those of the words; others, and texts where they don't add up, go singly.
+        """
+        counted = before == " "
+        got: list[bytes] = [b""] * len(words)
+        joined = [i for i, w in enumerate(words) if w and not w[0].isspace() and not w[-1].isspace()]
+        single = [i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()]
+        chunks = [joined[k : k + chunk] for k in range(0, len(joined), chunk)]
+        texts = [before + before.join([words[i] for i in c]) for c in chunks]
+        size = np.dtype(self.kind).itemsize
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            reached, ends = np.cumsum(self.width[ids]), np.cumsum([len(words[i].encode()) + 1 for i in c])
+            last = np.searchsorted(reached, ends)
+            first = np.append(0, last[:-1] + 1) if counted else np.searchsorted(reached, np.append(0, ends[:-1]) + 1) + 1
+            if reached[-1] != ends[-1] or not np.array_equal(reached[last], ends) or not counted and not np.array_equal(reached[first - 1], np.append(0, ends[:-1]) + 1):
+                single += c
+                continue
+            data = ids.astype(self.kind).tobytes()
+            for i, a, b in zip(c, (first * size).tolist(), ((last + 1) * size).tolist(), strict=True):
+                got[i] = data[a:b]
+        for i, x in zip(single, self.whole([(before if counted else "") + words[i] for i in single]), strict=True):
+            got[i] = x
+        return got
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers of 16 bits, or 32 for larger vocabularies."""
+        odd = [self.odd(t) for t in texts]
+        whole = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        parts: list[list[str] | None] = [None if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        firsts = iter(self.separately([p.pop(0) for p in parts if p is not None], "\n"))
+        new = list(set().union(*(p for p in parts if p)).difference(self.known))
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = set().union(*(p for p in parts if p))
-        fresh = list(new)
-        self.known.update(zip(fresh, self.library(fresh), strict=True))
+            new = list(set().union(*(p for p in parts if p)))
+        self.known.update(zip(new, self.separately(new, " "), strict=True))
         get = self.known.__getitem__
-        return [next(whole) if p is None else list(chain.from_iterable(map(get, p))) for p in parts]
+        return [next(whole) if p is None else next(firsts) + b"".join(map(get, p)) for p in parts]
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
@@ -176,9 +222,9 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndar
 BLOCKS = "part int, block bigint, doc_ids array<bigint>, doc_tokens array<bigint>, payload binary, checkpoints array<bigint>"
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int | None, slice_chars: int = 8_000_000) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, end_id: int | None, slice_chars: int = 5_000_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 16-bit or, for larger vocabularies, 32-bit), nth, part: ascending doc_id by (part, nth)."""
-    kind = "<u2" if cached_tokenizer(path).size <= 1 << 16 else "<u4"
+    tail = b"" if end_id is None else np.array([end_id], cached_tokenizer(path).kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, nth = cached_tokenizer(path), 0
@@ -189,7 +235,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None, slice_chars: int =
                 while end < len(texts) and (end == at or size + len(texts[end]) <= slice_chars):
                     size += len(texts[end])
                     end += 1
-                got = [np.array(x if end_id is None else [*x, end_id], kind).tobytes() for x in tok.encode(texts[at:end])]
+                got = [x + tail for x in tok.encode(texts[at:end])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(got, pa.binary()), pa.array(range(nth, nth + end - at), pa.int64())], ["doc_id", "ids", "nth"])
                 nth, at = nth + end - at, end
 
@@ -200,7 +246,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None, slice_chars: int =
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | None = 0) -> None:
     """Writes the file set of docs (doc_id, text) into folder; path: the tokenizer's file; end_id follows each document."""
     spark = docs.sparkSession
-    kind = "<u2" if (size := cached_tokenizer(path).size) <= 1 << 16 else "<u4"
+    kind, size = cached_tokenizer(path).kind, cached_tokenizer(path).size
     tokenise(docs, path, end_id).write.option("compression", "zstd").parquet(f"{folder}/tokens")
     tokens = spark.read.schema("doc_id bigint, ids binary, nth bigint, part int").parquet(f"{folder}/tokens")
 
