@@ -34,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import written
+from tickloom.llm.common import touching, written
 
 LENGTH = 400
 HOT = 20_000
-ID_BUCKETS = 1 << 20
 SEGMENT = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
@@ -194,15 +193,6 @@ def classified(found: DataFrame) -> DataFrame:
     return marks.where("repeat or refine").unionByName(local)
 
 
-def touching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be in ids: those that share a hash bucket with one.
-
-    The broadcast holds at most ID_BUCKETS numbers; with more ids than buckets it lets every row pass.
-    """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))
-    return docs.withColumn("__bucket", bucket).join(F.broadcast(ids.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
-
-
 def contexts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """The bytes that each run to refine spans: core, m, doc_id, row, first, data."""
     wanted = marks.where("refine").groupBy("doc_id", "row").agg(F.collect_list(F.struct("core", "m", "first", "last")).alias("runs"))
