@@ -7,12 +7,13 @@ from tickloom.llm.chat import OP4_SQL, op4_chat_formatting
 from tickloom.llm.classifier import op7_quality_classifier
 from tickloom.llm.fingerprints import OP6_SQL, op6_document_fingerprints
 from tickloom.llm.metric_join import op9_embedding_near_dedup
+from tickloom.llm.minhash import op2_minhash_near_dedup
 from tickloom.llm.mixing import op10_mix_sources
 from tickloom.llm.suffix_dedup import op1_suffix_array_dedup
 from tickloom.llm.token_files import op3_token_files
 from tickloom.llm.url_filter import OP8_SQL, op8_url_filters
 
-_QUERIES = (op1_suffix_array_dedup, op3_token_files, op4_chat_formatting, op5_bpe, op6_document_fingerprints, op7_quality_classifier, op8_url_filters, op9_embedding_near_dedup, op10_mix_sources)
+_QUERIES = (op1_suffix_array_dedup, op2_minhash_near_dedup, op3_token_files, op4_chat_formatting, op5_bpe, op6_document_fingerprints, op7_quality_classifier, op8_url_filters, op9_embedding_near_dedup, op10_mix_sources)
 
 
 def queries() -> dict:
