@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.windows import correlation
+
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys, feature, value."""
@@ -46,7 +48,7 @@ def split_drift(df: DataFrame, columns: list[str], split: str, base: str = "trai
 def correlations(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """a, b, r of every pair of columns (a < b), per group of by: all in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
-    wide = (df.groupBy(*by) if by else df.groupBy()).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = (df.groupBy(*by) if by else df.groupBy()).agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     rows = wide.unpivot(by or [], [f"{a}|{b}" for a, b in pairs], "pair", "r")
     return rows.select(*(by or []), F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "r")
 

@@ -35,12 +35,21 @@ def rolling_quantile(x: Column, q: float, w: WindowSpec, n: int, lag: int = 0, m
     return full(F.get(F.array_sort(F.collect_list(x).over(frame)), F.lit(int((n - 1) * q + 0.5))), x, frame, n)
 
 
+def correlation(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson's r of the rows that have both; null without variance (corr() raises there in ANSI mode)."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = (p.over(over) for p in parts) if over is not None else parts
+    return F.try_divide(cov, sx * sy)
+
+
 def rolling_corr(a: Column, b: Column, w: WindowSpec, n: int) -> Column:
     """Clipped to [-1, 1]; 0 where it is not defined."""
     frame = trailing(w, n)
     both = F.when(a.isNotNull() & b.isNotNull(), 1)
     flat = (F.min(a).over(frame) == F.max(a).over(frame)) | (F.min(b).over(frame) == F.max(b).over(frame))
-    c = F.when((F.count(both).over(frame) == n) & ~flat, F.corr(a, b).over(frame))
+    c = F.when((F.count(both).over(frame) == n) & ~flat, correlation(a, b, frame))
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), neutralised(c)))
 
 

@@ -11,6 +11,37 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 DIGITS = 6
+#: Date columns of queries, given as text on both sides: engines hand dates to clients in different types.
+DATES = {
+    "bar_date": (
+        "daily_ohlcv", "rolling_statistics", "rolling_quantiles", "rolling_nearest_rank", "rolling_correlation", "cumulative_windows",
+        "since_significant_move", "lifecycle_segments", "densified_bars", "split_adjusted_bars", "stitched_tickers", "long_histories", "discontinuities",
+        "benchmark_ratio", "candle_features", "return_features", "volatility_features", "volume_features", "money_flow_index", "lag_pack",
+        "rolling_z_scores", "level_deltas", "cross_section_scores", "train_fitted_scaler", "market_breadth", "ratio_regime", "term_structure",
+        "relative_strength", "sector_rotation", "stored_year",
+    ),
+    "execution_date": (
+        "verified_splits",
+    ),
+    "change_date": (
+        "suspect_renames",
+    ),
+    "last_valid": (
+        "survivorship",
+    ),
+    "step": (
+        "buy_and_hold_curve",
+    ),
+    "first_date last_date": (
+        "protocol_segments", "basket_range",
+    ),
+    "train_start train_end valid_start valid_end": (
+        "walk_forward_folds",
+    ),
+    "start_date end_date": (
+        "episode_pool",
+    ),
+}
 
 
 def query(sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Callable[[Query], Query]:
@@ -19,15 +50,18 @@ def query(sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Ca
     columns = doubles.split()
 
     def register(f: Query) -> Query:
+        dates = [c for names, queries in DATES.items() if f.__name__ in queries for c in names.split()]
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
+            df = df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
             return df.withColumns({c: F.floor(F.col(c).cast("double") * 10.0**digits + 0.50013).cast("double") / 10.0**digits for c in columns}) if columns else df
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql is not None:
-            rounded = ", ".join(f"floor(CAST({c} AS DOUBLE) * {10**digits}.0 + 0.50013) / {10**digits}.0 AS {c}" for c in columns)
-            SQL[f.__name__] = f"SELECT * REPLACE ({rounded}) FROM (\n{sql}\n) t" if columns else sql
+            put = [f"floor(CAST({c} AS DOUBLE) * {10**digits}.0 + 0.50013) / {10**digits}.0 AS {c}" for c in columns] + [f"CAST({c} AS VARCHAR) AS {c}" for c in dates]
+            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(put)}) FROM (\n{sql}\n) t" if put else sql
         return run
 
     return register
