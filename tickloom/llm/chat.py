@@ -2,8 +2,9 @@ r"""Chat formatting with a grammar round trip. DataFrame functions only.
 
 Grammar: a conversation is turns; a turn is `### Name: body</turn>\n`, Name being User, Assistant, System or `=` and the
 url-encoded role. Control strings inside texts are escaped by a backslash within them, one more if there are some
-already: `</turn>` becomes `<\/turn>`, `<\/turn>` becomes `<\\/turn>`, `###` becomes `#\##`. An escaped body holds no
-control string, so the parser is one split at `</turn>\n`, and undoing takes one backslash away.
+already: `</turn>` becomes `<\/turn>`, `<\/turn>` becomes `<\\/turn>`, `###` becomes `#\##` (each mark that two more follow
+gets one). An escaped body holds no control string, so the parser is one split at `</turn>\n`, and undoing takes one
+backslash away.
 
 Rendering starts with no text escaped. The rendered text is parsed again, and a piece whose recovered turns differ from
 its source is rendered once more with its texts escaped; then it parses to the same turns (column `identical`).
@@ -24,8 +25,8 @@ PIECE = 256
 END = "</turn>\n"
 #: Control strings, with the backslashes that an escape has put in.
 CONTROL = "</turn>|###"
-ESCAPE = [(r"<(\\*)/turn>", r"<\\$1/turn>"), (r"#(\\*)##", r"#\\$1##")]
-UNESCAPE = [(r"<\\(\\*)/turn>", r"<$1/turn>"), (r"#\\(\\*)##", r"#$1##")]
+ESCAPE = [(r"<(\\*)/turn>", r"<\\$1/turn>"), (r"#(\\*)(?=#\\*#)", r"#\\$1")]
+UNESCAPE = [(r"<\\(\\*)/turn>", r"<$1/turn>"), (r"#\\(\\*)(?=#\\*#)", r"#$1")]
 
 
 def escaped(text: Column) -> Column:
@@ -101,13 +102,15 @@ OP4_SQL = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+h AS (
+  SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace(text, '\\+#', '#', 'g'), '#+'), lambda x: greatest(len(x) - 2, 0))), 0) AS hashes FROM r),
 f AS (
   SELECT *, role || chr(10) || text || chr(10) AS line, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
-         length(regexp_replace(regexp_replace(text, '<(\\*)/turn>', '<\\\1/turn>', 'g'), '#(\\*)##', '#\\\1##', 'g')) AS escaped,
+         length(text) + len(regexp_extract_all(text, '<\\*/turn>')) + hashes AS escaped,
          length(text) AS plain,
          14 + CASE WHEN role IN ('user', 'assistant', 'system') THEN length(role) ELSE 1 + length(url_encode(role)) END AS marks,
-         regexp_matches(text, '<\\*/turn>|#\\*##') AS conflict
-  FROM r),
+         regexp_matches(text, '<\\*/turn>') OR hashes > 0 AS conflict
+  FROM h),
 p AS (
   SELECT conv_id, turn // 256 AS piece,
          bool_or(conflict) AS again,
