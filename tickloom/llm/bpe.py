@@ -32,7 +32,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-CACHE = 400_000
+from tickloom.llm.common import give_back
+
+CACHE = 250_000
 #: Characters outside the blocks that the vocabularies' libraries and Python's regex module are known to treat alike.
 UNUSUAL = regex.compile("[^\u0000-\u02ff\u0390-\u03ff\u0400-\u04ff\u2000-\u206f\u2190-\u21ff\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
 
@@ -195,26 +197,37 @@ def loaded(path: str) -> PairIndexBPE:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, slice_chars: int = 8_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, slice_chars: int = 3_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the vocabulary file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+
+        def encoded(doc_ids: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
             counts, digests, decoded = [], [], []
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= slice_chars):
-                    size += len(texts[end])
-                    end += 1
-                for ids in bpe.encode_batch(texts[at:end]):
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(" ".join(map(bpe.id_text.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                at = end
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for ids in bpe.encode_batch(texts):
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(" ".join(map(bpe.id_text.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            arrays = [pa.concat_arrays(doc_ids), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        # An index over many texts has longer lists: batches are gathered up to slice_chars.
+        held: list[str] = []
+        ids: list[pa.Array] = []
+        size = 0
+        for batch in batches:
+            low = 0
+            for at, text in enumerate(batch.column(1).to_pylist(), 1):
+                held.append(text or "")
+                size += len(held[-1])
+                if size >= slice_chars:
+                    yield encoded([*ids, batch.column(0).slice(low, at - low)], held)
+                    held, ids, size, low = [], [], 0, at
+                    give_back()
+            ids.append(batch.column(0).slice(low))
+        if held:
+            yield encoded(ids, held)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -29,6 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows for the session, unless it has set another size than Spark's default.
+
+    Rows here hold whole texts, so ten thousand of them would take too much of a worker's memory.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, where its C library can do that.
+
+    Workers live on between tasks; without this each keeps the most it ever held.
+    """
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import touching, written
+from tickloom.llm.common import give_back, text_batches, touching, written
 
 LENGTH = 400
 HOT = 20_000
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -170,6 +170,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                          pa.array(spans[1]), pa.array(spans[2]), pa.nulls(k, pa.int64()), pa.array(np.full(k, 2, np.int32))],
                         ["doc_id", "row", "core", "extent", "first", "last", "elected", "n"],
                     )
+            give_back()
 
     return docs.mapInArrow(scan, RUNS)
 
@@ -219,12 +220,13 @@ def _same(a: DataFrame, b: DataFrame):
 def _doubled(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every string in the contexts: its two ranks, by halves, in one number; the context; its start in the context."""
     begins = np.append(0, ends[:-1])
-    grams = Hashes(data).every(length // 2)
+    half = (length + 1) // 2  # of an odd length the halves share a byte
+    grams = Hashes(data).every(half)
     counts = ends - begins - length + 1
     of = np.repeat(np.arange(len(ends)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     where = begins[of] + at
-    return _mixed(grams[where] * np.uint64(3) + _mixed(grams[where + length - length // 2])), of, at
+    return _mixed(grams[where] * np.uint64(3) + _mixed(grams[where + length - half])), of, at
 
 
 SPANS = "doc_id bigint, row int, first bigint, last bigint"
@@ -294,11 +296,15 @@ def refined(found: DataFrame, length: int, hot: int) -> DataFrame:
     return few.unionByName(many)
 
 
-REMOVED = "doc_id bigint, row int, n_removed bigint, n_spans bigint, kept binary"
+REMOVED = "doc_id bigint, row int, n_removed bigint, n_spans bigint, kept {}"
 
 
-def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, row, n_removed, n_spans, kept (bytes) of the documents that lose bytes. docs: doc_id, row, data."""
+def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """doc_id, row, n_removed, n_spans, kept of the documents that lose bytes. docs: doc_id, row, data.
+
+    kept: the remaining bytes, or as_text, without parts of characters at the cuts.
+    """
+    text_batches(docs.sparkSession)
     found = written(runs(docs, length), "runs")
     marks = written(classified(found), "marks")
     spans = refined(written(contexts(docs, marks, length), "contexts"), length, hot)
@@ -316,14 +322,16 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
                 np.add.at(edge, pairs[:, 0], 1)
                 np.add.at(edge, pairs[:, 1] + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                values = (doc_id.as_py(), row.as_py(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), raw[~gone].tobytes())
+                left = raw[~gone].tobytes()
+                values = (doc_id.as_py(), row.as_py(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), left.decode("utf-8", "ignore") if as_text else left)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["doc_id", "row", "n_removed", "n_spans", "kept"])
+            give_back()
 
     joined = touching(docs, lists).join(lists, _same(docs, lists)).select(docs["doc_id"], docs["row"], "data", "spans")
-    return joined.mapInArrow(remove, REMOVED)
+    return joined.mapInArrow(remove, REMOVED.format("string" if as_text else "binary"))
 
 
 def numbered(docs: DataFrame, *keep: str) -> DataFrame:
@@ -349,14 +357,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated bytes; parts of characters at cuts go, and so do documents left empty."""
     base = numbered(docs, "text", "lang", "source", "n_chars")
-    clean = lambda b: b.decode("utf-8", "ignore")
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(clean)
-
-    gone = removals(base.select("doc_id", "row", "data")).select("doc_id", "row", decoded("kept").alias("left_text"))
-    lost = gone.select("doc_id", "row", "left_text")
+    lost = removals(base.select("doc_id", "row", "data"), as_text=True).select("doc_id", "row", F.col("kept").alias("left_text"))
     rest = base.drop("data")
     joined = rest.join(lost, _same(rest, lost), "left").select(
         rest["doc_id"], F.coalesce("left_text", "text").alias("text"), "lang", "source", F.when(F.col("left_text").isNull(), F.col("n_chars")).otherwise(F.length("left_text")).alias("n_chars")
