@@ -11,14 +11,17 @@ the work is one look at few cells per element and k log k darts, not k hashes pe
 coordinate throws again up to twice the rank.
 
 Groups: copies of a text are one class from the start (digest of the text). Texts that agree in a band of 5 coordinates
-(30 bands: a pair at similarity 0.8 shares none with a chance of 7e-6) are candidates. Each bucket compares its members with
-its first one; members of buckets that are then still of several components are compared with each other by sketches, in
-blocks of bounded size, so that no pair that could link two components is left out and none is sent that could not.
-Candidates whose sketches agree in less than 60 % of 150 coordinates (6 standard deviations below 0.8) are dropped;
-the rest are decided by the exact similarity of their texts. Components of the pairs found are the groups.
+(30 bands: a pair at similarity 0.8 shares none with a chance of 7e-6) are candidates. Each text is first compared
+with the least head of its buckets, then one member of each component with the head of its bucket's least
+component. Members of buckets that are then still of several components are compared with each other, in blocks of
+bounded size, by sketches and then by their texts, until no pair is left that could join two components; what leaves a
+block is one link for each join. Candidates whose sketches agree in less than 60 % of 150 coordinates (6 standard
+deviations below 0.8) are dropped; all others are decided by the exact similarity of their texts. Components of the
+links are the groups.
 
 Defined cases: null text counts as empty; texts without words link with nothing but their copies, which are their
-class; repeated rows are copies; a null doc_id forms no pair and keeps itself; an empty table gives no rows; further
+class; repeated rows are copies; a null doc_id forms no pair and keeps itself;
+different texts under one doc_id share its class; an empty table gives no rows; further
 columns are not read. Words are separated by ASCII white space and compared as they are.
 """
 
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import connected_components, touching, written
+from tickloom.llm.common import connected_components, give_back, text_batches, touching, written
 from tickloom.llm.suffix_dedup import Hashes, _column, _mixed
 
 SHINGLE = 5
@@ -40,8 +43,9 @@ BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 THRESHOLD = 0.8
 SKETCH_LEAST = 0.6
-BLOCK = 1000
-SLICE = 4_000_000
+MERGES = 1
+BLOCK = 250
+SLICE = 1 << 19
 LOWEST = -8  # the first rank cell is [0, 2^LOWEST)
 
 _SPACE = np.zeros(256, bool)
@@ -161,6 +165,7 @@ def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 rows = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), lists, pa.array([sketch[i * K : (i + 1) * K] for i in range(high - low)], pa.binary())], ["doc_id", "d1", "d2", "bands", "sketch"])
                 low = high
+            give_back()
 
     return docs.select("doc_id", "d1", "d2", "data").mapInArrow(run, SIGNED)
 
@@ -170,104 +175,186 @@ def with_digest(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), text.cast("binary").alias("data"), *keep)
 
 
-def sketch_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def with_components(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """key, rep, component of the members of buckets."""
+    labels = connected_components(links).withColumnRenamed("node", "rep")
+    return written(buckets.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "members")
+
+
+def sketch_pairs(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b) whose sketches agree often enough. sketches: rep, sketch."""
     a, b = (sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, K) for i in (2, 3))
-            near = (x == y).mean(1) >= SKETCH_LEAST
+            near = (x == y).mean(1) >= least
             yield batch.select([0, 1]).filter(pa.array(near))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint")
 
 
+def shingle_sets(data: np.ndarray, ends: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, weight) of the distinct shingles, sorted by text and hash."""
+    text, h = shingles(data, ends)
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return text[new], h[new], np.diff(np.append(new, len(h))) if weighted else np.ones(len(new), np.int64)
+
+
+def sets_of(data: np.ndarray, ends: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets() of many texts, some at a time: the hashes of a slice take some forty times its bytes."""
+    out, low = [shingle_sets(data[:0], ends[:0], weighted)], 0
+    while low < len(ends):
+        begin = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, begin + SLICE // 2, side="right")))
+        text, h, weight = shingle_sets(data[begin : ends[high - 1]], ends[low:high] - begin, weighted)
+        out.append((text + low, h, weight))
+        low = high
+    text, h, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+    return text, h, weight
+
+
+def similarity(pair: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Exact (weighted) Jaccard of n pairs, from the shingles of both sides of each pair."""
+    order = np.lexsort((h, pair))
+    pair, h, weight = pair[order], h[order], weight[order]
+    both = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]))
+    shared = np.bincount(pair[both], np.minimum(weight[both], weight[both + 1]), n)
+    return shared / np.maximum(np.bincount(pair, weight, n) - shared, 1)
+
+
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Those of pairs (a, b) whose texts reach the threshold exactly. texts: doc_id, data, one row for each a and b."""
+    """Those of pairs (a, b) whose texts reach the threshold exactly. texts: doc_id, data, with a row for each a and b."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     near = touching(texts, ids)
     a, b = (near.select(F.col("doc_id").alias(x), F.col("data").alias(f"d{x}")) for x in "ab")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 200):
-                part = batch.slice(low, 200)
-                sets = []
-                for name in ("da", "db"):
-                    text, h = shingles(*_column(part, name))
-                    order = np.lexsort((h, text))
-                    text, h = text[order], h[order]
-                    new = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-                    count = np.diff(np.append(new, len(h))) if weighted else np.ones(len(new), np.int64)
-                    sets.append((text[new], h[new], count))
-                text, h, count = (np.concatenate(x) for x in zip(*sets, strict=True))
-                order = np.lexsort((h, text))
-                text, h, count = text[order], h[order], count[order]
-                both = np.flatnonzero((text[1:] == text[:-1]) & (h[1:] == h[:-1]))
-                shared = np.bincount(text[both], np.minimum(count[both], count[both + 1]), len(part))
-                joint = np.bincount(text, count, len(part)) - shared
-                yield part.select([0, 1]).filter(pa.array(shared >= threshold * joint - 1e-9))
+            for low in range(0, len(batch), 50):
+                part = batch.slice(low, 50)
+                sets = [sets_of(*_column(part, name), weighted) for name in ("da", "db")]
+                found = similarity(*(np.concatenate(x) for x in zip(*sets, strict=True)), len(part))
+                yield part.select([0, 1]).filter(pa.array(found >= threshold - 1e-9))
+            give_back()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "da", "db").mapInArrow(exact, "a bigint, b bigint")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members of different components whose sketches agree. members: key, rep, component, sketch.
+GROUP = ("key", "i", "j")
+
 
-    Buckets are dealt into blocks of about BLOCK members, and block pairs are joined apart.
+def candidate_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, from different components, whose sketches agree often enough; those that agree most first.
+
+    table: sorted by key, i, j, with own, component, sketch.
     """
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("c")), "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sketch")
+    cell = np.stack([table[c].to_numpy() for c in GROUP])
+    own, component = table["own"].to_numpy(), table["component"].to_numpy()
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, K)
+    group = np.cumsum(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0))) - 1
+    size = np.bincount(group)[group]
+    nth = np.arange(len(group)) - np.searchsorted(group, group)
+    found = [np.zeros((3, 0), np.int64)]
+    for step in range(1, int(size.max(initial=0))):
+        x = np.flatnonzero(nth + step < size)
+        y = x + step
+        ok = (component[x] != component[y]) & ((own[x] != own[y]) | (cell[1][x] == cell[2][x]))
+        x, y = x[ok], y[ok]
+        for low in range(0, len(x), 50_000):
+            p, q = x[low : low + 50_000], y[low : low + 50_000]
+            alike = (sketch[p] == sketch[q]).sum(1)
+            near = alike >= SKETCH_LEAST * K
+            found.append(np.stack([p[near], q[near], alike[near]]))
+    x, y, alike = np.concatenate(found, axis=1)
+    best = np.argsort(-alike, kind="stable")
+    return x[best], y[best]
+
+
+def candidate_members(table: pa.Table) -> pa.Table:
+    """The rows that are in a candidate pair."""
+    return table.take(pa.array(np.unique(np.concatenate(candidate_rows(table)))))
+
+
+def linked_members(table: pa.Table, threshold: float, weighted: bool) -> pa.Table:
+    """Links (a, b) that join components within the groups of a table with data, too.
+
+    Once a link has joined two components no further pair of theirs is looked at, so a component gives at most one link
+    for each that it joins.
+    """
+    x, y = candidate_rows(table)
+    rep, component = table["rep"].to_numpy(), table["component"].to_numpy()
+    text, h, weight = sets_of(*_column(table.combine_chunks().to_batches()[0], "data"), weighted)
+    begins = np.searchsorted(text, np.arange(len(table) + 1))
+    label = np.unique(component, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    while len(x):
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        p, q, x, y = x[:200], y[:200], x[200:], y[200:]
+        at = np.concatenate([p, q])
+        n = begins[at + 1] - begins[at]
+        take = np.repeat(begins[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        which = np.repeat(np.concatenate([np.arange(len(p))] * 2), n)
+        for k in np.flatnonzero(similarity(which, h[take], weight[take], len(p)) >= threshold - 1e-9).tolist():
+            a, b = label[p[k]], label[q[k]]
+            if a != b:
+                links.append((int(rep[p[k]]), int(rep[q[k]])))
+                label[label == max(a, b)] = min(a, b)
+    both = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": both.max(1), "b": both.min(1)})
+
+
+def by_group(rows: DataFrame, work, schema: str, held_bytes: int = 2_000_000) -> DataFrame:
+    """work(table) on whole groups (key, i, j) of rows, several groups at a time; a group has at most 2 BLOCK rows or so."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            cell = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-            own, rep, component = (table[c].to_numpy() for c in ("own", "rep", "component"))
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, K)
-            group = np.cumsum(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0))) - 1
-            size = np.bincount(group)[group]
-            nth = np.arange(len(group)) - np.searchsorted(group, group)
-            found = []
-            for step in range(1, int(size.max(initial=0))):
-                x = np.flatnonzero(nth + step < size)
-                y = x + step
-                ok = (component[x] != component[y]) & ((own[x] != own[y]) | (cell[1][x] == cell[2][x]))
-                x, y = x[ok], y[ok]
-                for low in range(0, len(x), 100_000):
-                    p, q = x[low : low + 100_000], y[low : low + 100_000]
-                    near = (sketch[p] == sketch[q]).mean(1) >= SKETCH_LEAST
-                    found.append(np.stack([np.minimum(rep[p[near]], rep[q[near]]), np.maximum(rep[p[near]], rep[q[near]])]))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(a)], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            yield from work(pa.concat_tables(tables).combine_chunks()).to_batches()
+            give_back()
 
         held: list[pa.Table] = []
-        rows = 0
-        for batch in batches:  # sorted: a block pair's rows are neighbours
+        size = 0
+        for batch in batches:  # sorted: a group's rows are neighbours
             table = pa.Table.from_batches([batch])
-            cell = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+            cell = np.stack([table[c].to_numpy() for c in GROUP])
             cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
-            if held and [held[-1][c][-1].as_py() for c in ("key", "i", "j")] != cell[:, 0].tolist():
+            if held and [held[-1][c][-1].as_py() for c in GROUP] != cell[:, 0].tolist():
                 cuts = np.append(0, cuts)
             low = 0
             for cut in cuts.tolist():
-                if rows + cut - low >= 20_000:
-                    held.append(table.slice(low, cut - low))
-                    yield pairs(pa.concat_tables(held))
-                    held, rows, low = [], 0, cut
+                piece = table.slice(low, cut - low)
+                if size + piece.nbytes >= held_bytes:
+                    yield from done([*held, piece])
+                    held, size, low = [], 0, cut
             held.append(table.slice(low))
-            rows += len(table) - low
-        if rows:
-            yield pairs(pa.concat_tables(held))
+            size += held[-1].nbytes
+        if size:
+            yield from done(held)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
+
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint")
+def cross_links(members: DataFrame, texts: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Links between members of one bucket and different components. members: key, rep, component, sketch.
+
+    Buckets are dealt into blocks of about BLOCK members, and block pairs are joined apart: first by sketches alone, then,
+    what is left of them, with the texts.
+    """
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("c")), "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sketch")
+    left = written(by_group(dealt, candidate_members, "key bigint, i int, j int, own int, rep bigint, component bigint, sketch binary"), "candidates")
+    near = touching(texts, left.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "data")
+    return by_group(left.join(near, "rep"), lambda t: linked_members(t, threshold, weighted), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """doc_id, d1, d2, class_id of every document: the least doc_id of its group. docs: what with_digest() gave."""
+    text_batches(docs.sparkSession)
     sign = written(signed(docs, weighted), "signatures")
     usable = sign.where("bands is not null and doc_id is not null")
     reps = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "reps")
@@ -275,17 +362,30 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False
     bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("head")).where("c > 1")
     buckets = written(bands.join(buckets, "key"), "buckets")
-    stars = sketch_pairs(buckets.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), sketches)
-    # One text per class: the copies of a representative have other ids.
-    texts = docs.select("doc_id", "data")
-    first = written(similar(written(stars, "stars"), texts, threshold, weighted).distinct(), "links")
-    labels = connected_components(first).withColumnRenamed("node", "rep")
-    known = buckets.where("c > 2").join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    texts = docs.select("doc_id", "data")  # a representative's copies have other ids
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = written(sketch_pairs(pairs, sketches, SKETCH_LEAST), "near")
+        return written(similar(near, texts, threshold, weighted).distinct(), "links")
+
+    # Each text with the least head of its buckets: one pair a text.
+    tried = written(buckets.where("rep <> head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b")), "tried")
+    found = verified(tried)
+    for _ in range(MERGES):
+        known = with_components(buckets, found)
+        heads = known.groupBy("key").agg(F.min(F.struct("component", "rep")).alias("head"), F.max("component").alias("high")).where("head.component < high")
+        pairs = known.join(heads, "key").where("component <> head.component").groupBy("component", F.col("head.component").alias("into")).agg(F.min(F.struct(F.col("rep"), F.col("head.rep").alias("other"))).alias("p"))
+        pairs = written(pairs.select(F.col("p.rep").alias("a"), F.col("p.other").alias("b")).join(tried, ["a", "b"], "left_anti"), "tried")
+        new = verified(pairs)
+        if new.isEmpty():
+            break
+        tried, found = tried.union(pairs), found.union(new)
+    # What is left: members of one bucket in several components.
+    known = with_components(buckets, found)
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_members = known.join(mixed, "key").join(sketches, "rep").select("key", "rep", "component", "sketch")
-    crossing = written(cross_pairs(open_members).distinct(), "crossing")
-    second = similar(crossing, texts, threshold, weighted)
-    labels = connected_components(written(first.union(second).distinct(), "links")).withColumnRenamed("node", "rep")
+    second = cross_links(open_members, texts, threshold, weighted)
+    labels = connected_components(written(found.union(second).distinct(), "links")).withColumnRenamed("node", "rep")
     classes = reps.select("d1", "d2", "rep").join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
     blank = sign.where("bands is null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     return sign.select("doc_id", "d1", "d2").join(classes.unionByName(blank), ["d1", "d2"], "left").select("doc_id", "d1", "d2", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
