@@ -131,6 +131,21 @@ def test_near_duplicates(spark, rows):
     assert kept.columns == docs.columns
 
 
+def test_chains_of_near_duplicates(spark, monkeypatch):
+    """Texts linked only through one another: the first member of a bucket is not like all of them."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(6)
+    rows = []
+    for g in range(6):
+        text = words(rng, 100, 9000).split()
+        for k in range(25):
+            text = list(text)
+            text[(7 * k) % 100] = f"g{g}k{k}"
+            rows.append((1000 * g + (k * 11) % 25, " ".join(text), "s"))
+    found = minhash.groups(minhash.with_digest(make_docs(spark, rows)))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute_groups(rows)
+
+
 def test_dart_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     text = np.repeat([0, 1], 300)
