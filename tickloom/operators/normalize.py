@@ -54,5 +54,5 @@ def cross_section(df: DataFrame, columns: list[str], time: str = "bar_date", sec
 def fitted_scaler(df: DataFrame, columns: list[str], fit_on: Column, limit: float = 5.0) -> DataFrame:
     """columns scaled by mean and population deviation of the rows fit_on holds for, within +-limit."""
     stats = df.where(fit_on).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(stats))  # one row
+    out = df.withColumn("__one", F.lit(1)).join(F.broadcast(stats.withColumn("__one", F.lit(1))), "__one").drop("__one")  # one row
     return out.withColumns({c: clipped((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0), -limit, limit) for c in columns}).drop(*stats.columns)
