@@ -25,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import checkpointed
+
+BROADCAST_ROWS = 200_000  # small tables of more rows are shuffled, not broadcast
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -120,10 +123,13 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: i
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("key"), *keep)
-    targets = source_targets(base.select("source", "size"), max_repeats, weights)
+    # One row a source, computed once; how many sources and buckets there are decides how the small tables join.
+    targets = checkpointed(source_targets(base.select("source", "size"), max_repeats, weights))
+    n = targets.agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.ceil(F.sqrt("n_docs"))), F.lit(0)).alias("buckets")).first()
+    small = F.broadcast if max(n["sources"], n["buckets"]) <= BROADCAST_ROWS else (lambda df: df)
     spread = F.ceil(F.sqrt("n_docs"))  # buckets and rows in a bucket grow alike
     placed = (
-        base.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        base.join(small(targets.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
         .drop("of")
         .withColumn("bucket", F.pmod(F.shiftright("key", 16), spread.cast("bigint")))
     )
@@ -134,7 +140,7 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: i
     at = (
         placed.withColumn("off", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("nth", F.coalesce(F.count("*").over(inside), F.lit(0)))
-        .join(cells, ["idx", "bucket"])
+        .join(small(cells), ["idx", "bucket"])
         .withColumn("off", F.col("off") + F.col("size_before"))
         .withColumn("nth", F.col("nth") + F.col("docs_before"))
     )
@@ -148,7 +154,7 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: i
     bounds = split_quotas(quotas, shards, seed)
     shard = "size(filter(bounds, b -> b <= c.nth))"
     copies = F.expr(f"transform(drawn, c -> named_struct('pass', c.pass, 'words', c.words, 'shard', {shard}, 'local_key', xxhash64({seed}, key, c.pass)))")
-    return drawn.join(bounds, "idx").select(
+    return drawn.join(small(bounds), "idx").select(
         "doc_id", "size", "source", "source_size", "target", F.expr("aggregate(drawn, 0L, (a, c) -> a + c.words)").alias("taken"), copies.alias("copies"), *keep
     )
 
@@ -162,7 +168,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     piece = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("c.words").cast("int")), "")
     text = F.when(F.col("c.words") < F.col("size"), piece).otherwise(F.col("text"))
     out = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("c.words") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")))
-    return out.repartition("c.shard").sortWithinPartitions("c.shard", "c.local_key").select("doc_id", "text", "lang", "source", "n_chars")
+    # Ranges of (shard, random key): a shard is in its local order, over as many tasks as it needs.
+    out = out.withColumns({"__shard": F.col("c.shard"), "__key": F.col("c.local_key")})
+    return out.repartitionByRange("__shard", "__key").sortWithinPartitions("__shard", "__key").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
