@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 from tickloom.llm.common import give_back
 
-CACHE = 250_000
+CACHE = 150_000
 #: Characters outside the blocks that the vocabularies' libraries and Python's regex module are known to treat alike.
 UNUSUAL = regex.compile("[^\u0000-\u02ff\u0390-\u03ff\u0400-\u04ff\u2000-\u206f\u2190-\u21ff\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
 
@@ -197,7 +197,7 @@ def loaded(path: str) -> PairIndexBPE:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, slice_chars: int = 3_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, slice_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the vocabulary file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
