@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import give_back, text_batches, touching, written
@@ -146,7 +146,6 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                 group = np.cumsum(new) - 1
                 many = np.bincount(group)[group] > 1
                 first, last, at = (x + low - begins[doc] for x in (first, last, at))
-                shown = [(new, np.where(many, 2, 1), True)]
                 # Merged spans of the repeats within a document.
                 if many.any():
                     d, f, e = doc[many], first[many], last[many]
@@ -157,10 +156,10 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                     spans = (d[head], f[head], np.maximum.reduceat(e, head))
                 else:
                     spans = None
-                keep, n, _ = shown[0]
+                n = np.where(many, 2, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in doc[keep]], pa.int64()), pa.array(rows[doc[keep]].astype(np.int32)), pa.array(core[keep].view(np.int64)), pa.array(extent[keep].view(np.int64)),
-                     pa.array(first[keep]), pa.array(last[keep]), pa.array(at[keep]), pa.array(n[keep].astype(np.int32))],
+                    [pa.array([ids[i] for i in doc[new]], pa.int64()), pa.array(rows[doc[new]].astype(np.int32)), pa.array(core[new].view(np.int64)), pa.array(extent[new].view(np.int64)),
+                     pa.array(first[new]), pa.array(last[new]), pa.array(at[new]), pa.array(n[new].astype(np.int32))],
                     ["doc_id", "row", "core", "extent", "first", "last", "elected", "n"],
                 )
                 if spans:
@@ -175,9 +174,6 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(scan, RUNS)
 
 
-MARKS = "repeat", "refine"
-
-
 def classified(found: DataFrame) -> DataFrame:
     """The runs that are repeats (repeat) or may hold repeats (refine), with the number of different runs of their core.
 
@@ -262,10 +258,9 @@ def refined(found: DataFrame, length: int, hot: int) -> DataFrame:
             core = table["core"].to_numpy()
             starts = np.append(np.flatnonzero(np.diff(core, prepend=core[0] if len(core) else 0)), len(core))
             low = 0
-            if held and len(core) and held[-1]["core"][-1].as_py() != core[0] and size:
-                if size > 1 << 20:
-                    yield counted(pa.concat_tables(held))
-                    held, size = [], 0
+            if size > 1 << 20 and held[-1]["core"][-1].as_py() != core[0]:
+                yield counted(pa.concat_tables(held))
+                held, size = [], 0
             for stop in starts.tolist():
                 piece = table.slice(low, stop - low)
                 if len(piece):
@@ -340,8 +335,6 @@ def numbered(docs: DataFrame, *keep: str) -> DataFrame:
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id").limit(1)
     if repeated.isEmpty():
         return base.select("doc_id", F.lit(0).alias("row"), "data", *keep)
-    from pyspark.sql import Window
-
     return written(base.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("data"))) - 1).select("doc_id", "row", "data", *keep), "numbered")
 
 
