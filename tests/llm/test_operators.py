@@ -250,6 +250,7 @@ def test_fingerprints(spark, rows):
     texts = {i: t or "" for i, t, _ in rows[:15]}
     ids = sorted(texts)
     assert near == {i: (texts[i], texts[ids[k - 1]]) for k, i in enumerate(ids)}
+    assert near == {r["doc_id"]: (r["text"], r["next_text"]) for r in fingerprints.with_next(docs, per_bucket=1, max_cuts=3).collect()}
     edited = {r["doc_id"]: r["edited_text"] for r in fingerprints.edited(fingerprints.with_next(docs, 4)).collect()}
     for k, i in enumerate(ids):
         t, n = texts[i], texts[ids[k - 1]]
