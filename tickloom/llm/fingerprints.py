@@ -50,41 +50,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / n)
 
 
-def with_next(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, per_bucket: int = 4000, max_cuts: int = 1024) -> DataFrame:
     """doc_id, text, next_text: the text of the row before in ascending doc_id (the last row's for the first).
 
-    Rows are dealt into ranges of doc_id, whose bounds come from approximate quantiles, and lag() runs within a range;
-    the last row of each range, one row a range, is carried to the next one by a small join.
+    Rows are dealt into buckets, ranges of doc_id, and lag() runs within a bucket. At most max_cuts approximate quantiles
+    bound the ranges; with more rows each range is cut evenly, so what reaches the driver is bounded. The last row of a
+    bucket is carried to the next one by a join of one row per bucket, which moves no other text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    id_ = F.coalesce("doc_id", F.lit(LEAST_ID))
     parts = max(1, -(-docs.count() // per_bucket))
-    bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
-    cuts = sorted({int(b) for b in bounds or [] if b is not None})
-    id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bucket = _bucket(id_, cuts)
+    cuts = min(parts, max_cuts)
+    got = docs.select(F.percentile_approx(id_, [i / cuts for i in range(cuts + 1)], 10_000).alias("q"), F.min(id_).alias("a"), F.max(id_).alias("b")).first()
+    bounds = sorted({int(x) for x in [*(got["q"] or []), *([got["a"], got["b"]] if got["a"] is not None else [])]})
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = docs.withColumn("bucket", bucket)
-    lasts = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"))).alias("last_text"))
-    # One row a range: the window over them is small.
-    before = lasts.select("bucket", F.lag("last_text").over(Window.orderBy("bucket")).alias("carried"), F.last("last_text").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end_text"))
-    before = before.select("bucket", F.coalesce("carried", "end_text").alias("carried"))
+    dealt = docs.withColumn("bucket", _bucket(id_, bounds, -(-parts // cuts)))
+    lasts = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(id_, F.xxhash64("text"))).alias("carried"))
+    # The bucket before each one: a window over one number per bucket.
+    every = Window.orderBy("bucket")
+    before = lasts.select("bucket", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("prior"))
+    carried = before.join(lasts.withColumnRenamed("bucket", "prior"), "prior").select("bucket", "carried")
     w = Window.partitionBy("bucket").orderBy(*order)
-    within = dealt.withColumn("before", F.lag("text").over(w)).join(F.broadcast(before) if len(cuts) < 2000 else before, "bucket")
+    within = dealt.withColumn("before", F.lag("text").over(w)).join(carried, "bucket")
     return within.select("doc_id", "text", F.coalesce("before", "carried").alias("next_text"))
 
 
-def _bucket(id_: Column, cuts: list[int]) -> Column:
-    """How many cuts are below id_, by a binary tree of comparisons."""
-    if not cuts:
-        return F.lit(0)
+LEAST_ID = -(1 << 63)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(id_ <= cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts))
+def _bucket(id_: Column, bounds: list[int], pieces: int) -> Column:
+    """A number that does not fall as id_ rises: the last of the bounds at or below it (binary search), times pieces, plus
+    its place among as many even pieces of that range."""
+    if len(bounds) < 2:
+        return F.lit(0).cast("bigint")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    table = F.array(*[F.lit(b) for b in bounds])
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(table, low + step) <= id_, F.lit(False)), low + step).otherwise(low))
+    if pieces == 1:
+        return at.cast("bigint")
+    low, high = F.get(table, at).cast("double"), F.coalesce(F.get(table, at + 1), F.lit(bounds[-1])).cast("double")
+    return at.cast("bigint") * pieces + F.least(F.floor((id_.cast("double") - low) / (high - low + 1) * pieces), F.lit(pieces - 1))
 
 
 def edited(docs: DataFrame) -> DataFrame:
