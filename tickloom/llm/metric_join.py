@@ -39,6 +39,7 @@ from tickloom.llm.common import connected_components, written
 PIVOTS = 24
 BLOCK = 4096
 SLACK = 1e-5
+NO_EDGE = -(1 << 63)  # stands in rows that count links
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -53,13 +54,7 @@ def stacked(column: pd.Series) -> np.ndarray:
 def points(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """point (smallest id), n (ids), data (doubles, little-endian) of each distinct usable vector."""
 
-    @F.pandas_udf("binary")
-    def packed(column: pd.Series) -> pd.Series:
-        return pd.Series([_packed(v) for v in column], dtype=object)
-
-    rows = vectors.select(F.col(id_col).alias("id"), packed(vector_col).alias("data")).where("data is not null")
-    rows = rows.groupBy("id").agg(F.min("data").alias("data"))
-    # Vectors of another direction only by length are one point, too, if their scaled components are equal.
+    rows = member_ids(vectors, id_col, vector_col).where("data is not null")
     return rows.groupBy("data").agg(F.min("id").alias("point"), F.count("*").alias("n"))
 
 
@@ -76,7 +71,7 @@ def _packed(v) -> bytes | None:
     return x.astype("<f8").tobytes()
 
 
-def joined_block(members: pd.DataFrame, others: pd.DataFrame, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def joined_block(members: pd.DataFrame, others: pd.DataFrame, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of other vectors linked with each member (multiplicities included), and forest edges among points."""
     a, b = unit(stacked(members["data"])), unit(stacked(others["data"]))
     n = others["n"].to_numpy()
@@ -96,9 +91,7 @@ def joined_block(members: pd.DataFrame, others: pd.DataFrame, cosine: float) ->
         i, j = i[apart], j[apart]
         np.add.at(links, i, n[j])
         found.append(forest(mine[i], theirs[j]))
-    x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    x, y = forest(x, y)
-    return links, list(zip(x.tolist(), y.tolist(), strict=True))
+    return links, *forest(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +155,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vecto
 
     def copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            c, _ = (x for x in np.nonzero(copied_to(frame))[::-1])
-            counts = np.bincount(c, minlength=k)
-            yield pd.DataFrame({"cell": np.arange(k), "c": counts})
+            yield pd.DataFrame({"cell": np.arange(k), "c": copied_to(frame).sum(0)})
 
     sizes = {r["cell"]: r["c"] for r in cells.mapInPandas(copies, "cell int, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).collect()}
     copy_blocks = np.array([max(1, -(-sizes.get(c, 0) // (2 * block))) for c in range(k)])
@@ -201,14 +192,13 @@ def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vecto
         members, others = frame[frame["member"]], frame[~frame["member"]]
         if not len(members) or not len(others):
             return pd.DataFrame({"a": [], "b": [], "c": []})
-        count, edges = joined_block(members, others, cosine)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.concat([pd.DataFrame({"a": members["point"].to_numpy(), "b": -1, "c": count}), pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "c": 0})])
+        count, a, b = joined_block(members, others, cosine)
+        return pd.concat([pd.DataFrame({"a": members["point"].to_numpy(), "b": NO_EDGE, "c": count}), pd.DataFrame({"a": a, "b": b, "c": 0})])
 
     sent = cells.mapInPandas(send, "point bigint, n bigint, data binary, cell int, block bigint, member boolean")
     blocks = written(sent.groupBy("cell", "block").applyInPandas(join, "a bigint, b bigint, c bigint"), "links")
-    counts = blocks.where("b = -1").groupBy(F.col("a").alias("point")).agg(F.sum("c").alias("n_links"))
-    return found.join(counts, "point", "left").select("point", "data", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), blocks.where("b <> -1").select("a", "b")
+    counts = blocks.where(F.col("b") == NO_EDGE).groupBy(F.col("a").alias("point")).agg(F.sum("c").alias("n_links"))
+    return found.join(counts, "point", "left").select("point", "data", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), blocks.where(F.col("b") != NO_EDGE).select("a", "b")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
@@ -223,6 +213,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
 
 
 def member_ids(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id and data (null if unusable) of each id; of several vectors the first by bytes."""
+
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
         return pd.Series([_packed(v) for v in column], dtype=object)
