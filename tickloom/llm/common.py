@@ -63,6 +63,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one file to any store that Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    for low in range(0, len(data), 1 << 20):
+        out.write(data[low : low + (1 << 20)])
+    out.close()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this library wrote and nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

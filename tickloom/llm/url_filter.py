@@ -3,8 +3,8 @@
 Rules are (host/path, action). A rule fits its host and every subdomain when the url's path starts with the rule's
 path; the longest fitting rule wins. Every (host suffix, path prefix) of a url that could equal a rule is hashed and
 looked up with numpy.searchsorted; a hit counts only when the stored rule string itself equals the probe, so digest
-collisions cannot decide. The index is one file, shipped with SparkContext.addFile, and each Python worker maps
-its executor's copy.
+collisions cannot decide. The index is one file in the shared folder, handed out with SparkContext.addFile; each
+executor fetches it once (a new executor fetches it again) and its Python workers map that copy.
 
 Defined cases: null url or one without "://": host and path are empty, no rule fits. Equal rules: the last listed wins.
 Repeated page rows give repeated results. An empty table or empty rule list gives no rows / only defaults. Further
@@ -13,8 +13,6 @@ columns of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -24,11 +22,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import put, shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def build_index(rules: list[tuple[str, str]], path: str) -> None:
-    """Writes the index file: int64 header (keys, path lengths, string bytes), path lengths, sorted digests, spans, strings.
+def index_bytes(rules: list[tuple[str, str]]) -> bytes:
+    """The index file: int64 header (keys, path lengths, string bytes), path lengths, sorted digests, spans, strings.
 
     A span is (start, end, 1 if the action is allow) of a key's rule among the strings.
     """
@@ -40,11 +40,14 @@ def build_index(rules: list[tuple[str, str]], path: str) -> None:
         blob += rule.encode()
         spans.append((start, len(blob), int(action == "allow")))
     lengths = sorted({len(rule) - len(rule.partition("/")[0]) for rule in unique})
+    head = np.array([len(entries), len(lengths), len(blob), *lengths], np.int64)
+    return head.tobytes() + np.array([e[0] for e in entries], np.uint64).tobytes() + np.array(spans, np.int64).tobytes() + bytes(blob)
+
+
+def build_index(rules: list[tuple[str, str]], path: str) -> None:
+    """Writes the index file to a local path."""
     with open(path, "wb") as f:
-        f.write(np.array([len(entries), len(lengths), len(blob), *lengths], np.int64).tobytes())
-        f.write(np.array([e[0] for e in entries], np.uint64).tobytes())
-        f.write(np.array(spans, np.int64).tobytes())
-        f.write(blob)
+        f.write(index_bytes(rules))
 
 
 class DigestIndex:
@@ -111,8 +114,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     """id, host, path, rule (null if none fits) and verdict of each url; default: the verdict of urls not in the index."""
     spark = pages.sparkSession
     name = f"url-index-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    build_index(rules, path)
+    path = f"{shared_dir(spark)}/{name}"
+    put(spark, path, index_bytes(rules))
     spark.sparkContext.addFile(path)
 
     @F.pandas_udf("rule string, verdict string")
