@@ -283,6 +283,13 @@ def test_classifier_edges(spark, rows):
     assert not np.isnan([r["score"] for r in classifier.classify(docs, model, "doc_id").collect()]).any()
 
 
+def test_classifier_learns_once_from_repeated_documents(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    often = docs.unionByName(docs.where("doc_id % 3 = 0").crossJoin(spark.range(20).drop("id")))
+    a, b = classifier.train(docs, labels), classifier.train(often, labels)
+    assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
+
+
 # ---- 8
 
 

@@ -14,7 +14,7 @@ Fitting reads at most max_labels labelled rows (those with the smallest hashes o
 reaches the driver: max_labels x 90 doubles); scoring reads every document.
 
 Defined cases: null text counts as empty, an empty text has all shares 0 and a finite score; repeated labels of a
-document count each; null or other labels than 0 and 1 are left out; if either label is missing from the training rows
+document count each; of several documents with one doc_id the least text is learned from, and each is scored; null or other labels than 0 and 1 are left out; if either label is missing from the training rows
 all weights are 0 and every document is kept; an empty table gives no rows; further columns are not read.
 """
 
@@ -116,8 +116,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labels
     """Fits on the labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most max_labels of them."""
     rows = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    got = with_features(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"), "label", "doc_id").toPandas()
+    # A label row gives one row however many documents have its doc_id: partial minima first, so none of them meet.
+    rows = rows.groupBy("doc_id", "label").agg(F.count("*").alias("times"))
+    one = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label", "times").agg(F.min("text").alias("text"))
+    got = with_features(one, "label", "doc_id", "times").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
+    got = got.loc[got.index.repeat(got["times"])]
     x = np.array(got["x"].tolist(), float).reshape(len(got), 2 * (N_CLASSES + 5) + 1)
     return fit(x, got["label"].to_numpy(), cut)
 
