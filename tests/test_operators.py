@@ -172,6 +172,20 @@ def test_flat_files_and_ingest(spark, tmp_path):
     assert sinks.next_run_number(names) == 13 and sinks.next_run_number(names.limit(0)) == 1
 
 
+def test_compaction_of_old_dates(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    for k in range(3):
+        rows = spark.sql(f"SELECT concat('T', id % 3) ticker, timestamp'2020-01-01' + make_interval(0, 0, 0, id % 2, 0, {k}, id) timestamp, to_date('2020-01-01') + cast(id % 2 as int) bar_date, id v FROM range(12)")
+        sinks.append_bars(rows, path)
+    before = sorted(map(tuple, spark.read.parquet(path).collect()), key=repr)
+    sinks.compact(spark, path, "2020-01-02")
+    old, new = (sorted((tmp_path / "table" / f"bar_date=2020-01-0{d}").glob("*.parquet")) for d in (1, 2))
+    assert (len(old), len(new)) == (1, 3)
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=repr) == before
+    got = [(r["ticker"], -r["timestamp"].timestamp()) for r in spark.read.parquet(str(old[0])).collect()]
+    assert got == sorted(got)
+
+
 def test_json_bars_and_side_tables(spark, tmp_path):
     (tmp_path / "ABC.json").write_text('[{"timestamp": 1577836800000, "open": 1, "high": 2, "low": 1, "close": 2, "transactions": 1, "volume": 5, "vwap": 1.5}]')
     r = B.json_bars(spark, f"{tmp_path}/ABC.json").first()

@@ -26,9 +26,23 @@ def new_rows(rows: DataFrame, target: DataFrame | None, keys: list[str], order:
     return first if target is None else first.join(target.select(*keys), keys, "left_anti")
 
 
+def _by_date(rows: DataFrame, by: str):
+    """A writer of one date a folder, each file sorted by ticker and newest time first."""
+    return rows.repartition(by).sortWithinPartitions(by, "ticker", F.desc("timestamp")).write.option("compression", "zstd").partitionBy(by)
+
+
 def append_bars(rows: DataFrame, path: str, by: str = "bar_date") -> None:
-    """Appends bars to a table partitioned by date, each file sorted by ticker and newest time first."""
-    rows.repartition(by).sortWithinPartitions("ticker", F.desc("timestamp")).write.mode("append").option("compression", "zstd").partitionBy(by).parquet(path)
+    """Appends bars to a table partitioned by date."""
+    _by_date(rows, by).mode("append").parquet(path)
+
+
+def compact(spark: SparkSession, path: str, before: str, by: str = "bar_date") -> None:
+    """Writes the dates before `before` (yyyy-mm-dd) anew, so that many small appended files become few; later dates stay as they are.
+
+    Only the old dates are read (partition pruning) and replaced; run it when nothing appends to them.
+    """
+    old = spark.read.parquet(path).where(F.col(by) < F.lit(before).cast("date"))
+    _by_date(old, by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def ingest(spark: SparkSession, source: DataFrame, path: str, order: Column) -> int:
