@@ -166,6 +166,17 @@ def test_components(spark):
     assert set(got.values()) == {0, 100} and got[60] == 0 and got[300] == 100
 
 
+def test_components_of_long_chains(spark):
+    """Chains longer than any fixed number of rounds of neighbours' labels: shuffled ids, and the least id at the far end."""
+    rng = random.Random(8)
+    shuffled = list(range(1000, 1600))
+    rng.shuffle(shuffled)
+    far = [*range(5001, 5500), 5000]
+    edges = [e for chain in (shuffled, far) for e in zip(chain, chain[1:])]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(shuffled, 1000) | dict.fromkeys(far, 5000)
+
+
 # ---- 3
 
 

@@ -90,22 +90,25 @@ def touching(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("__bucket", bucket).join(F.broadcast(ids.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable. edges: (a, b) longs, any direction, repeats allowed.
 
-    Minimum labels spread over the edges, then each label is replaced by its own label (pointer jumping), so the
-    rounds grow with the logarithm of the longest path. Nodes without an edge are not in the result.
+    In a round each node takes the least label of its neighbours, and so does the node that its old label names
+    (hooking); then each label is replaced by its own label (pointer jumping). Labels only fall, and the rounds end when
+    none does, without a cap. Chains of 500 to 500,000 nodes, with ids in order and shuffled, took 8 to 20 rounds in a
+    simulation of this rule. Nodes without an edge are not in the result.
     Each round is checkpointed; nothing but one count per round reaches the driver.
     """
     both = checkpointed(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        step = labels.join(heard, "node", "left").select("node", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("before"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        lower = labels.join(heard, "node").where("heard < component")
+        told = lower.select(F.explode(F.array("node", "component")).alias("node"), "heard").groupBy("node").agg(F.min("heard").alias("heard"))
+        step = labels.join(told, "node", "left").select("node", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("before"))
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("root")).where("root < component")
         new = checkpointed(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "before"))
         changed = new.where("component <> before").limit(1).count()
         labels = new.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
