@@ -146,6 +146,20 @@ def test_chains_of_near_duplicates(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute_groups(rows)
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """A doc_id may stand for several texts, or be null: texts are compared and kept on their own."""
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 80, 9000) for _ in range(4))
+    near = lambda t: t + " x"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, near(c)), (None, d), (None, d), (None, near(d)), (None, near(b)), (5, near(a)), (5, near(a))]
+    docs = make_docs(spark, [(i, t, "s") for i, t in rows])
+    got = minhash.groups(minhash.with_digest(docs)).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in got) == sorted(zip([1, 1, 2, 3, 4, 4, 0, 0, 0, 0, 5, 5], [1, 1, 1, 1, 4, 4, 0, 0, 0, 1, 1, 1]))
+    assert sorted((r["class_id"] or 0) for r in got if r["kept"]) == [0, 1, 1, 4]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.minhash_stage(spark, docs, "").collect()]
+    assert len(kept) == 4 and {(1, a), (1, b)} < set(kept) and sorted(i or 0 for i, _ in kept) == [0, 1, 1, 4]
+
+
 def test_dart_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     text = np.repeat([0, 1], 300)

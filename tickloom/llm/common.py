@@ -81,12 +81,12 @@ def removed(spark: SparkSession, path: str) -> None:
 ID_BUCKETS = 1 << 20
 
 
-def touching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be in ids: those that share a hash bucket with one.
+def touching(docs: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """The rows of docs whose keys (doc_id) may be in ids: those that share a hash bucket with one.
 
     The broadcast holds at most ID_BUCKETS numbers; with more ids than buckets it lets every row pass.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))
+    bucket = F.pmod(F.xxhash64(*(keys or ("doc_id",))), F.lit(ID_BUCKETS))
     return docs.withColumn("__bucket", bucket).join(F.broadcast(ids.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
 
 

@@ -19,10 +19,14 @@ block is one link for each join. Candidates whose sketches agree in less than 60
 deviations below 0.8) are dropped; all others are decided by the exact similarity of their texts. Components of the
 links are the groups.
 
+A text is known by its digest (128 bits) throughout, never by doc_id: `rep` is a number of the digest. A class is
+reported by its least doc_id at the end, and one row of each class is kept: of the row of that doc_id, by digest.
+
 Defined cases: null text counts as empty; texts without words link with nothing but their copies, which are their
-class; repeated rows are copies; a null doc_id forms no pair and keeps itself;
-different texts under one doc_id share its class; an empty table gives no rows; further
-columns are not read. Words are separated by ASCII white space and compared as they are.
+class; repeated rows are copies, of which one is kept; different texts under one doc_id are compared like any others and
+may be of different classes of that name, each with a row kept; rows with a null doc_id are compared, too, and come last
+within their class: only a class without other ids has a null class_id and keeps one of them; an empty table gives no
+rows; further columns are not read. Words are separated by ASCII white space and compared as they are.
 """
 
 from __future__ import annotations
@@ -225,11 +229,19 @@ def similarity(pair: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> n
     return shared / np.maximum(np.bincount(pair, weight, n) - shared, 1)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Those of pairs (a, b) whose texts reach the threshold exactly. texts: doc_id, data, with a row for each a and b."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    near = touching(texts, ids)
-    a, b = (near.select(F.col("doc_id").alias(x), F.col("data").alias(f"d{x}")) for x in "ab")
+def texts_of(ids: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, data of the texts in ids (rep): one row each. texts: d1, d2, id, data; reps: rep, d1, d2, id of the row to read."""
+    wanted = reps.select("rep", "d1", "d2", "id").join(ids.select("rep").distinct(), "rep")
+    # Partial aggregation first, so repeated rows of one id and text do not meet.
+    once = touching(texts, wanted, "d1", "d2", "id").groupBy("d1", "d2", "id").agg(F.any_value("data").alias("data"))
+    return once.join(wanted, ["d1", "d2", "id"]).select("rep", "data")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Those of pairs (a, b) whose texts reach the threshold exactly. texts, reps: as for texts_of()."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    near = texts_of(ids, texts, reps)
+    a, b = (near.select(F.col("rep").alias(x), F.col("data").alias(f"d{x}")) for x in "ab")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +349,7 @@ def by_group(rows: DataFrame, work, schema: str, held_bytes: int = 2_000_000) ->
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
-def cross_links(members: DataFrame, texts: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, reps: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     """Links between members of one bucket and different components. members: key, rep, component, sketch.
 
     Buckets are dealt into blocks of about BLOCK members, and block pairs are joined apart: first by sketches alone, then,
@@ -348,25 +360,30 @@ def cross_links(members: DataFrame, texts: DataFrame, threshold: float, weighted
     placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sketch")
     left = written(by_group(dealt, candidate_members, "key bigint, i int, j int, own int, rep bigint, component bigint, sketch binary"), "candidates")
-    near = touching(texts, left.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), "data")
-    return by_group(left.join(near, "rep"), lambda t: linked_members(t, threshold, weighted), "a bigint, b bigint")
+    return by_group(left.join(texts_of(left, texts, reps), "rep"), lambda t: linked_members(t, threshold, weighted), "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """doc_id, d1, d2, class_id of every document: the least doc_id of its group. docs: what with_digest() gave."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """doc_id, d1, d2, times, class_id, head of each distinct doc_id and text. docs: what with_digest() gave.
+
+    times: how many rows it stands for; class_id: the least doc_id of its class; head: one of each class, and of that id.
+    """
     text_batches(docs.sparkSession)
     sign = written(signed(docs, weighted), "signatures")
-    usable = sign.where("bands is not null and doc_id is not null")
-    reps = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "reps")
+    texts_known = sign.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    # Texts are numbered by half of their digest; those that share it, by a hash of the whole.
+    nth = F.row_number().over(Window.partitionBy("d1").orderBy("d2"))
+    numbers = F.when(nth == 1, F.col("d1")).otherwise(F.xxhash64("d2", "d1"))
+    reps = written(texts_known.withColumn("rep", numbers).withColumn("id", F.coalesce("least", F.lit(0))), "reps")
     sketches = reps.select("rep", "sketch")
     bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("head")).where("c > 1")
     buckets = written(bands.join(buckets, "key"), "buckets")
-    texts = docs.select("doc_id", "data")  # a representative's copies have other ids
+    texts = docs.select("d1", "d2", F.coalesce("doc_id", F.lit(0)).alias("id"), "data")
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = written(sketch_pairs(pairs, sketches, SKETCH_LEAST), "near")
-        return written(similar(near, texts, threshold, weighted).distinct(), "links")
+        return written(similar(near, texts, reps, threshold, weighted).distinct(), "links")
 
     # Each text with the least head of its buckets: one pair a text.
     tried = written(buckets.where("rep <> head").groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b")), "tried")
@@ -384,25 +401,35 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False
     known = with_components(buckets, found)
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_members = known.join(mixed, "key").join(sketches, "rep").select("key", "rep", "component", "sketch")
-    second = cross_links(open_members, texts, threshold, weighted)
+    second = cross_links(open_members, texts, reps, threshold, weighted)
     labels = connected_components(written(found.union(second).distinct(), "links")).withColumnRenamed("node", "rep")
-    classes = reps.select("d1", "d2", "rep").join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
-    blank = sign.where("bands is null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    return sign.select("doc_id", "d1", "d2").join(classes.unionByName(blank), ["d1", "d2"], "left").select("doc_id", "d1", "d2", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    of_text = reps.select("rep", "d1", "d2", "least").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    first = of_text.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "d1", "d2")).alias("first"))
+    named = of_text.join(first, "component").select("d1", "d2", F.col("first.least").alias("class_id"), F.struct("d1", "d2").eqNullSafe(F.struct("first.d1", "first.d2")).alias("leads"))
+    each = sign.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("times"))
+    return each.join(named, ["d1", "d2"]).select("doc_id", "d1", "d2", "times", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("head"))
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """doc_id, d1, d2, class_id, kept of every row. docs: what with_digest() gave."""
+    found = classes(docs, threshold, weighted)
+    rows = found.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return rows.select("doc_id", "d1", "d2", "class_id", (F.col("head") & (F.col("nth") == 1)).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(with_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", "kept")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose doc_id is the group's least; of repeated rows of that document one."""
-    found = groups(with_digest(docs))
-    keyed = docs.withColumns({"__d1": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "__d2": F.xxhash64(F.lit(1), F.coalesce(F.col("text"), F.lit("")))})
-    lost = written(found.where("class_id is not null and doc_id <> class_id").select("doc_id", F.col("d1").alias("__d1"), F.col("d2").alias("__d2")).distinct(), "lost")
-    kept = keyed.join(lost, ["doc_id", "__d1", "__d2"], "left_anti")
-    if found.where("class_id = doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = Window.partitionBy("doc_id").orderBy("__d1", "__d2")
-        kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1 or doc_id is null")
+    """One row of each class: that of its least doc_id; of repeated rows of that document one."""
+    found = written(classes(with_digest(docs)), "classes")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = {"__d1": F.xxhash64(text), "__d2": F.xxhash64(F.lit(1), text), "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__null": F.col("doc_id").isNull()}
+    lost = found.where("not head").select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"))
+    kept = docs.withColumns(key).join(lost, list(key), "left_anti")
+    if found.where("head and times > 1").limit(1).count():
+        one = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
+        kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1")
     return kept.select(*docs.columns)
