@@ -367,6 +367,17 @@ def test_metric_join(spark, block, pivots):
     assert metric_join.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_metric_join_of_every_row(spark, block):
+    """Two lengths in one table, several vectors under one id, null ids."""
+    u, v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, u), (1, v), (2, u), (3, [0.1, 5.0, 0.0]), (8, [0.0, -1.0, 0.0]), (4, [1.0, 1.0]), (5, [2.0, 2.0]), (5, None), (None, w), (None, w), (None, v)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in metric_join.near_duplicates(df, 0.9, block=block, pivots=2).collect()]
+    want = [(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (None, 2, 1, False), (8, 0, 8, True), (4, 1, 4, True), (5, 1, 4, False), (5, 0, 5, True), (None, 1, None, True), (None, 1, None, False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # ---- 10
 
 

@@ -19,9 +19,14 @@ Components follow from the edges (connected_components).
 In noise of many dimensions no pivot can rule out much: then each vector is copied to nearly all cells, and the work is
 that of all pairs, in blocks. Pruning sets in where vectors cluster more tightly than the range.
 
-Defined cases: null vectors, zero vectors, vectors with null or non-finite components and vectors of another length than
-most link with nothing (one row each, component their own id); repeated rows with one vec_id count as that id once if
-their vectors are equal, and the first by vector otherwise; an empty table gives no rows; further columns are not read.
+Vectors of each length are compared among themselves: lengths of more than `block` points one after the other by cells,
+all shorter groups at once, a length a task.
+
+Defined cases: null, empty and zero vectors and vectors with null or non-finite components link with nothing (a row each,
+component their own id); vectors of different lengths do not link; rows that repeat an id and its vector are one row;
+different vectors under one id are rows of their own; rows with a null id are each a row of their own. component_id is the
+least id of the component (null only if it has none) and one row of a component is kept: of that id, the first by vector.
+An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import connected_components, written
@@ -51,11 +56,13 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def points(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """point (smallest id), n (ids), data (doubles, little-endian) of each distinct usable vector."""
-
-    rows = member_ids(vectors, id_col, vector_col).where("data is not null")
-    return rows.groupBy("data").agg(F.min("id").alias("point"), F.count("*").alias("n"))
+def points(rows: DataFrame) -> DataFrame:
+    """point (a number of the vector), n (rows), data (doubles, little-endian) of each distinct usable vector. rows: member_rows()."""
+    each = rows.where("data is not null").groupBy("data").agg(F.sum("times").alias("n"))
+    # 63 bits of a hash; vectors that share them are told apart by their order.
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("data"))
+    hashed = each.withColumn("h", F.shiftrightunsigned(F.xxhash64("data"), 1)).withColumn("nth", nth)
+    return hashed.select("data", F.when(F.col("nth") == 1, F.col("h")).otherwise(F.shiftrightunsigned(F.xxhash64("data", "nth"), 1)).alias("point"), "n")
 
 
 def _packed(v) -> bytes | None:
@@ -124,16 +131,26 @@ def dealt(found: DataFrame, pivots: np.ndarray, cosine: float) -> DataFrame:
     return found.mapInPandas(assign, "data binary, point bigint, n bigint, cell int, near double")
 
 
-def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(point, data, n, n_links) of every usable distinct vector, and the edges (a, b) of a forest of their links."""
-    spark = vectors.sparkSession
-    found = points(vectors, id_col, vector_col)
+def block_links(members: pd.DataFrame, others: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Rows (point, NO_EDGE, links) of the members, and rows (a, b, 0) of the forest."""
+    count, a, b = joined_block(members, others, cosine)
+    return pd.concat([pd.DataFrame({"a": members["point"].to_numpy(), "b": NO_EDGE, "c": count}), pd.DataFrame({"a": a, "b": b, "c": 0})])
+
+
+def links(found: DataFrame, cosine: float = 0.9, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(point, data, n, n_links) of every point, and the edges (a, b) of a forest of their links. found: points(), written."""
     width = F.length("data")
-    found = written(found, "points")
-    common = found.groupBy(width.alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if common is None:
-        return found.withColumn("n_links", F.lit(0).cast("bigint")), spark.createDataFrame([], "a bigint, b bigint")
-    found = found.where(width == common["w"])
+    large = [r["w"] for r in found.groupBy(width.alias("w")).count().where(F.col("count") > block).select("w").collect()]  # at most a row a block
+    small = found.where(~width.isin(large)).withColumn("w", width) if large else found.withColumn("w", width)
+    blocks = written(small.groupBy("w").applyInPandas(lambda frame: block_links(frame, frame, cosine), "a bigint, b bigint, c bigint"), "links")
+    for w in large:
+        blocks = blocks.unionByName(links_by_cells(found.where(width == w), cosine, pivots, block))
+    counts = blocks.where(F.col("b") == NO_EDGE).groupBy(F.col("a").alias("point")).agg(F.sum("c").alias("n_links"))
+    return found.join(counts, "point", "left").select("point", "data", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), blocks.where(F.col("b") != NO_EDGE).select("a", "b")
+
+
+def links_by_cells(found: DataFrame, cosine: float, pivots: int, block: int) -> DataFrame:
+    """block_links() of all points of one length, written."""
     chosen = found.orderBy(F.xxhash64("data"), "point").limit(pivots).select("data").toPandas()
     centre = unit(stacked(chosen["data"]))
     reach = math.sqrt(2 - 2 * cosine) + SLACK
@@ -192,34 +209,38 @@ def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vecto
         members, others = frame[frame["member"]], frame[~frame["member"]]
         if not len(members) or not len(others):
             return pd.DataFrame({"a": [], "b": [], "c": []})
-        count, a, b = joined_block(members, others, cosine)
-        return pd.concat([pd.DataFrame({"a": members["point"].to_numpy(), "b": NO_EDGE, "c": count}), pd.DataFrame({"a": a, "b": b, "c": 0})])
+        return block_links(members, others, cosine)
 
     sent = cells.mapInPandas(send, "point bigint, n bigint, data binary, cell int, block bigint, member boolean")
-    blocks = written(sent.groupBy("cell", "block").applyInPandas(join, "a bigint, b bigint, c bigint"), "links")
-    counts = blocks.where(F.col("b") == NO_EDGE).groupBy(F.col("a").alias("point")).agg(F.sum("c").alias("n_links"))
-    return found.join(counts, "point", "left").select("point", "data", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), blocks.where(F.col("b") != NO_EDGE).select("a", "b")
+    return written(sent.groupBy("cell", "block").applyInPandas(join, "a bigint, b bigint, c bigint"), "links")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
-    """id, n_links, component_id, kept for every id."""
-    linked, edges = links(vectors, cosine, id_col, vector_col, **how)
+    """id, n_links, component_id, kept of every row."""
+    rows = member_rows(vectors, id_col, vector_col)
+    linked, edges = links(written(points(rows), "points"), cosine, **how)
     components = connected_components(edges).select(F.col("node").alias("point"), "component")
-    by_point = linked.join(components, "point", "left").select("data", F.col("n_links") + F.col("n") - 1, F.coalesce("component", "point").alias("component")).toDF("data", "n_links", "component")
-    ids = member_ids(vectors, id_col, vector_col)
-    got = ids.join(by_point, "data", "left")
-    component = F.coalesce("component", "id")
-    return got.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    by_point = linked.join(components, "point", "left").select("data", (F.col("n_links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "point").alias("component"))
+    least = rows.where("data is not null").groupBy("data").agg(F.min("id").alias("least"))
+    of_data = written(by_point.join(least, "data"), "linked")
+    first = of_data.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "data")).alias("first"))
+    named = of_data.join(first, "component").select("data", "n_links", F.col("first.least").alias("component_id"), (F.col("data") == F.col("first.data")).alias("leads"))
+    got = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).join(named, "data", "left")
+    kept = F.col("leads") & F.col("id").eqNullSafe(F.col("component_id")) & (F.col("nth") == 1)
+    component = F.when(F.col("leads").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return got.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.when(F.col("leads").isNull(), True).otherwise(kept).alias("kept"))
 
 
-def member_ids(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and data (null if unusable) of each id; of several vectors the first by bytes."""
+def member_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, data (null if unusable), times of each id and vector; times: the rows it stands for, 1 unless id is null."""
 
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
         return pd.Series([_packed(v) for v in column], dtype=object)
 
-    return vectors.select(F.col(id_col).alias("id"), packed(vector_col).alias("data")).groupBy("id").agg(F.min("data").alias("data"))
+    rows = vectors.select(F.col(id_col).alias("id"), packed(vector_col).alias("data"), F.xxhash64(vector_col).alias("raw"))
+    rows = rows.groupBy("id", "data", F.when(F.col("data").isNull(), F.col("raw")).alias("raw")).agg(F.count("*").alias("c"))
+    return rows.select("id", "data", F.when(F.col("id").isNull(), F.col("c")).otherwise(F.lit(1)).cast("bigint").alias("times"))
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
