@@ -11,7 +11,9 @@ most repeated word, of words equal to the one before, of repeated lines, mean wo
 and the logarithm of the length.
 
 Fitting reads at most max_labels labelled rows (those with the smallest hashes of doc_id; a documented bound on what
-reaches the driver: max_labels x 90 doubles); scoring reads every document.
+reaches the driver: max_labels x 90 doubles); scoring reads every document. The weights are fitted to `pairs` (30,000)
+preference pairs drawn from these rows with replacement, a second bound: with few rows of one label their draws repeat,
+and rows may stay undrawn. Scaling and threshold use all training rows.
 
 Defined cases: null text counts as empty, an empty text has all shares 0 and a finite score; repeated labels of a
 document count each; of several documents with one doc_id the least text is learned from, and each is scored; null or other labels than 0 and 1 are left out; if either label is missing from the training rows
