@@ -52,11 +52,11 @@ def brute_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,hot", [(400, 20_000), (60, 20_000), (60, 0), (11, 1)])
-def test_suffix_removals(spark, rows, length, hot):
+@pytest.mark.parametrize("length,shrink", [(400, 7), (60, 7), (60, 100), (11, 2), (1, 7)])
+def test_suffix_removals(spark, rows, length, shrink):
     docs = make_docs(spark, rows)
     base = suffix_dedup.numbered(docs)
-    got = {(r["doc_id"], r["row"]): r for r in suffix_dedup.removals(base, length, hot).collect()}
+    got = {(r["doc_id"], r["row"]): r for r in suffix_dedup.removals(base, length, shrink=shrink).collect()}
     want = brute_removal([r["data"].decode() for r in base.orderBy("doc_id", "row").collect()], length)
     for r, (n, removed, spans, kept) in zip(base.orderBy("doc_id", "row").collect(), want, strict=True):
         g = got.get((r["doc_id"], r["row"]))
@@ -64,6 +64,47 @@ def test_suffix_removals(spark, rows, length, hot):
         assert (g["n_removed"], g["n_spans"], bytes(g["kept"])) == (removed, spans, kept) if g else removed == 0
 
 
+def brute_passages(texts, length=51):
+    """Of each text the number of words within repeats of length words, and the text without them."""
+    bounds = [[m.span() for m in re.finditer(r"[\u3000-\U0010ffff]|[^\t-\r \u3000-\U0010ffff]+", t or "")] for t in texts]
+    said = [[t[a:b] for a, b in at] for t, at in zip(texts, bounds, strict=True)]
+    count = Counter(tuple(w[p : p + length]) for w in said for p in range(len(w) - length + 1))
+    out = []
+    for text, w, at in zip(texts, said, bounds, strict=True):
+        gone = [any(count[tuple(w[p : p + length])] > 1 for p in range(max(0, k - length + 1), min(k, len(w) - length) + 1)) for k in range(len(w))]
+        begins = [a for a, _ in at] + [len(text or "")]
+        kept = (text or "")[: begins[0]] + "".join(text[begins[k] : begins[k + 1]] for k, g in enumerate(gone) if not g)
+        out.append((sum(gone), kept))
+    return out
+
+
+def test_passages_of_over_50_words(spark, data):
+    """Passages of 51 and more words below 400 bytes go, those of 50 words stay, and clean texts are as they were."""
+    rng = random.Random(12)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    long, short, wide = [new(51) for _ in range(6)], [new(50) for _ in range(6)], "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(60))
+    assert max(len(x) for x in long) < 400
+    texts = [new(80) + "\n" + long[k % 6] + " \n " + new(70) for k in range(18)] + [new(40) + " " + short[k % 6] + "  " + new(60) for k in range(18)] + [new(200) for _ in range(10)]
+    texts += [new(20) + wide + new(9), wide + new(30), long[0], "", None, " \n", new(5000) + " " + long[1], new(30) + " " + long[2] + " " + long[3] + " " + long[2]]
+    docs = make_docs(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    want = brute_passages(texts)
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_stage(spark, docs, "").collect()}
+    assert sum(n > 0 for n, _ in want) == 18 + 2 + 1 + 2
+    for k, (n, kept) in enumerate(want):
+        if n and not kept.strip():
+            assert k not in got
+        else:
+            assert got[k]["text"] == (kept if n else texts[k]) and got[k]["n_chars"] == len(texts[k] or "") * (not n) + len(kept) * bool(n)
+    passages = suffix_dedup.repeated_spans(suffix_dedup.numbered(docs), 51, "words")
+    counted = {r["doc_id"]: r["c"] for r in passages.select("doc_id", suffix_dedup.covered(F.col("spans"), 51).alias("c")).collect()}
+    assert {k: counted.get(k, 0) for k in range(len(texts))} == {k: n for k, (n, _) in enumerate(want)}
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    base = spark.createDataFrame(real, "doc_id bigint, text string")
+    counted = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in suffix_dedup.removals(suffix_dedup.numbered(base), 51, "words", as_text=True).collect()}
+    for (i, text), (n, kept) in zip(real, brute_passages([t for _, t in real]), strict=True):
+        assert counted.get(i, (0, text)) == (n, kept if n else text)
+
+
 def test_suffix_random_repeats(spark):
     rng = random.Random(9)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(12)]

@@ -55,7 +55,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._written_to = path
+    return got
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted when nothing reads them any more."""
+
+    def __init__(self):
+        self.held: dict[int, DataFrame] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        got = written(df, name)
+        self.held[id(got)] = got
+        return got
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in list(tables):
+            if self.held.pop(id(table), None) is not None:
+                removed(table.sparkSession, table._written_to)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

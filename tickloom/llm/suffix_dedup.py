@@ -1,48 +1,57 @@
-"""Suffix-array dedup: bytes covered by a string of `length` bytes that starts anywhere else are removed.
+"""Suffix-array dedup: units covered by a string of `length` units that starts anywhere else are removed.
 
-Distributed prefix doubling over a sampled suffix array. A full array would need a rank for every byte; here
-
-1. every string of `length` bytes elects one position in it, the leftmost one of least hash among its prefixes of
-   length/2 bytes. The choice depends on the string alone, so equal strings elect the same position. Neighbouring strings
-   mostly elect the same one, which leaves about one position for each length/4 bytes. A position is ranked by its prefix
-   of length/2 bytes (`core`), together with a rank of all the bytes that its run of strings spans (`extent`).
-2. Spark sorts (rank, position) pairs: a unique core means that none of the run's strings occurs elsewhere; an extent
-   that occurs twice means that all of them do. What is left are the runs at which a repeat begins or ends.
-3. There the prefix is doubled: each string is ranked by the pair of the ranks of its halves, at offset length/2, and is
-   a repeat if its pair is not unique.
+Units are bytes (length 400: op1) or words (length 51, that is passages of over 50 words: the pipeline's stage). Words
+are runs without ASCII white space; characters from U+3000 on (CJK, kana, Hangul, emoji) are words of their own, since
+such texts have no spaces.
 
-Ranks are 64-bit hashes of the bytes. Equal strings have equal ranks by construction; two different strings of one text
-collection share one with a chance of about 2^-64 a pair, and step 3 compares pairs of ranks.
+Distributed prefix doubling over a sampled suffix array. A full array would need a rank for every byte; here
 
-Scale: about 1 row for each 100 bytes is shuffled in step 2, partial counts first; equal runs of one document are merged
-before. Step 3 gathers contexts by core; a core with more than `hot` contexts goes by rows of single strings, counted by
-Spark, instead of in one task. Text is shuffled only for documents with something to refine or remove: rows are first
-held against the at most 2^20 hash buckets of those ids, whose broadcast has that bound at any size of the input.
+1. every string of `length` units elects one position in it, the leftmost one of least hash among its prefixes of
+   length/4. The choice depends on the string alone, so equal strings elect the same position. Neighbouring strings
+   mostly elect the same one, which leaves about one (rank, position) pair for each 3/8 of `length`. Its rank is that of
+   the prefix there (`inner`); `outer` is the rank of all that its run of strings spans.
+2. Spark sorts and counts the pairs. A unique inner rank: none of the run's strings occurs elsewhere, the run is done. An
+   outer rank that occurs twice: all of them do, the run is done. What is left are runs at which a repeat begins or ends.
+3. Those are ranked again, with more of the string: the run's strings are cut into classes of at most 1/7 as many
+   neighbours, aligned by their distance from the elected position, and inner is the rank of the window that all strings
+   of a class share: 100 of 400 bytes first, then 358, 394 and 400. Ranks are sorted and counted as in 2, unique ones
+   drop out, and the rounds end when the window has the length of the string. Then inner is the rank of the string.
+
+Ranks are 64-bit hashes of the units. Equal strings have equal ranks by construction; two different strings of one text
+collection share one with a chance of about 2^-64 a pair.
+
+Scale: about 1 row for each 150 bytes is shuffled in step 2, a few rows for each end of a repeat after that. Every count
+is a partial aggregation first, every join back is one of two shuffled tables that Spark can split where a rank is hot;
+no group meets in one task, however many documents share a passage. Text is shuffled only for documents with something
+to refine or remove: rows are first held against the at most 2^20 hash buckets of those ids, whose broadcast has that
+bound at any size of the input.
 
 Defined cases: null text counts as empty; texts shorter than `length` lose nothing; repeated rows with one doc_id are
 told apart by a row number within it, so a doubled row repeats itself like any copy; a null doc_id is an id of its own;
-an empty table gives no rows; further columns are not read.
+an empty table gives no rows; further columns are not read, and the stage hands them on.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import give_back, text_batches, touching, written
+from tickloom.llm.common import Scratch, give_back, text_batches, touching, written
 
 LENGTH = 400
-HOT = 20_000
+PASSAGE_WORDS = 51
+SHRINK = 7
 SEGMENT = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +71,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of data, from prefix sums of a polynomial modulo 2^64."""
+    """Hashes of any substring of bytes, or of units given as numbers of 64 bits: prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
@@ -77,6 +86,41 @@ class Hashes:
         return _mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
+def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop) of every word of texts one after the other, and where each text's words end. ends: of the texts, in bytes."""
+    word = ~_SPACE[data]
+    begins = np.append(0, ends[:-1])
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    start[begins[begins < len(data)]] = word[begins[begins < len(data)]]
+    wide = np.flatnonzero(data >= 0xE3)  # first bytes of characters of three or four bytes from U+3000 on
+    start[wide] = True
+    after = wide + np.where(data[wide] >= 0xF0, 4, 3)
+    after = after[after < len(data)]
+    start[after] = word[after]
+    breaks = np.append(np.flatnonzero(start | ~word), len(data))
+    first = np.flatnonzero(start)
+    return first, breaks[np.searchsorted(breaks, first, side="right")], np.searchsorted(first, ends)
+
+
+def word_ranks(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each word, some at a time."""
+    out, low = [np.zeros(0, np.uint64)], 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(stop, first[low] + SEGMENT, side="right")))
+        out.append(Hashes(data[first[low] : stop[high - 1]]).of(first[low:high] - first[low], stop[low:high] - first[low]))
+        low = high
+    return np.concatenate(out)
+
+
+def units(data: np.ndarray, ends: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The units of texts one after the other, and where each text's units end."""
+    if unit == "bytes":
+        return data, ends
+    first, stop, ends = word_bounds(data, ends)
+    return word_ranks(data, first, stop), ends
+
+
 def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     """For each i the leftmost position of the least of h[i : i + width], by its upper 40 bits."""
     m = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
@@ -89,23 +133,27 @@ def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     return (m & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
+def core_of(length: int) -> int:
+    return max(1, length // 4)
+
+
 def runs_of_segment(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(core, extent, first, last, elected) of each run of strings that elect one position.
+    """(inner, outer, first, last, elected) of each run of strings that elect one position.
 
-    data: bytes; starts: the positions, ascending, at which strings of `length` bytes within one document start.
+    data: units; starts: the positions, ascending, at which strings of `length` units within one document start.
     """
-    half = length // 2
+    core = core_of(length)
     hashes = Hashes(data)
-    grams = hashes.every(half)
-    elected = least_positions(grams, length - half + 1)[starts]
+    grams = hashes.every(core)
+    elected = least_positions(grams, length - core + 1)[starts]
     new = np.flatnonzero(np.append(True, (np.diff(elected) != 0) | (np.diff(starts) != 1)))
     first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
     at = elected[new]
-    extent = hashes.of(first, last + length) ^ _mixed((at - first).astype(np.uint64))
-    return grams[at], extent, first, last, at
+    outer = hashes.of(first, last + length) ^ _mixed((at - first).astype(np.uint64))
+    return grams[at], outer, first, last, at
 
 
-RUNS = "doc_id bigint, row int, core bigint, extent bigint, first bigint, last bigint, elected bigint, n int"
+RUNS = "doc_id bigint, row int, inner bigint, outer bigint, first bigint, last bigint, elected bigint, n int"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -117,207 +165,208 @@ def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[1:] - offsets[0]
 
 
-def runs(docs: DataFrame, length: int) -> DataFrame:
+def runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """The runs of each document. Positions count from the document's start.
 
-    Equal runs of a document become one row with n = 2, and where they stand, being repeats, rows without core.
+    Equal runs of a document become one row with n = 2, and where they stand, being repeats, rows without ranks.
     docs: doc_id, row, data (binary).
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = _column(batch, "data")
+            data, ends = units(*_column(batch, "data"), unit)
             begins = np.append(0, ends[:-1])
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            ids, rows = batch.column(0), batch.column(1).to_numpy()
             for low in range(0, max(1, len(data)), SEGMENT):
                 part = data[low : low + SEGMENT + length]
-                # Where strings start: before each document's last length - 1 bytes.
+                # Where strings start: before each document's last length - 1 units.
                 a, b = np.maximum(begins, low), np.minimum(ends - length + 1, low + SEGMENT)
                 some = np.flatnonzero(b > a)
                 if not len(some):
                     continue
                 counts = (b - a)[some]
                 starts = np.repeat(a[some] - low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                core, extent, first, last, at = runs_of_segment(part, starts, length)
+                inner, outer, first, last, at = runs_of_segment(part, starts, length)
                 doc = np.searchsorted(ends, first + low, side="right")
-                order = np.lexsort((first, extent, core, doc))
-                core, extent, first, last, at, doc = (x[order] for x in (core, extent, first, last, at, doc))
-                new = np.append(True, (np.diff(doc) != 0) | (core[1:] != core[:-1]) | (extent[1:] != extent[:-1]))
+                order = np.lexsort((first, outer, inner, doc))
+                inner, outer, first, last, at, doc = (x[order] for x in (inner, outer, first, last, at, doc))
+                new = np.append(True, (np.diff(doc) != 0) | (inner[1:] != inner[:-1]) | (outer[1:] != outer[:-1]))
                 group = np.cumsum(new) - 1
                 many = np.bincount(group)[group] > 1
                 first, last, at = (x + low - begins[doc] for x in (first, last, at))
-                # Merged spans of the repeats within a document.
-                if many.any():
+
+                def rows_of(d, *columns):
+                    n = np.full(len(d), 2) if len(columns) == 2 else columns[-1]
+                    ranks = [pa.nulls(len(d), pa.int64())] * 2 if len(columns) == 2 else [pa.array(c.view(np.int64)) for c in columns[3:5]]
+                    elected = pa.nulls(len(d), pa.int64()) if len(columns) == 2 else pa.array(columns[2])
+                    arrays = [ids.take(pa.array(d)), pa.array(rows[d].astype(np.int32)), *ranks, pa.array(columns[0]), pa.array(columns[1]), elected, pa.array(n.astype(np.int32))]
+                    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "inner", "outer", "first", "last", "elected", "n"])
+
+                yield rows_of(doc[new], first[new], last[new], at[new], inner[new], outer[new], np.where(many, 2, 1)[new])
+                if many.any():  # merged spans of the repeats within a document
                     d, f, e = doc[many], first[many], last[many]
                     o = np.lexsort((f, d))
                     d, f, e = d[o], f[o], e[o]
-                    gap = np.append(True, (np.diff(d) != 0) | (f[1:] > e[:-1] + length))
-                    head = np.flatnonzero(gap)
-                    spans = (d[head], f[head], np.maximum.reduceat(e, head))
-                else:
-                    spans = None
-                n = np.where(many, 2, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in doc[new]], pa.int64()), pa.array(rows[doc[new]].astype(np.int32)), pa.array(core[new].view(np.int64)), pa.array(extent[new].view(np.int64)),
-                     pa.array(first[new]), pa.array(last[new]), pa.array(at[new]), pa.array(n[new].astype(np.int32))],
-                    ["doc_id", "row", "core", "extent", "first", "last", "elected", "n"],
-                )
-                if spans:
-                    k = len(spans[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in spans[0]], pa.int64()), pa.array(rows[spans[0]].astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                         pa.array(spans[1]), pa.array(spans[2]), pa.nulls(k, pa.int64()), pa.array(np.full(k, 2, np.int32))],
-                        ["doc_id", "row", "core", "extent", "first", "last", "elected", "n"],
-                    )
+                    head = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (f[1:] > e[:-1] + length)))
+                    yield rows_of(d[head], f[head], np.maximum.reduceat(e, head))
             give_back()
 
     return docs.mapInArrow(scan, RUNS)
 
 
-def classified(found: DataFrame) -> DataFrame:
-    """The runs that are repeats (repeat) or may hold repeats (refine), with the number of different runs of their core.
+def shared_ranks(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The inner ranks that occur more than once, and whether with several outer ranks (mixed)."""
+    return scratch.table(found.groupBy("inner").agg(F.sum("n").alias("t"), (F.min("outer") < F.max("outer")).alias("mixed")).where("t > 1").select("inner", "mixed"), "ranks")
+
+
+def judged(found: DataFrame, scratch: Scratch, *place: str) -> DataFrame:
+    """One round: the rows of found that are repeats (repeat) or may hold repeats (refine); place: what tells rows apart.
 
-    found: what runs() gave.
+    Rows with a unique inner rank drop out. Of the rows of one outer rank one is refined for all.
     """
-    ranked = found.where("core is not null")
-    by_extent = ranked.groupBy("core", "extent").agg(F.sum("n").alias("c"), F.min(F.struct("doc_id", "row", "first")).alias("rep"))
-    by_core = by_extent.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least"))
-    alive = by_extent.join(by_core, "core").where("c > 1 or m > 1")
-    # A run that occurs once is refined against the others of its core; of those that occur more often one stands for all.
-    refine = (F.col("m") > 1) & (F.col("least") == 1) & ((F.col("c") == 1) | (F.struct("doc_id", "row", "first").eqNullSafe(F.col("rep"))))
-    marks = ranked.join(alive, ["core", "extent"]).select("doc_id", "row", "core", "first", "last", "elected", "m", (F.col("c") > 1).alias("repeat"), refine.alias("refine"))
-    local = found.where("core is null").select("doc_id", "row", "core", "first", "last", "elected", F.lit(0).cast("bigint").alias("m"), F.lit(True).alias("repeat"), F.lit(False).alias("refine"))
-    return marks.where("repeat or refine").unionByName(local)
-
-
-def contexts(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """The bytes that each run to refine spans: core, m, doc_id, row, first, data."""
-    wanted = marks.where("refine").groupBy("doc_id", "row").agg(F.collect_list(F.struct("core", "m", "first", "last")).alias("runs"))
+    shared = shared_ranks(found, scratch)
+    alive = scratch.table(found.join(shared, "inner"), "alive")
+    twice = scratch.table(alive.groupBy("inner", "outer").agg(F.sum("n").alias("c"), F.min(F.struct(*place)).alias("one")).where("c > 1").select("inner", "outer", "one"), "twice")
+    refine = F.col("mixed") & (F.col("one").isNull() | F.struct(*place).eqNullSafe(F.col("one")))
+    marks = alive.join(twice, ["inner", "outer"], "left").withColumn("repeat", F.col("one").isNotNull()).withColumn("refine", refine)
+    marks = scratch.table(marks.where("repeat or refine").drop("inner", "outer", "n", "mixed", "one"), "marks")
+    scratch.drop(shared, alive, twice)
+    return marks
+
+
+def contexts(docs: DataFrame, marks: DataFrame, length: int, unit: str) -> DataFrame:
+    """The units that each run to refine spans: ctx (a number), doc_id, row, first, at (elected, from first), hi (last, from first), data."""
+    wanted = marks.where("refine").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "elected")).alias("runs"))
     joined = touching(docs, wanted).join(wanted, _same(docs, wanted)).select(docs["doc_id"], docs["row"], "data", "runs")
+    width = 1 if unit == "bytes" else 8
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, row, data, at in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw = memoryview(data.as_buffer())
-                for run in at.as_py():
-                    for column, value in zip(out, (run["core"], run["m"], doc_id.as_py(), row.as_py(), run["first"], bytes(raw[run["first"] : run["last"] + length])), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["core", "m", "doc_id", "row", "first", "data"])
+            data, ends = units(*_column(batch, "data"), unit)
+            begins = np.append(0, ends[:-1])
+            lists = batch.column(3)
+            n = lists.value_lengths().to_numpy()
+            first, last, elected = (x.to_numpy() for x in lists.flatten().flatten())
+            doc = np.repeat(np.arange(len(n)), n)
+            raw = memoryview(np.ascontiguousarray(data)).cast("B")
+            low, high = (begins[doc] + first) * width, (begins[doc] + last + length) * width
+            for k in range(0, len(doc), 1000):
+                some = slice(k, k + 1000)
+                take = pa.array(doc[some])
+                parts = pa.array([bytes(raw[x:y]) for x, y in zip(low[some].tolist(), high[some].tolist(), strict=True)], pa.binary())
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(first[some]), pa.array((elected - first)[some].astype(np.int32)), pa.array((last - first)[some].astype(np.int32)), parts]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "first", "at", "hi", "data"])
+            give_back()
 
-    return joined.mapInArrow(cut, "core bigint, m bigint, doc_id bigint, row int, first bigint, data binary")
+    cuts = joined.mapInArrow(cut, "doc_id bigint, row int, first bigint, at int, hi int, data binary")
+    return cuts.withColumn("ctx", F.monotonically_increasing_id())  # fixed once the table is written
 
 
 def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
 
 
-def _doubled(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every string in the contexts: its two ranks, by halves, in one number; the context; its start in the context."""
-    begins = np.append(0, ends[:-1])
-    half = (length + 1) // 2  # of an odd length the halves share a byte
-    grams = Hashes(data).every(half)
-    counts = ends - begins - length + 1
-    of = np.repeat(np.arange(len(ends)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    where = begins[of] + at
-    return _mixed(grams[where] * np.uint64(3) + _mixed(grams[where + length - half])), of, at
-
-
-SPANS = "doc_id bigint, row int, first bigint, last bigint"
-
-
-def _spans(repeat: np.ndarray, of: np.ndarray, at: np.ndarray, batch: pa.Table) -> pa.RecordBatch:
-    """Stretches of strings that are repeats, as rows of SPANS."""
-    hit = np.flatnonzero(repeat)
-    head = np.append(True, (np.diff(hit) != 1) | (of[hit[1:]] != of[hit[:-1]])) if len(hit) else np.zeros(0, bool)
-    first = hit[head]
-    last = hit[np.append(head[1:], True)] if len(hit) else hit
-    base = batch["first"].to_numpy()
-    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
-    doc = batch["doc_id"].take(pa.array(of[first])).combine_chunks() if len(first) else pa.array([], pa.int64())
-    row = batch["row"].take(pa.array(of[first])).combine_chunks() if len(first) else pa.array([], pa.int32())
-    return pa.RecordBatch.from_arrays([doc, row, pa.array(base[of[first]] + at[first]), pa.array(base[of[last]] + at[last])], schema=kinds)
-
-
-def refined(found: DataFrame, length: int, hot: int) -> DataFrame:
-    """Spans of repeated strings within contexts, by the doubled rank. found: what contexts() gave."""
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(table: pa.Table) -> pa.RecordBatch:
-            data, ends = _column(table.combine_chunks().to_batches()[0], "data")
-            rank, of, at = _doubled(data, ends, length)
-            _, which, times = np.unique(rank, return_inverse=True, return_counts=True)
-            return _spans(times[which] > 1, of, at, table)
-
-        held: list[pa.Table] = []
-        size = 0
-        for batch in batches:  # sorted by core: a core's contexts are neighbours
-            table = pa.Table.from_batches([batch])
-            core = table["core"].to_numpy()
-            starts = np.append(np.flatnonzero(np.diff(core, prepend=core[0] if len(core) else 0)), len(core))
-            low = 0
-            if size > 1 << 20 and held[-1]["core"][-1].as_py() != core[0]:
-                yield counted(pa.concat_tables(held))
-                held, size = [], 0
-            for stop in starts.tolist():
-                piece = table.slice(low, stop - low)
-                if len(piece):
-                    held.append(piece)
-                    size += piece["data"].nbytes
-                low = stop
-                if size > 1 << 20 and stop < len(core):
-                    yield counted(pa.concat_tables(held))
-                    held, size = [], 0
-        if held:
-            yield counted(pa.concat_tables(held))
-
-    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def class_ranks(found: DataFrame, length: int, width: int, unit: str) -> DataFrame:
+    """Classes of `width` neighbouring strings of contexts, ranked: inner, outer, ctx, lo, hi (starts in the context), n.
+
+    found: ctx, at, data, ranges (array of structs lo, hi: the strings of the context to rank).
+    """
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                table = pa.Table.from_batches([batch.slice(low, 500)]).combine_chunks()
-                data, ends = _column(table.to_batches()[0], "data")
-                rank, of, at = _doubled(data, ends, length)
-                take = pa.array(of)
-                start = table["first"].to_numpy()[of] + at
-                arrays = [pa.array(rank.view(np.int64)), table["doc_id"].take(take).combine_chunks(), table["row"].take(take).combine_chunks(), pa.array(start)]
-                yield pa.RecordBatch.from_arrays(arrays, ["rank", "doc_id", "row", "first"])
-
-    few = found.where(F.col("m") <= hot).repartition("core").sortWithinPartitions("core").mapInArrow(grouped, SPANS)
-    rows = found.where(F.col("m") > hot).mapInArrow(singly, "rank bigint, doc_id bigint, row int, first bigint")
-    twice = rows.groupBy("rank").agg(F.count("*").alias("c")).where("c > 1")
-    many = rows.join(twice, "rank").select("doc_id", "row", "first", F.col("first").alias("last"))
-    return few.unionByName(many)
+            data, ends = _column(batch, "data")
+            if unit != "bytes":
+                data, ends = data.view(np.uint64), ends // 8
+            begins = np.append(0, ends[:-1])
+            elected = batch.column(1).to_numpy().astype(np.int64)
+            lists = batch.column(3)
+            of = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            low, high = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+            # By distance d from the start of a string to the elected position: class j has the d from j width on.
+            least, most = elected[of] - high, elected[of] - low
+            k = most // width - least // width + 1
+            i = np.repeat(np.arange(len(k)), k)
+            j = (least // width)[i] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+            at = elected[of[i]]
+            first, last = at - np.minimum(most[i], j * width + width - 1), at - np.maximum(least[i], j * width)
+            base = begins[of[i]]
+            hashes = Hashes(data)
+            start = base + at - j * width
+            inner = _mixed(hashes.of(start, start - width + 1 + length) + (j + 1).astype(np.uint64) * np.uint64(_BASE))
+            outer = hashes.of(base + first, base + last + length) ^ _mixed((at - first).astype(np.uint64))
+            arrays = [pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), batch.column(0).take(pa.array(of[i])), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.ones(len(i), np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["inner", "outer", "ctx", "lo", "hi", "n"])
+
+    return found.select("ctx", "at", "data", "ranges").mapInArrow(rank, "inner bigint, outer bigint, ctx bigint, lo int, hi int, n int")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", shrink: int = SHRINK) -> DataFrame:
+    """doc_id, row, spans of the documents that hold repeats: structs (first, last), the first and last start of repeated strings."""
+    text_batches(docs.sparkSession)
+    scratch = Scratch()
+    found = scratch.table(runs(docs, length, unit), "runs")
+    marks = judged(found.where("inner is not null"), scratch, "doc_id", "row", "first")
+    spans = found.where("inner is null").select("doc_id", "row", "first", "last")
+    spans = spans.unionByName(marks.where("repeat").select("doc_id", "row", "first", "last"))
+    width, wanted = length - core_of(length) + 1, None
+    while width > 1 and not marks.where("refine").isEmpty():
+        if wanted is None:
+            held = scratch.table(contexts(docs, marks, length, unit), "contexts")
+            places = held.select("ctx", "doc_id", "row", F.col("first").alias("from"))
+            wanted = held.withColumn("ranges", F.array(F.struct(F.lit(0).alias("lo"), "hi")))
+        else:
+            still = marks.where("refine").groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+            wanted = held.join(still, "ctx")
+        width = -(-width // shrink)
+        ranks = scratch.table(class_ranks(wanted, length, width, unit), "classes")
+        if width > 1:
+            marks = judged(ranks, scratch, "ctx", "lo")
+            scratch.drop(ranks)
+            repeats = marks.where("repeat")
+        else:  # an inner rank is now that of a string
+            repeats = ranks.join(shared_ranks(ranks, scratch), "inner")
+        spans = spans.unionByName(repeats.join(places, "ctx").select("doc_id", "row", (F.col("from") + F.col("lo")).alias("first"), (F.col("from") + F.col("hi")).alias("last")))
+    lists = written(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    scratch.drop(*scratch.held.values())
+    return lists
+
+
+def covered(spans: Column, length: int) -> Column:
+    """How many units the spans of a document cover."""
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("sum"))
+
+    def add(so_far: Column, span: Column) -> Column:
+        end = span["last"] + length
+        more = F.greatest(F.lit(0).cast("bigint"), end - F.greatest(span["first"], so_far["end"]))
+        return F.struct(F.greatest(end, so_far["end"]).alias("end"), (so_far["sum"] + more).alias("sum"))
+
+    return F.aggregate(F.array_sort(spans), start, add, lambda x: x["sum"])
 
 
 REMOVED = "doc_id bigint, row int, n_removed bigint, n_spans bigint, kept {}"
 
 
-def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_text: bool = False) -> DataFrame:
-    """doc_id, row, n_removed, n_spans, kept of the documents that lose bytes. docs: doc_id, row, data.
+def removals(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", as_text: bool = False, shrink: int = SHRINK) -> DataFrame:
+    """doc_id, row, n_removed (units), n_spans, kept of the documents that lose something. docs: doc_id, row, data.
 
-    kept: the remaining bytes, or as_text, without parts of characters at the cuts.
+    kept: the remaining bytes, or as_text, without parts of characters at the cuts. A removed word goes with the white space after it.
     """
-    text_batches(docs.sparkSession)
-    found = written(runs(docs, length), "runs")
-    marks = written(classified(found), "marks")
-    spans = refined(written(contexts(docs, marks, length), "contexts"), length, hot)
-    every = marks.where("repeat").select("doc_id", "row", "first", "last").unionByName(spans)
-    lists = every.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    lists = written(lists, "spans")
+    lists = repeated_spans(docs, length, unit, shrink)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, row, data, spans in zip(*(batch.column(i) for i in range(4)), strict=True):
                 raw = np.frombuffer(data.as_buffer(), np.uint8)
-                pairs = np.array([(s["first"], s["last"]) for s in spans.as_py()])
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 1] + length, -1)
+                # Where each unit begins.
+                edges = np.arange(len(raw) + 1) if unit == "bytes" else np.append(word_bounds(raw, np.array([len(raw)]))[0], len(raw))
+                first, last = (x.to_numpy() for x in spans.values.flatten())
+                edge = np.zeros(len(edges), np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, last + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                left = raw[~gone].tobytes()
+                lost = gone if unit == "bytes" else np.repeat(np.append(False, gone), np.diff(edges, prepend=0))
+                left = raw[~lost].tobytes()
                 values = (doc_id.as_py(), row.as_py(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), left.decode("utf-8", "ignore") if as_text else left)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
@@ -329,30 +378,38 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, as_text: boo
     return joined.mapInArrow(remove, REMOVED.format("string" if as_text else "binary"))
 
 
-def numbered(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs as doc_id, row, data and the columns in keep; row: 0, or for repeated doc_ids their number by text hash."""
+def numbered(docs: DataFrame, *keep: Column) -> DataFrame:
+    """docs as doc_id, row, data and the columns keep; row: 0, or for repeated doc_ids their number by text hash."""
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"), *keep)
+    names = [c for c in base.columns if c not in ("doc_id", "data")]
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id").limit(1)
     if repeated.isEmpty():
-        return base.select("doc_id", F.lit(0).alias("row"), "data", *keep)
-    return written(base.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("data"))) - 1).select("doc_id", "row", "data", *keep), "numbered")
+        return base.select("doc_id", F.lit(0).alias("row"), "data", *names)
+    return written(base.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("data"))) - 1).select("doc_id", "row", "data", *names), "numbered")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for strings of 400 bytes, and n_passage_words: words within passages of over 50 words that stand elsewhere, too."""
     docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     gone = removals(docs).select("doc_id", "row", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    passages = repeated_spans(docs, PASSAGE_WORDS, "words").select("doc_id", "row", covered(F.col("spans"), PASSAGE_WORDS).alias("n_passage_words"))
     whole = docs.select("doc_id", "row", F.length("data").cast("bigint").alias("n_bytes"), F.sha2("data", 256).alias("sha"))
-    return whole.join(gone, _same(whole, gone), "left").select(
-        whole["doc_id"], "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
-    )
+    joined = whole.join(gone, _same(whole, gone), "left").join(passages, _same(whole, passages), "left")
+    none = F.lit(0).cast("bigint")
+    return joined.select(
+        whole["doc_id"], "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_passage_words", none).alias("n_passage_words")
+    )
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated bytes; parts of characters at cuts go, and so do documents left empty."""
-    base = numbered(docs, "text", "lang", "source", "n_chars")
-    lost = removals(base.select("doc_id", "row", "data"), as_text=True).select("doc_id", "row", F.col("kept").alias("left_text"))
-    rest = base.drop("data")
-    joined = rest.join(lost, _same(rest, lost), "left").select(
-        rest["doc_id"], F.coalesce("left_text", "text").alias("text"), "lang", "source", F.when(F.col("left_text").isNull(), F.col("n_chars")).otherwise(F.length("left_text")).alias("n_chars")
-    )
-    return joined.where("text is null or text <> ''").select("doc_id", "text", "lang", "source", "n_chars")
+    """The documents without the passages of over 50 words that stand elsewhere, too, with all their columns.
+
+    n_chars is counted anew where text was lost; documents of which only white space is left go, all others stay.
+    """
+    base = numbered(docs, F.struct(*docs.columns).alias("doc"))
+    lost = removals(base.select("doc_id", "row", "data"), PASSAGE_WORDS, "words", as_text=True).select("doc_id", "row", F.col("kept").alias("left"))
+    rest = base.select("doc_id", "row", "doc")
+    joined = rest.join(lost, _same(rest, lost), "left").where("left is null or trim(BOTH '\t\n\x0b\f\r ' FROM left) <> ''")
+    changed = F.col("left").isNotNull()
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return joined.select(*(F.when(changed, new[c]).otherwise(F.col("doc")[c]).alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
