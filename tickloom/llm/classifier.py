@@ -5,7 +5,7 @@ w.f(text); w maximises the likelihood of the preferences, a logistic loss on fea
 by Newton's method. The decision threshold is a quantile of the training scores: the one at which the fewest training
 documents are misjudged. Scores are mapped to (0, 1) by a logistic curve that gives the threshold the value `cut`.
 
-Features of a text (all from the whole text, none from other columns): shares of its bytes by class (each ASCII
+Features of a text (all from the whole text, none from other columns; they describe its surface, no word is looked up): shares of its bytes by class (each ASCII
 punctuation mark, upper case, lower case, digits, spaces, line feeds, other bytes), the share of distinct words, of the
 most repeated word, of words equal to the one before, of repeated lines, mean word length, each with its square root,
 and the logarithm of the length.
@@ -149,4 +149,5 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classify(docs, model, *docs.columns).where("predicted = 1").select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("doc"))  # so that no name of theirs meets one of ours
+    return classify(whole, model, "doc").where("predicted = 1").select("doc.*")
