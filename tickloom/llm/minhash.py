@@ -1,7 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A text is the set of its runs of five words (of all its words, if it has fewer), each of weight 1, or with
-weighted=True of the weight of its count. Similarity is the (weighted) Jaccard coefficient.
+A text is the set of its runs of five words (of all its words, if it has fewer), each weighing as often as it occurs, or
+with weighted=False 1. Similarity is the weighted Jaccard coefficient: the sum of the lesser weights over that of the greater.
 
 Signatures: every element owns a plane of weight x rank, cut into cells whose sides double. A cell's darts follow from
 hashes of the element and the cell: a Poisson number of darts, each with a weight, a rank and one of k coordinates. A
@@ -149,7 +149,7 @@ def banded(signature: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
 
 
-def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def signed(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """doc_id, digest (d1, d2), bands, sketch (a byte of each coordinate) of every document; bands null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +363,7 @@ def cross_links(members: DataFrame, texts: DataFrame, reps: DataFrame, threshold
     return by_group(left.join(texts_of(left, texts, reps), "rep"), lambda t: linked_members(t, threshold, weighted), "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """doc_id, d1, d2, times, class_id, head of each distinct doc_id and text. docs: what with_digest() gave.
 
     times: how many rows it stands for; class_id: the least doc_id of its class; head: one of each class, and of that id.
@@ -406,11 +406,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fals
     of_text = reps.select("rep", "d1", "d2", "least").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     first = of_text.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "d1", "d2")).alias("first"))
     named = of_text.join(first, "component").select("d1", "d2", F.col("first.least").alias("class_id"), F.struct("d1", "d2").eqNullSafe(F.struct("first.d1", "first.d2")).alias("leads"))
-    each = sign.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("times"))
-    return each.join(named, ["d1", "d2"]).select("doc_id", "d1", "d2", "times", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("head"))
+    # Two written tables join, so that Spark can split the rows of a text that very many documents are copies of.
+    each = sign.select("doc_id", "d1", "d2").join(written(named, "named"), ["d1", "d2"]).groupBy("doc_id", "d1", "d2", "class_id", "leads").agg(F.count("*").alias("times"))
+    return each.select("doc_id", "d1", "d2", "times", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("head"))
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """doc_id, d1, d2, class_id, kept of every row. docs: what with_digest() gave."""
     found = classes(docs, threshold, weighted)
     rows = found.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
