@@ -1,7 +1,8 @@
 """Embedding near-dedup: an exact metric range join.
 
 Vectors are scaled to length 1, where cosine >= c is a chord of at most sqrt(2 - 2c); chords are a metric. A bounded set
-of pivots (distinct vectors with the smallest hashes) cuts the vectors into cells by nearest pivot. A vector can be
+of pivots (distinct vectors with the smallest hashes; from 24 up to the square root of their number, 1024 at most, as far
+as copies on a sample of 1024 stay few) cuts the vectors into cells by nearest pivot. A vector can be
 linked with a member of another cell only if the triangle inequality allows it, so it is copied to the cells where
 - its distance to the pivot is at most the cell's radius plus the range, and at least the least distance of a member
   minus the range, and
@@ -36,12 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import connected_components, written
 
 PIVOTS = 24
+MOST_PIVOTS = 1024
+MOST_COPIES = 24.0
+SAMPLE = 1024
 BLOCK = 4096
 SLACK = 1e-5
 NO_EDGE = -(1 << 63)  # stands in rows that count links
@@ -65,17 +70,28 @@ def points(rows: DataFrame) -> DataFrame:
     return hashed.select("data", F.when(F.col("nth") == 1, F.col("h")).otherwise(F.shiftrightunsigned(F.xxhash64("data", "nth"), 1)).alias("point"), "n")
 
 
-def _packed(v) -> bytes | None:
-    if v is None:
-        return None
-    try:
-        x = np.array(v, np.float64)
-    except (TypeError, ValueError):
-        return None
-    if not len(x) or not np.isfinite(x).all() or not np.any(x):
-        return None
-    x = x / np.abs(x).max() if np.abs(x).max() > 1e100 or np.abs(x).max() < 1e-100 else x
-    return x.astype("<f8").tobytes()
+def packed_vectors(lists: pa.ListArray) -> pa.Array:
+    """Doubles, little-endian, of each vector; null for vectors that are null, empty or zero, or hold null or non-finite components.
+
+    Vectors of very large or small components are scaled by a power of two first, so that squares stay finite.
+    """
+    n = len(lists)
+    size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, lists.value_lengths().fill_null(0).to_numpy()).astype(np.int64)
+    x = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    top = np.zeros(n)
+    some = np.flatnonzero(size)
+    ends = np.cumsum(size)
+    if len(some):
+        top[some] = np.maximum.reduceat(np.abs(x), (ends - size)[some])  # NaN if any is
+    good = np.isfinite(top) & (top > 0)
+    scale = np.ones(n)
+    odd = good & ((top > 1e100) | (top < 1e-100))
+    scale[odd] = np.exp2(-np.clip(np.floor(np.log2(top[odd])), -1000, 1000))
+    take = np.repeat(good, size)
+    data = (x * np.repeat(scale, size))[take].astype("<f8") + 0.0  # one zero
+    offsets = np.append(0, np.cumsum(np.where(good, size, 0)) * 8).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(good, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def joined_block(members: pd.DataFrame, others: pd.DataFrame, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,11 +165,31 @@ def links(found: DataFrame, cosine: float = 0.9, pivots: int = PIVOTS, block: in
     return found.join(counts, "point", "left").select("point", "data", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), blocks.where(F.col("b") != NO_EDGE).select("a", "b")
 
 
+def pivot_count(pivots: np.ndarray, sample: np.ndarray, reach: float, least: int) -> int:
+    """How many of the pivots to use: the number, doubled from least on, at which a vector meets the least share of all others.
+
+    That share is about copies / pivots, with the copies of a vector measured on the sample; numbers at which there are more
+    than MOST_COPIES are left out, so the shuffle stays in proportion to the input. In noise this is least itself.
+    """
+    best, k = (math.inf, least), least
+    while k <= len(pivots) and len(sample):
+        cos = sample @ pivots[:k].T
+        own = cos.argmax(1)
+        gap = np.sqrt(np.maximum(1e-12, 2 - 2 * pivots[:k] @ pivots[:k].T))[own]
+        copies = ((cos[np.arange(len(own)), own][:, None] - cos) / gap <= reach).sum(1).mean()
+        if k == least or copies <= MOST_COPIES:
+            best = min(best, (copies / k, k))
+        k = min(2 * k, len(pivots)) if k < len(pivots) else k + 1
+    return min(best[1], len(pivots))
+
+
 def links_by_cells(found: DataFrame, cosine: float, pivots: int, block: int) -> DataFrame:
     """block_links() of all points of one length, written."""
-    chosen = found.orderBy(F.xxhash64("data"), "point").limit(pivots).select("data").toPandas()
-    centre = unit(stacked(chosen["data"]))
+    most = max(pivots, min(MOST_PIVOTS, math.isqrt(found.count())))
+    chosen = found.orderBy(F.xxhash64("data"), "point").limit(most + SAMPLE).select("data").toPandas()
+    chosen = unit(stacked(chosen["data"]))
     reach = math.sqrt(2 - 2 * cosine) + SLACK
+    centre = chosen[: pivot_count(chosen[:most], chosen[most:], reach, pivots)]
     cells = written(dealt(found, centre, cosine), "cells")
     shape = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("c"), F.max("near").alias("far"), F.min("near").alias("near")).collect()}  # a row a pivot
     k = len(centre)
@@ -232,15 +268,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
 
 
 def member_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, data (null if unusable), times of each id and vector; times: the rows it stands for, 1 unless id is null."""
+    """id, data (null if unusable), times of each id and vector, written; times: the rows it stands for, 1 unless id is null."""
 
-    @F.pandas_udf("binary")
-    def packed(column: pd.Series) -> pd.Series:
-        return pd.Series([_packed(v) for v in column], dtype=object)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed_vectors(batch.column(1)), batch.column(2)], ["id", "data", "raw"])
 
-    rows = vectors.select(F.col(id_col).alias("id"), packed(vector_col).alias("data"), F.xxhash64(vector_col).alias("raw"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.xxhash64(vector_col).alias("raw"))
+    rows = rows.mapInArrow(pack, "id bigint, data binary, raw bigint")
     rows = rows.groupBy("id", "data", F.when(F.col("data").isNull(), F.col("raw")).alias("raw")).agg(F.count("*").alias("c"))
-    return rows.select("id", "data", F.when(F.col("id").isNull(), F.col("c")).otherwise(F.lit(1)).cast("bigint").alias("times"))
+    return written(rows.select("id", "data", F.when(F.col("id").isNull(), F.col("c")).otherwise(F.lit(1)).cast("bigint").alias("times")), "vectors")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
