@@ -16,7 +16,7 @@ checkpoints of a block are decoded side by side, one id each per step.
 Tokenising: the tokenizers library, called once per distinct piece between spaces of a task's batches. Texts with characters outside
 the blocks where its Unicode tables are known to agree with Python's regex module go through it whole.
 
-Defined cases: null or empty text gives only the end id; repeated doc_ids stay separate, ordered by text; a null doc_id
+Defined cases: null or empty text gives only the end id; repeated doc_ids stay separate, ordered by text hash; a null doc_id
 comes first; an empty table gives an empty file set; further columns are not read.
 """
 
@@ -340,7 +340,9 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None, slice_bytes: int =
                 nth, at, first_id = nth + end - at, end, first_id + int(upto[-1])
             give_back()
 
-    dealt = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "data")
+    dealt = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    # Rows of one doc_id may be many: they are dealt out by their texts.
+    dealt = dealt.withColumn("h", F.xxhash64("data")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "data").drop("h")
     return dealt.mapInArrow(run, "doc_id bigint, ids binary, nth bigint, start bigint").select("doc_id", "ids", "nth", "start", F.spark_partition_id().alias("part"))
 
 
