@@ -14,6 +14,8 @@ an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,29 +52,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / n)
 
 
-def with_next(docs: DataFrame, per_bucket: int = 4000, max_cuts: int = 1024) -> DataFrame:
-    """doc_id, text, next_text: the text of the row before in ascending doc_id (the last row's for the first).
+def dealt(docs: DataFrame, per_bucket: int, max_cuts: int) -> DataFrame:
+    """doc_id, text, times (equal rows that it stands for), bucket: a number that does not fall in the order of (doc_id, text hash).
 
-    Rows are dealt into buckets, ranges of doc_id, and lag() runs within a bucket. At most max_cuts approximate quantiles
-    bound the ranges; with more rows each range is cut evenly, so what reaches the driver is bounded. The last row of a
-    bucket is carried to the next one by a join of one row per bucket, which moves no other text.
+    At most max_cuts approximate quantiles of doc_id bound the buckets; with more rows each range is cut evenly, so what
+    reaches the driver is bounded. An id that holds several quantiles has buckets of its own, by ranges of the text hash, and
+    of its equal rows one stands for all.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_ = F.coalesce("doc_id", F.lit(LEAST_ID))
     parts = max(1, -(-docs.count() // per_bucket))
     cuts = min(parts, max_cuts)
     got = docs.select(F.percentile_approx(id_, [i / cuts for i in range(cuts + 1)], 10_000).alias("q"), F.min(id_).alias("a"), F.max(id_).alias("b")).first()
-    bounds = sorted({int(x) for x in [*(got["q"] or []), *([got["a"], got["b"]] if got["a"] is not None else [])]})
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = docs.withColumn("bucket", _bucket(id_, bounds, -(-parts // cuts)))
-    lasts = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(id_, F.xxhash64("text"))).alias("carried"))
+    quantiles = [int(x) for x in got["q"] or []]
+    bounds = sorted({*quantiles, *(int(x) for x in (got["a"], got["b"]) if x is not None)})
+    bucket = _bucket(id_, bounds, -(-parts // cuts))
+    often = Counter(quantiles)
+    crowded = sorted(x for x, n in often.items() if n > 2)
+    if not crowded:
+        return docs.select("doc_id", "text", F.lit(1).alias("times"), bucket.alias("bucket"))
+    pieces = max(often.values()) * -(-parts // cuts)
+    of_hash = F.least(F.floor((F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * pieces), F.lit(pieces - 1))
+    here = id_.isin(crowded)
+    rows = docs.where(~here).withColumn("times", F.lit(1).cast("bigint")).unionByName(docs.where(here).groupBy("doc_id", "text").agg(F.count("*").alias("times")))
+    return rows.select("doc_id", "text", "times", (bucket * (pieces + 1) + F.when(here, of_hash).otherwise(pieces)).alias("bucket"))
+
+
+def with_next(docs: DataFrame, per_bucket: int = 4000, max_cuts: int = 1024) -> DataFrame:
+    """doc_id, text, next_text: the text of the row before in ascending doc_id (the last row's for the first).
+
+    lag() runs within a bucket of dealt(). The last row of a bucket is carried to the next one by a join of one row per
+    bucket, which moves no other text.
+    """
+    rows = dealt(docs, per_bucket, max_cuts)
+    place = F.struct(F.coalesce("doc_id", F.lit(LEAST_ID)), F.xxhash64("text"))
+    lasts = rows.groupBy("bucket").agg(F.max_by("text", place).alias("carried"))
     # The bucket before each one: a window over one number per bucket.
     every = Window.orderBy("bucket")
     before = lasts.select("bucket", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("prior"))
     carried = before.join(lasts.withColumnRenamed("bucket", "prior"), "prior").select("bucket", "carried")
-    w = Window.partitionBy("bucket").orderBy(*order)
-    within = dealt.withColumn("before", F.lag("text").over(w)).join(carried, "bucket")
-    return within.select("doc_id", "text", F.coalesce("before", "carried").alias("next_text"))
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    within = rows.withColumn("before", F.lag("text").over(w)).join(carried, "bucket").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return within.select("doc_id", "text", F.when(F.col("nth") > 1, F.col("text")).otherwise(F.coalesce("before", "carried")).alias("next_text"))
 
 
 LEAST_ID = -(1 << 63)
