@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import checkpointed
+from tickloom.llm.common import checkpointed, written
 
 BROADCAST_ROWS = 200_000  # small tables of more rows are shuffled, not broadcast
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,17 +123,20 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: i
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("key"), *keep)
+    # Words are counted in one scan of the texts; where columns are kept, their rows are counted again as they are read.
+    narrow = written(base.drop(*keep), "sizes")
     # One row a source, computed once; how many sources and buckets there are decides how the small tables join.
-    targets = checkpointed(source_targets(base.select("source", "size"), max_repeats, weights))
+    targets = checkpointed(source_targets(narrow.select("source", "size"), max_repeats, weights))
     n = targets.agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.ceil(F.sqrt("n_docs"))), F.lit(0)).alias("buckets")).first()
     small = F.broadcast if max(n["sources"], n["buckets"]) <= BROADCAST_ROWS else (lambda df: df)
     spread = F.ceil(F.sqrt("n_docs"))  # buckets and rows in a bucket grow alike
-    placed = (
-        base.join(small(targets.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-        .drop("of")
-        .withColumn("bucket", F.pmod(F.shiftright("key", 16), spread.cast("bigint")))
-    )
-    cells = placed.groupBy("idx", "bucket").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_docs"), F.first("target").alias("t"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        joined = rows.join(small(targets.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        return joined.withColumn("bucket", F.pmod(F.shiftright("key", 16), spread.cast("bigint")))
+
+    placed = dealt(base if keep else narrow)
+    cells = dealt(narrow).groupBy("idx", "bucket").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_docs"), F.first("target").alias("t"))
     prior = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("idx", "bucket", F.coalesce(F.sum("cell_size").over(prior), F.lit(0)).alias("size_before"), F.coalesce(F.sum("cell_docs").over(prior), F.lit(0)).alias("docs_before"))
     inside = Window.partitionBy("idx", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,15 +165,19 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: i
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: one row for each drawn copy, in its shard's local order; a cut copy holds its first words.
 
-    Columns are those of documents; doc_id repeats with the copies.
+    All columns of docs are handed on (n_chars, if there, counted anew for cut copies); doc_id repeats with the copies.
     """
-    rows = mix_sources(docs, keep=("text", "lang", "n_chars"), **how).select("doc_id", "source", "lang", "text", "n_chars", "size", F.explode("copies").alias("c"))
-    piece = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("c.words").cast("int")), "")
-    text = F.when(F.col("c.words") < F.col("size"), piece).otherwise(F.col("text"))
-    out = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("c.words") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")))
+    rows = mix_sources(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__doc")), keep=("__doc",), **how)
+    rows = rows.select("size", "__doc", F.explode("copies").alias("c"))
+    piece = F.array_join(F.slice(F.regexp_extract_all(F.col("__doc.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("c.words").cast("int")), "")
+    cut = F.col("c.words") < F.col("size")
+    out = rows.select("__doc", F.when(cut, piece).alias("__cut"), F.col("c.shard").alias("__shard"), F.col("c.local_key").alias("__key"))
     # Ranges of (shard, random key): a shard is in its local order, over as many tasks as it needs.
-    out = out.withColumns({"__shard": F.col("c.shard"), "__key": F.col("c.local_key")})
-    return out.repartitionByRange("__shard", "__key").sortWithinPartitions("__shard", "__key").select("doc_id", "text", "lang", "source", "n_chars")
+    out = out.repartitionByRange("__shard", "__key").sortWithinPartitions("__shard", "__key")
+    new = {"text": F.col("__cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("__cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(F.coalesce(new[c], F.col("__doc")[c]).alias(c) if c in new else F.col("__doc")[c].alias(c) for c in docs.columns))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
