@@ -128,10 +128,11 @@ def test_segments_do_not_matter(spark, rows, monkeypatch):
 
 def shingle_set(text):
     w = re.findall(r"[^\t-\r ]+", text or "")
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute_groups(rows):
+    """Groups by weighted Jaccard: runs of five words weigh as often as they occur."""
     ids = [i for i, _, _ in rows]
     sets = [shingle_set(t) for _, t, _ in rows]
     label = list(range(len(rows)))
@@ -144,7 +145,7 @@ def brute_groups(rows):
     for x in range(len(rows)):
         for y in range(x):
             same = (rows[x][1] or "") == (rows[y][1] or "")
-            if same or sets[x] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+            if same or sets[x] and (sets[x] & sets[y]).total() >= 0.8 * (sets[x] | sets[y]).total():
                 label[root(x)] = root(y)
     least = {}
     for x in range(len(rows)):
@@ -328,9 +329,67 @@ def test_fingerprints(spark, rows):
             assert (prints[a] == prints[b]) == (texts[a] == texts[b])
 
 
+def test_next_text_with_a_crowded_id(spark):
+    """One id holds most rows, a third of them equal: its rows are dealt out, and the order is that of (id, text hash)."""
+    rows = [(7, f"t{k}", "s") for k in range(2000)] + [(7, "same", "s")] * 1500 + [(k, f"u{k}", "s") for k in range(300)] + [(None, None, "s")] * 4
+    docs = make_docs(spark, rows)
+    sizes = sorted(r["count"] for r in fingerprints.dealt(docs, 100, 16).groupBy("bucket").count().collect())
+    assert sizes[-1] <= 5 * sizes[len(sizes) // 2]
+    texts = spark.createDataFrame([(t or "",) for _, t, _ in rows], "t string").distinct().select("t", F.xxhash64("t").alias("h")).collect()
+    h = {r["t"]: r["h"] for r in texts}
+    ordered = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    want = Counter((i, t, ordered[k - 1][1]) for k, (i, t) in enumerate(ordered))
+    for how in ((100, 16), (4000, 1024), (50, 3)):
+        assert Counter(tuple(r) for r in fingerprints.with_next(docs, *how).collect()) == want
+
+
 # ---- 7
 
 
+def plain_features(text):
+    """What classifier.features() documents, counted one by one."""
+    data = (text or "").encode()
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    if not data:
+        return [0.0] * (2 * (len(marks) + 11) + 1)
+    chars = [chr(b) for b in data]
+    inside = [lambda c: "A" <= c <= "Z", lambda c: "a" <= c <= "z", lambda c: "0" <= c <= "9", lambda c: c in " \t\r", lambda c: c == "\n"]
+    shares = [chars.count(m) / len(data) for m in marks]
+    rest = [sum(map(f, chars)) / len(data) for f in inside]
+    shares += [1 - sum(shares) - sum(rest), *rest]
+    words, lines = text.split(), text.split("\n")
+    n = max(1, len(words))
+    times = Counter(words)
+    shares += [max(1, len(times)) / n, max(times.values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(lines)) / len(lines), min(1.0, len(data) / n / 30)]
+    shares = [max(0.0, x) for x in shares]
+    return shares + [x**0.5 for x in shares] + [np.log1p(len(data)) / 12]
+
+
+def test_classifier_against_brute_force(spark, rows, data):
+    """Features counted one by one; the weights against plain gradient descent on the same pairs; the threshold by trying all."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").toPandas()
+    for t in [*(t for _, t, _ in rows), *docs.text]:
+        assert np.allclose(classifier.features(t), plain_features(t), atol=1e-7)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(80, 4)), (np.arange(80) % 3 == 0).astype(int)
+    x[:, 0] += y
+    model = classifier.fit(x, y, pairs=600, l2=0.05, seed=3)
+    z = (x - x.mean(0)) / x.std(0)
+    again = np.random.default_rng(3)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[again.choice(good, 600)] - z[again.choice(bad, 600)]
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w += 0.3 * ((d / (1 + np.exp(d @ w))[:, None]).mean(0) - 0.05 * w)
+    assert np.abs(w - model.weights).max() < 1e-6
+    s = z @ model.weights
+    wrong = lambda cut: int((s[good] < cut).sum() + (s[bad] >= cut).sum())
+    assert wrong(model.threshold) == min(wrong(c) for c in np.append(s, s.max() + 1))
+    assert np.allclose((model.score(x) >= 0.3), s >= model.threshold)  # ties of score are judged alike
+    equal = classifier.fit(np.ones((6, 2)), np.array([0, 1, 0, 1, 1, 1]))
+    assert len(set(equal.score(np.ones((6, 2))))) == 1
+
+
 def test_classifier(spark, data):
     got = classifier.op7_quality_classifier(spark, data).toPandas()
     labels = spark.read.parquet(f"{data}/labels.parquet").toPandas()
@@ -385,7 +444,7 @@ def test_digest_collisions_are_confirmed(tmp_path):
 # ---- 9
 
 
-@pytest.mark.parametrize("block,pivots", [(4096, 24), (17, 5)])
+@pytest.mark.parametrize("block,pivots", [(4096, 24), (17, 5), (10, 40), (3, 1)])
 def test_metric_join(spark, block, pivots):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
@@ -462,7 +521,7 @@ def test_mixing(spark, rows):
     counts = Counter(c["shard"] for r in got for c in r["copies"])
     assert set(counts) <= set(range(16)) and max(counts.values()) <= 2 * min(counts.values()) + 8
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert mixed.columns == docs.columns
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixed.collect()) == sum(taken.values())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
