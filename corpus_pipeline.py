@@ -1,4 +1,8 @@
-"""A training-corpus pipeline over `documents`: each stage works on all that the one before it kept."""
+"""A training-corpus pipeline over `documents`: each stage works on all that the one before it kept.
+
+All stages but the last hand on every column of documents, whatever its name. Defined cases are those of the operators:
+null texts count as empty and stay until the last stage, of copies one row stays, a table without rows gives none.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that stand elsewhere, too."""
+    """Documents without the passages of over 50 words that stand elsewhere, too."""
     return suffix_stage(spark, docs, sf_dir)
 
 
