@@ -406,9 +406,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True
     of_text = reps.select("rep", "d1", "d2", "least").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     first = of_text.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "d1", "d2")).alias("first"))
     named = of_text.join(first, "component").select("d1", "d2", F.col("first.least").alias("class_id"), F.struct("d1", "d2").eqNullSafe(F.struct("first.d1", "first.d2")).alias("leads"))
-    # Two written tables join, so that Spark can split the rows of a text that very many documents are copies of.
-    each = sign.select("doc_id", "d1", "d2").join(written(named, "named"), ["d1", "d2"]).groupBy("doc_id", "d1", "d2", "class_id", "leads").agg(F.count("*").alias("times"))
-    return each.select("doc_id", "d1", "d2", "times", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("head"))
+    # Two written tables join and nothing is counted by their key, so that Spark can split a text that very many documents are copies of.
+    each = written(sign.groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("times")), "each")
+    return each.join(written(named, "named"), ["d1", "d2"]).select("doc_id", "d1", "d2", "times", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("head"))
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
