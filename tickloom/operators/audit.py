@@ -62,8 +62,9 @@ def multicollinear(df: DataFrame, columns: list[str], limit: float = 0.95) -> Da
 def survivorship(bars: DataFrame, days: int = 30) -> DataFrame:
     """last valid date of each ticker and whether it is active: within `days` of the last date of all."""
     last = bars.groupBy("ticker").agg(F.max(F.when(F.col("close") > 0, F.col("bar_date"))).alias("last_valid"))
-    end = F.max("last_valid").over(Window.partitionBy(F.lit(0)))
-    return last.withColumn("active", F.datediff(end, "last_valid") <= days)
+    one = F.lit(1).alias("__one")
+    end = last.agg(F.max("last_valid").alias("__end")).select("*", one)  # one row
+    return last.select("*", one).join(F.broadcast(end), "__one").select("ticker", "last_valid", (F.datediff("__end", "last_valid") <= days).alias("active"))
 
 
 def close_nulls(rows: DataFrame, by: str = "ticker", time: str = "bar_date", value: str = "close") -> DataFrame:

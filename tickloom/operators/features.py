@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import EPS, clipped, daily_phases, log_ratio
-from tickloom.operators.windows import ordered, rolling, rolling_corr
+from tickloom.operators.windows import ordered, rolling, rolling_corr, trailing
 
 
 def typical() -> Column:
@@ -35,10 +35,17 @@ def returns(w: WindowSpec, spans: tuple[int, ...] = (5, 20, 60, 120, 252)) -> di
     return {f"log_return_{n}": F.ln(F.try_divide(F.col("close"), F.lag("close", n).over(w))) for n in spans}
 
 
-def volatility(w: WindowSpec, pairs: tuple[tuple[int, int], ...] = ((5, 20), (20, 60), (60, 252))) -> dict[str, Column]:
-    """Log ratios of population deviations of the close."""
-    sd = lambda n: rolling("stddev_pop", F.col("close"), w, n)
-    return {f"volatility_{a}_{b}_ratio": log_ratio(sd(a), sd(b)) for a, b in pairs} | {"volatility_15": F.log1p(sd(15))}
+def with_volatility(df: DataFrame, w: WindowSpec, pairs: tuple[tuple[int, int], ...] = ((5, 20), (20, 60), (60, 252)), alone: int = 15) -> DataFrame:
+    """Log ratios of population deviations of the close, and ln(1 + deviation) over `alone` rows.
+
+    Each frame's deviation is computed once; whether a frame is full follows from a running count, not from counting it.
+    """
+    spans = sorted({alone, *(n for pair in pairs for n in pair)})
+    seen = df.withColumn("__c", F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    made = seen.withColumns({f"__f{n}": F.col("__c") - F.coalesce(F.lag("__c", n).over(w), F.lit(0)) == n for n in spans} | {f"__s{n}": F.stddev_pop("close").over(trailing(w, n)) for n in spans})
+    sd = lambda n: F.when(F.col(f"__f{n}"), F.col(f"__s{n}"))
+    out = made.withColumns({f"volatility_{a}_{b}_ratio": log_ratio(sd(a), sd(b)) for a, b in pairs} | {f"volatility_{alone}": F.log1p(sd(alone))})
+    return out.drop("__c", *(f"__{x}{n}" for n in spans for x in "fs"))
 
 
 def momentum(w: WindowSpec) -> dict[str, Column]:
@@ -95,5 +102,5 @@ def lag_pack(columns: list[str], w: WindowSpec, lags: tuple[int, ...] = (1, 5, 1
 def daily_features(bars: DataFrame, by: str = "ticker", time: str = "bar_date") -> DataFrame:
     """All window features of daily bars and the calendar phases: one shuffle, one sort."""
     w = ordered(by, time)
-    made = candles(w) | returns(w) | volatility(w) | momentum(w) | volume(w)
-    return bars.withColumns(made).select("*", *daily_phases(F.col(time)))
+    made = candles(w) | returns(w) | momentum(w) | volume(w)
+    return with_volatility(bars.withColumns(made), w).select("*", *daily_phases(F.col(time)))

@@ -60,11 +60,17 @@ def weighted_by_recency(pool: DataFrame, order: str, decay: float) -> DataFrame:
 
 
 def drawn(pool: DataFrame, n: int, seed: int) -> DataFrame:
-    """n draws with replacement by weight: draw, and the pool's columns. Each draw falls into one cumulative band."""
+    """n draws with replacement by weight: draw, and the pool's columns. Each draw falls into one cumulative band.
+
+    Bands and draws meet by an equi join on 4096 slices of (0, 1); a band is sent to the slices it touches.
+    """
     upto = F.sum("weight").over(Window.orderBy("start_idx").rowsBetween(Window.unboundedPreceding, 0))
     bands = pool.withColumn("__hi", upto).withColumn("__lo", F.col("__hi") - F.col("weight"))
     draws = pool.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(seed, "id").alias("__u"))
-    return draws.join(F.broadcast(bands), (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))).drop("__u", "__lo", "__hi")
+    slice_of = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) * 4096)
+    spread = bands.withColumn("__s", F.explode(F.sequence(slice_of("__lo"), slice_of("__hi"))))
+    inside = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
+    return draws.withColumn("__s", slice_of("__u")).join(spread, "__s").where(inside).drop("__u", "__lo", "__hi", "__s")
 
 
 def validation_set(pool: DataFrame, n: int, seed: int) -> DataFrame:

@@ -32,9 +32,14 @@ def within_days(left: DataFrame, right: DataFrame, key: str, left_date: str, rig
     return left.withColumn("__b", block(left_date)).join(right.withColumn("__b", reach), [key, "__b"]).where(near).drop("__b")
 
 
-def in_ranges(df: DataFrame, ranges: DataFrame, column: str, low: str, high: str) -> DataFrame:
-    """Rows with each range that holds them; ranges (folds, windows) are few and are broadcast."""
-    return df.join(F.broadcast(ranges), F.col(column).between(F.col(low), F.col(high)))
+def in_ranges(df: DataFrame, ranges: DataFrame, column: str, low: str, high: str, days: int = 32) -> DataFrame:
+    """Rows with each date range (fold, window) that holds them, both ends included, as an equi join on blocks of `days` days.
+
+    A range is sent to the blocks it touches, a row to its own. Ranges or rows with a null end or date match nothing.
+    """
+    block = lambda c: F.floor(F.unix_date(F.to_date(F.col(c))) / days)
+    spread = ranges.where(F.col(low) <= F.col(high)).withColumn("__b", F.explode(F.sequence(block(low), block(high))))
+    return df.withColumn("__b", block(column)).join(spread, "__b").where(F.col(column).between(F.col(low), F.col(high))).drop("__b")
 
 
 def with_benchmark(df: DataFrame, benchmark: Column, time: str, values: list[str]) -> DataFrame:

@@ -48,7 +48,8 @@ def suspicious_gaps(bars: DataFrame, calendar: DataFrame, low: int = REPORT_GAP,
 def densified(bars: DataFrame, calendar: DataFrame, fill_zero: tuple[str, ...] = ("volume", "transactions")) -> DataFrame:
     """Bars on every session between a ticker's first and last one: prices carried forward, volume 0."""
     life = bars.groupBy("ticker").agg(F.min("bar_date").alias("lo"), F.max("bar_date").alias("hi"))
-    grid = life.join(F.broadcast(calendar.select("bar_date")), F.col("bar_date").between(F.col("lo"), F.col("hi"))).select("ticker", "bar_date")
+    days = life.select("ticker", F.explode(F.sequence("lo", "hi")).alias("bar_date"))
+    grid = days.join(calendar.select("bar_date"), "bar_date", "left_semi")
     w = ordered("ticker", "bar_date")
     full = grid.join(bars.withColumn("__real", F.lit(True)), ["ticker", "bar_date"], "left")
     close = forward_filled(F.col("close"), w)

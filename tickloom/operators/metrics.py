@@ -68,7 +68,8 @@ def valid_range(prices: DataFrame, n_tickers: int) -> DataFrame:
     by = prices.groupBy("bar_date").agg(F.count_if(F.col("close").isNotNull() & ~F.isnan("close")).alias("n"))
     whole = F.when(F.col("n") == n_tickers, F.col("bar_date"))
     edges = by.agg(F.min(whole).alias("first_date"), F.max(whole).alias("last_date"))
-    inside = by.join(F.broadcast(edges), F.col("bar_date").between(F.col("first_date"), F.col("last_date")))
+    one = F.lit(1).alias("__one")
+    inside = by.select("*", one).join(F.broadcast(edges.select("*", one)), "__one").where(F.col("bar_date").between(F.col("first_date"), F.col("last_date")))  # edges: one row
     return inside.groupBy("first_date", "last_date").agg(F.count_if(F.col("n") < n_tickers).alias("n_gaps"))
 
 

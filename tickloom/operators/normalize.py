@@ -6,25 +6,35 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import EPS, clipped
-from tickloom.operators.windows import diff, ordered, rolling, rolling_quantile
+from tickloom.operators.windows import diff, ordered, trailing
 
 
-def rolling_z(x: Column, w: WindowSpec, n: int = 252, low: float = 0.01, high: float = 0.99, mode: str = "linear") -> Column:
-    """tanh of the z-score against the n rows before, x held within their quantiles first; 0 while there are fewer.
+def with_rolling_z(df: DataFrame, columns: dict[str, Column], w: WindowSpec, n: int = 252, low: float = 0.01, high: float = 0.99, mode: str = "linear") -> DataFrame:
+    """Columns set to tanh of the z-score of values against the n rows before, held within their quantiles first; 0 while there are fewer.
 
-    Only earlier rows enter, so nothing looks ahead. A null x stays null once the rows suffice.
+    Only earlier rows enter, so nothing looks ahead. A null value stays null once the rows suffice. Each statistic of a frame
+    is computed once and named (Spark evaluates every mention of a window expression anew), both quantiles from one pass.
     """
-    mean = rolling("avg", x, w, n, 1)
-    sd = F.greatest(rolling("stddev_samp", x, w, n, 1), F.lit(EPS))
-    lo, hi = rolling_quantile(x, low, w, n, 1, mode), rolling_quantile(x, high, w, n, 1, mode)
-    held = F.when(x.isNotNull(), F.greatest(lo, F.least(hi, x)))
-    return F.when(mean.isNull(), 0.0).otherwise(F.tanh((held - mean) / sd))
+    frame = trailing(w, n, 1)
+    stats: dict[str, Column] = {}
+    for name, x in columns.items():
+        stats |= {f"__n_{name}": F.count(x).over(frame), f"__m_{name}": F.avg(x).over(frame), f"__d_{name}": F.stddev_samp(x).over(frame), f"__x_{name}": x}
+        stats[f"__q_{name}"] = F.percentile(x, F.array(F.lit(low), F.lit(high))).over(frame) if mode == "linear" else F.array_sort(F.collect_list(x).over(frame))
+    out = df.withColumns(stats)
+
+    def z(name: str) -> Column:
+        x, q = F.col(f"__x_{name}"), F.col(f"__q_{name}")
+        at = (0, 1) if mode == "linear" else (int((n - 1) * low + 0.5), int((n - 1) * high + 0.5))
+        held = F.when(x.isNotNull(), F.greatest(F.get(q, F.lit(at[0])), F.least(F.get(q, F.lit(at[1])), x)))
+        score = F.tanh((held - F.col(f"__m_{name}")) / F.greatest(F.col(f"__d_{name}"), F.lit(EPS)))
+        return F.when(F.col(f"__n_{name}") < n, 0.0).otherwise(score)
+
+    return out.withColumns({name: z(name) for name in columns}).drop(*stats)
 
 
 def rolling_normalised(df: DataFrame, columns: list[str], by: str = "ticker", time: str = "bar_date", n: int = 252, mode: str = "linear") -> DataFrame:
-    """rolling_z of each column in place; all share one window, hence one sort."""
-    w = ordered(by, time)
-    return df.withColumns({c: rolling_z(F.col(c), w, n, mode=mode) for c in columns})
+    """with_rolling_z of each column in place; all share one window, hence one sort."""
+    return with_rolling_z(df, {c: F.col(c) for c in columns}, ordered(by, time), n, mode=mode)
 
 
 def deltas(df: DataFrame, steps: dict[str, list[int]], by: str = "ticker", time: str = "bar_date") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import EPS
-from tickloom.operators.normalize import rolling_z
+from tickloom.operators.normalize import with_rolling_z
 from tickloom.operators.windows import diff, ordered, rolling
 
 
@@ -33,15 +33,17 @@ def term_structure(rows: DataFrame, short: str, long: str, spans: tuple[int, ...
     w = _series()
     ratio = legs(rows, short, long).withColumn("x", F.ln(F.try_divide("a", F.col("b") + EPS)))
     means = ratio.withColumns({f"term_structure_{k}d": rolling("avg", F.col("x"), w, k) for k in spans})
-    return means.select("bar_date", *[rolling_z(F.col(f"term_structure_{k}d"), w, n).alias(f"term_structure_{k}d") for k in spans])
+    names = [f"term_structure_{k}d" for k in spans]
+    return with_rolling_z(means.select("bar_date", *names), {c: F.col(c) for c in names}, w, n)
 
 
-def relative_strength(rows: DataFrame, value: str, benchmark: str, spans: tuple[int, ...] = (5, 20, 60, 252)) -> DataFrame:
-    """Per ticker and date: sum of value over the last n rows less the benchmark's."""
+def relative_strength(rows: DataFrame, value: str, benchmark: str, spans: tuple[int, ...] = (5, 20, 60, 252), n: int = 252) -> DataFrame:
+    """Per ticker and date: sum of value over the last k rows less the benchmark's, normalised against its own past n rows."""
     w = ordered("ticker", "bar_date")
-    sums = rows.select("ticker", "bar_date", *[rolling("sum", F.col(value), w, n).alias(f"s{n}") for n in spans])
-    side = sums.where(F.col("ticker") == benchmark).select("bar_date", *[F.col(f"s{n}").alias(f"b{n}") for n in spans])
-    return sums.join(side, "bar_date", "left").select("ticker", "bar_date", *[(F.col(f"s{n}") - F.col(f"b{n}")).alias(f"rs_{n}d") for n in spans])
+    sums = rows.select("ticker", "bar_date", *[rolling("sum", F.col(value), w, k).alias(f"s{k}") for k in spans])
+    side = sums.where(F.col("ticker") == benchmark).select("bar_date", *[F.col(f"s{k}").alias(f"b{k}") for k in spans])
+    raw = sums.join(side, "bar_date", "left").select("ticker", "bar_date", *[(F.col(f"s{k}") - F.col(f"b{k}")).alias(f"rs_{k}d") for k in spans])
+    return with_rolling_z(raw, {f"rs_{k}d": F.col(f"rs_{k}d") for k in spans}, w, n)
 
 
 def ratio_regime(rows: DataFrame, numerator: str, denominator: str, prefix: str, short: int = 5, long: int = 60, step: int = 20) -> DataFrame:
@@ -73,7 +75,7 @@ def rotation(rows: DataFrame, tickers: list[str], spans: tuple[int, ...] = (60,
         *[F.when(F.count(f"r{k}") >= least, F.max(f"r{k}") - F.min(f"r{k}")).alias(f"rotation_range_{k}") for k in spans],
     )
     names = [f"rotation_{kind}_{k}" for kind in ("std", "range") for k in spans]
-    z = by.select("bar_date", *[rolling_z(F.col(c), _series(), n).alias(c) for c in names])
+    z = with_rolling_z(by.select("bar_date", *names), {c: F.col(c) for c in names}, _series(), n)
     return z.withColumns({f"rotation_{kind}_{spans[-1]}_delta": diff(F.col(f"rotation_{kind}_{spans[-1]}"), step, _series()) for kind in ("std", "range")})
 
 
@@ -83,6 +85,24 @@ def regime_deltas(rows: DataFrame, short: list[str], long: list[str]) -> DataFra
     return rows.withColumns({f"{c}_delta_{n}": diff(F.col(c), n, w) for cs, ns in ((short, (1, 5, 20)), (long, (20, 60))) for c in cs for n in ns})
 
 
+def regime_table(
+    rows: DataFrame, value: str, volatility_pair: tuple[str, str], pairs: dict[str, tuple[str, str]], sectors: list[str],
+    spans: tuple[int, ...] = (5, 20, 60, 200), terms: tuple[int, ...] = (5, 20, 60), rotations: tuple[int, ...] = (60, 200), n: int = 252,
+) -> DataFrame:
+    """All market-wide columns of a date in one table: breadth and term structure with their deltas, ratio families, rotation.
+
+    With the default spans and four pairs 45 columns. rows: ticker, bar_date, close and value (log return). One row per date of
+    breadth; a family without rows on a date, or with a missing leg, is null there.
+    """
+    wide = breadth(rows, value, spans)
+    wide = regime_deltas(wide, [f"breadth_{k}d" for k in spans[:-1]], [f"breadth_{spans[-1]}d"])
+    term = term_structure(rows, *volatility_pair, spans=terms, n=n)
+    term = regime_deltas(term, [f"term_structure_{k}d" for k in terms], [])
+    for part in (term, macro(rows, pairs), rotation(rows, sectors, rotations, n=n)):
+        wide = wide.join(part, "bar_date", "left")
+    return wide
+
+
 def trend_states(rows: DataFrame, benchmark: str, q: float = 0.5) -> DataFrame:
     """state 0 to 3 per date: trend (50-day average above the 200-day one) and realised volatility above its past quantile."""
     from tickloom.operators.windows import rolling_quantile

@@ -529,8 +529,8 @@ def _sd(n: int) -> str:
     "volatility_5_20_ratio volatility_20_60_ratio volatility_60_252_ratio volatility_15", 4,
 )
 def volatility_features(spark, sf_dir):
-    made = FT.volatility(W.ordered("ticker", "bar_date"))
-    return daily_bars(spark, sf_dir).select("ticker", "bar_date", *[c.alias(n) for n, c in made.items()])
+    made = FT.with_volatility(daily_bars(spark, sf_dir).select("ticker", "bar_date", "close"), W.ordered("ticker", "bar_date"))
+    return made.drop("close")
 
 
 @query(
@@ -672,15 +672,69 @@ def term_structure(spark, sf_dir):
 
 
 @query(
-    f"""{BARS}, r AS (SELECT ticker, bar_date, ln(close / lag(close) OVER ({P})) AS r FROM bars),
-        s AS (SELECT ticker, bar_date, CASE WHEN count(r) OVER a = 5 THEN sum(r) OVER a END AS s5, CASE WHEN count(r) OVER b = 20 THEN sum(r) OVER b END AS s20 FROM r
-              WINDOW a AS ({P} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS ({P} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-        SELECT s.ticker, s.bar_date, s.s5 - k.s5 AS rs_5d, s.s20 - k.s20 AS rs_20d FROM s LEFT JOIN (SELECT * FROM s WHERE ticker = '1') k USING (bar_date)""",
-    "rs_5d rs_20d",
-)
+    f"""{BARS}, r AS MATERIALIZED (SELECT ticker, bar_date, ln(close / lag(close) OVER ({P})) AS r FROM bars),
+        s AS MATERIALIZED (SELECT ticker, bar_date, CASE WHEN count(r) OVER a = 5 THEN sum(r) OVER a END AS s5, CASE WHEN count(r) OVER b = 20 THEN sum(r) OVER b END AS s20 FROM r
+              WINDOW a AS ({P} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS ({P} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+        k AS MATERIALIZED (SELECT bar_date, s5, s20 FROM s WHERE ticker = '1'),
+        d AS MATERIALIZED (SELECT s.ticker, s.bar_date, s.s5 - k.s5 AS rs_5d, s.s20 - k.s20 AS rs_20d FROM s LEFT JOIN k ON s.bar_date = k.bar_date)
+        SELECT ticker, bar_date, {_z('rs_5d', 'w', 40)} AS rs_5d, {_z('rs_20d', 'w', 40)} AS rs_20d FROM d WINDOW w AS ({P} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)""",
+    "rs_5d rs_20d", 5,
+)
 def relative_strength(spark, sf_dir):
+    """Sums of log returns less the benchmark's, against their own past."""
+    r = F.ln(F.col("close") / F.lag("close").over(W.ordered("ticker", "bar_date")))
+    return R.relative_strength(daily_bars(spark, sf_dir).select("ticker", "bar_date", r.alias("r")), "r", "1", (5, 20), n=40)
+
+
+def _framed(kind: str, x: str, n: int, by: str = "") -> str:
+    over = f"OVER ({by} ORDER BY bar_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {over} = {n} THEN {kind}({x}) {over} END"
+
+
+def _deltas(columns: dict[str, tuple[int, ...]]) -> str:
+    return ", ".join(f"coalesce({c} - lag({c}, {n}) OVER (ORDER BY bar_date), 0.0) AS {c}_delta_{n}" for c, ns in columns.items() for n in ns)
+
+
+_SPANS, _TERMS, _ROTATIONS, _PAST = (3, 5, 10, 20), (3, 5, 10), (5, 20), 20
+_PAIRS = {"curve": ("1", "2"), "credit": ("3", "4"), "size": ("5", "1"), "growth": ("6", "1")}
+_REGIME = [f"breadth_{k}d" for k in _SPANS]
+_REGIME_DELTAS = {f"breadth_{k}d": (1, 5, 20) for k in _SPANS[:-1]} | {f"breadth_{_SPANS[-1]}d": (20, 60)}
+_TERM_DELTAS = {f"term_structure_{k}d": (1, 5, 20) for k in _TERMS}
+_ROTATION = [f"rotation_{kind}_{k}" for kind in ("std", "range") for k in _ROTATIONS]
+_ROTATION_DELTAS = [f"rotation_{kind}_{_ROTATIONS[-1]}_delta" for kind in ("std", "range")]
+_RATIOS = [f"{p}_{x}" for p in _PAIRS for x in ("ma5", "ma60", "delta")]
+
+
+def _regime_sql() -> str:
+    part = "PARTITION BY ticker"
+    past = f"w AS (ORDER BY bar_date ROWS BETWEEN {_PAST} PRECEDING AND 1 PRECEDING)"
+    legs = lambda a, b: f"(SELECT x.bar_date, ln(x.close / (y.close + 1e-8)) AS x FROM bars x JOIN bars y USING (bar_date) WHERE x.ticker = '{a}' AND y.ticker = '{b}')"
+    ctes = [
+        f"r AS MATERIALIZED (SELECT ticker, bar_date, ln(close / lag(close) OVER ({P})) AS r FROM bars)",
+        "s AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"{_framed('sum', 'r', k, part)} AS s{k}" for k in _SPANS) + " FROM r)",
+        "b AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"avg(CAST(s{k} > 0 AS INT)) AS breadth_{k}d" for k in _SPANS) + " FROM s GROUP BY bar_date)",
+        f"bd AS MATERIALIZED (SELECT *, {_deltas(_REGIME_DELTAS)} FROM b)",
+        "t AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"{_framed('avg', 'x', k)} AS t{k}" for k in _TERMS) + f" FROM {legs('1', '2')})",
+        "tz AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"{_z(f't{k}', 'w', _PAST)} AS term_structure_{k}d" for k in _TERMS) + f" FROM t WINDOW {past})",
+        f"td AS MATERIALIZED (SELECT *, {_deltas(_TERM_DELTAS)} FROM tz)",
+        "g AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"ln(close / lag(close, {k}) OVER ({P})) AS r{k}" for k in _ROTATIONS) + " FROM bars WHERE CAST(ticker AS INT) BETWEEN 1 AND 11)",
+        "h AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"CASE WHEN count(r{k}) >= 2 THEN stddev_samp(r{k}) END AS s{k}, CASE WHEN count(r{k}) >= 2 THEN max(r{k}) - min(r{k}) END AS g{k}" for k in _ROTATIONS) + " FROM g GROUP BY bar_date)",
+        "rz AS MATERIALIZED (SELECT bar_date, " + ", ".join(f"{_z(c + str(k), 'w', _PAST)} AS rotation_{kind}_{k}" for c, kind in (("s", "std"), ("g", "range")) for k in _ROTATIONS) + f" FROM h WINDOW {past})",
+        "rd AS MATERIALIZED (SELECT *, " + ", ".join(f"coalesce({c.removesuffix('_delta')} - lag({c.removesuffix('_delta')}, 20) OVER (ORDER BY bar_date), 0.0) AS {c}" for c in _ROTATION_DELTAS) + " FROM rz)",
+    ]
+    for p, (a, b) in _PAIRS.items():
+        ctes.append(f"m_{p} AS MATERIALIZED (SELECT bar_date, {_framed('avg', 'x', 5)} AS {p}_ma5, {_framed('avg', 'x', 60)} AS {p}_ma60 FROM {legs(a, b)})")
+        ctes.append(f"d_{p} AS MATERIALIZED (SELECT *, coalesce({p}_ma60 - lag({p}_ma60, 20) OVER (ORDER BY bar_date), 0.0) AS {p}_delta FROM m_{p})")
+    joins = "".join(f" LEFT JOIN {t} USING (bar_date)" for t in ("td", *(f"d_{p}" for p in _PAIRS), "rd"))
+    return f"{BARS}, {', '.join(ctes)} SELECT * FROM bd{joins}"
+
+
+@query(_regime_sql(), " ".join([*_REGIME, *(f"{c}_delta_{n}" for c, ns in (_REGIME_DELTAS | _TERM_DELTAS).items() for n in ns), *_TERM_DELTAS, *_RATIOS, *_ROTATION, *_ROTATION_DELTAS]), 4)
+def regime_table(spark, sf_dir):
+    """All 45 market-wide columns of a date in one table."""
     r = F.ln(F.col("close") / F.lag("close").over(W.ordered("ticker", "bar_date")))
-    return R.relative_strength(daily_bars(spark, sf_dir).select("ticker", "bar_date", r.alias("r")), "r", "1", (5, 20))
+    rows = daily_bars(spark, sf_dir).select("ticker", "bar_date", "close", r.alias("r"))
+    return R.regime_table(rows, "r", ("1", "2"), _PAIRS, [str(k) for k in range(1, 12)], _SPANS, _TERMS, _ROTATIONS, _PAST)
 
 
 @query(
