@@ -118,6 +118,14 @@ def continuous(bars: DataFrame, jump: float = JUMP) -> DataFrame:
     return bars.withColumn("__r", moved).withColumn("__w", worst).where(F.coalesce(F.col("__w") < jump, F.lit(True))).drop("__r", "__w")
 
 
+def ticker_status(bars: DataFrame, least_rows: int = MIN_ROWS, jump: float = JUMP) -> DataFrame:
+    """ticker, status (ok or skipped), reason, n_rows of every ticker, by the gates of long_enough() and continuous()."""
+    moved = F.abs(F.ln("close") - F.ln(F.lag("close").over(ordered("ticker", "bar_date"))))
+    by = bars.select("ticker", moved.alias("r")).groupBy("ticker").agg(F.count("*").alias("n_rows"), F.max("r").alias("worst"))
+    reason = F.when(F.col("n_rows") < least_rows, "too few rows").when(F.col("worst") >= jump, "discontinuous")
+    return by.select("ticker", F.when(reason.isNull(), "ok").otherwise("skipped").alias("status"), reason.alias("reason"), "n_rows")
+
+
 def tradable(bars: DataFrame, details: DataFrame, regime: list[str], types: tuple[str, ...] = TYPES) -> DataFrame:
     """Bars of common stock (by details: ticker, type) and of regime tickers."""
     return bars.join(details.select("ticker", "type"), "ticker", "left").where(F.col("type").isin(*types) | F.col("ticker").isin(*regime)).drop("type")

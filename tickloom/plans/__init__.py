@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from tickloom.plans import bars_queries, evaluation_queries, selection_queries  # noqa: F401
+from tickloom.plans import bars_queries, evaluation_queries, selection_queries, storage_queries  # noqa: F401
 from tickloom.plans.registry import QUERIES, SQL
 
 

@@ -14,6 +14,7 @@ from tickloom.operators import metrics as M
 from tickloom.operators import simulator as SIM
 from tickloom.operators import windows as W
 from tickloom.plans.registry import query
+from tickloom.session import shared_folder
 from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, daily_bars, hourly_bars, table
 
 BARS = f"WITH {DAILY_BARS_SQL}"
@@ -283,11 +284,6 @@ def stored_year(spark, sf_dir):
     """A partitioned table written and read with partition pruning."""
     from tickloom.sources.sinks import write_unified
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp()}"
-    path = f"{folder}/unified-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/unified-{uuid.uuid4().hex}"
     write_unified(daily_bars(spark, sf_dir), path)
     return spark.read.parquet(path).where("year = 1999").select("ticker", "bar_date", "close")

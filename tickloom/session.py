@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,17 @@ def session(app: str = "tickloom", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 @contextmanager
 def tuned(spark: SparkSession, **conf: str):
     """Settings that hold within the block only, as for a bulk load."""

@@ -67,8 +67,8 @@ def write_unified(df: DataFrame, path: str, date: str = "bar_date") -> None:
     df.withColumn("year", F.year(date)).repartition("year").write.mode("error").partitionBy("year").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("error").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("error").option("header", True).option("compression", compression).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
