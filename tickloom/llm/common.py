@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from tickloom.session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that setting is missing (a local test session) a temporary folder is made and set.
-    """
-    path = spark.conf.get(CHECKPOINT_DIR, None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.conf.set(CHECKPOINT_DIR, path)
+    """The folder that driver and executors share, as session.shared_folder() finds it; checkpoints go there, too."""
+    path = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
