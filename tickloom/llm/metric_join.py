@@ -260,7 +260,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     least = rows.where("data is not null").groupBy("data").agg(F.min("id").alias("least"))
     of_data = written(by_point.join(least, "data"), "linked")
     first = of_data.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "data")).alias("first"))
-    named = of_data.join(first, "component").select("data", "n_links", F.col("first.least").alias("component_id"), (F.col("data") == F.col("first.data")).alias("leads"))
+    named = of_data.join(written(first, "first"), "component").select("data", "n_links", F.col("first.least").alias("component_id"), (F.col("data") == F.col("first.data")).alias("leads"))
     got = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).join(named, "data", "left")
     kept = F.col("leads") & F.col("id").eqNullSafe(F.col("component_id")) & (F.col("nth") == 1)
     component = F.when(F.col("leads").isNull(), F.col("id")).otherwise(F.col("component_id"))
