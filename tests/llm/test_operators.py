@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tickloom.llm import bpe, chat, classifier, fingerprints, metric_join, minhash, mixing, suffix_dedup, token_files, url_filter
 from tickloom.llm.common import connected_components
@@ -275,6 +276,37 @@ def test_code_lengths_are_optimal_and_limited():
     assert np.array_equal(token_files.unpack(payload, marks, len(ids), token_files.decoding_table(lengths)), ids)
 
 
+def test_more_ids_than_sixteen_bits_number():
+    """A vocabulary of which more than 65,536 ids occur gets longer codes, also ones that a third byte doesn't hold."""
+    rng = np.random.default_rng(3)
+    for n, longest in ((1 << 16, 16), ((1 << 16) + 1, 17), (200_000, 18)):
+        counts = rng.integers(1, 1000, n)
+        lengths = token_files.code_lengths(counts)
+        assert lengths.max() == longest and sum(2.0 ** -k * c for k, c in enumerate(np.bincount(lengths)) if k) <= 1
+        ids = np.append(rng.integers(0, n, 3000), [0, n - 1])
+        payload, marks = token_files.pack(ids, token_files.canonical_codes(lengths), lengths)
+        assert np.array_equal(token_files.unpack(payload, marks, len(ids), token_files.decoding_table(lengths)), ids)
+
+
+def test_special_tokens_of_any_form_and_a_decoder(tmp_path):
+    """Special tokens are found by the vocabulary's own list; a vocabulary with a decoder is decoded by it."""
+    import json
+
+    with open(bpe.word_bpe_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"] += [{**spec["added_tokens"][0], "id": 49408, "content": "[SEP]"}]
+    spec["decoder"] = {"type": "BPEDecoder", "suffix": "</w>"}
+    path = str(tmp_path / "vocabulary.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library = Tokenizer.from_file(path)
+    ours = bpe.PairIndexBPE(path)
+    texts = ["one [SEP] two", "[SEP]", "a<|endoftext|>b[sep]", "", "plain words only"]
+    for text, ids in zip(texts, ours.encode_batch(texts), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
 # ---- 4
 
 

@@ -8,7 +8,7 @@ pair, so this gives each word the merges it would get alone, lowest rank first a
 can open a lower one (its product stands in a pair of lower rank) merges one occurrence a word at a time.
 
 Decoding joins the tokens of the ids by spaces when the vocabulary has no decoder, which is how the vocabulary's own
-library decodes it.
+library decodes it; a vocabulary with a decoder is decoded by that.
 
 The vocabulary file (the JSON of the tokenizers library) is a parameter; executors load it by path, once per worker.
 What a worker keeps: the vocabulary and at most CACHE distinct words.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -59,7 +60,9 @@ class PairIndexBPE:
         self.token = {i: t for t, i in chain(vocab.items(), self.special.items())}
         self.id_text = [str(i) for i in range(max(self.token) + 1)]
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
+        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
+        self.special_start = os.path.commonprefix(list(self.special))
+        self.decoder = spec["decoder"]
         chars = byte_characters()
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.cutter = Tokenizer.from_file(path)
@@ -167,7 +170,7 @@ class PairIndexBPE:
         return self.word.findall(low)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        split = [[p for p in self.cut.split(t) if p] if "<|" in t else [t] for t in texts]
+        split = [[p for p in self.cut.split(t) if p] if self.cut and self.special_start in t else [t] for t in texts]
         parts = [[self.special[p] if p in self.special else self.words(p) for p in s] for s in split]
         new = set()
         for p in parts:
@@ -185,6 +188,8 @@ class PairIndexBPE:
         return [list(chain.from_iterable([p] if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in s)) for s in parts]
 
     def decode(self, ids: list[int]) -> str:
+        if self.decoder:
+            return self.cutter.decode(ids, skip_special_tokens=False)
         return " ".join(map(self.token.__getitem__, ids))
 
 

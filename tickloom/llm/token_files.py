@@ -8,10 +8,10 @@ A file set is a Parquet table `blocks` and one `code` row, so that any store Spa
 block (place of its first document in the part), start (place of its
 first id in the part), doc_ids, doc_tokens, payload (bits, most significant first), checkpoints (bit offset of every 256th id). Ids follow
 in ascending doc_id order by (part, block). `code` has the vocabulary size and the code length of every id; canonical
-codes follow from the lengths (shorter first, then by id), none longer than 16 bits.
+codes follow from the lengths (shorter first, then by id), none longer than 16 bits or, where more than 65,536 ids occur, than numbering them takes.
 
-Decoding needs nothing but a block and the lengths: a 65,536-entry table gives id and length for any 16 bits, and all
-checkpoints of a block are decoded side by side, one id each per step.
+Decoding needs nothing but a block and the lengths: a table gives id and length for any bits of the longest code's length (65,536
+entries at least), and all checkpoints of a block are decoded side by side, one id each per step.
 
 Tokenising: the tokenizers library, called once per distinct piece between spaces of a task's batches. Texts with characters outside
 the blocks where its Unicode tables are known to agree with Python's regex module go through it whole.
@@ -230,7 +230,7 @@ def cached_tokenizer(path: str) -> CachedTokenizer:
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most limit bits (package-merge); 0 for ids that do not occur."""
+    """Optimal code lengths of at most limit bits, or as many as numbering the ids takes (package-merge); 0 for ids that do not occur."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) == 0:
@@ -238,8 +238,7 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if len(used) == 1:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError("more ids than codes")
+    limit = max(limit, (len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.int64)
     # The list of a level: leaves and packages (pairs of the level below) by weight; True marks a leaf.
@@ -263,22 +262,28 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     return lengths
 
 
+def table_bits(lengths: np.ndarray) -> int:
+    return max(MAX_BITS, int(lengths.max(initial=0)))
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
-    codes = np.zeros(len(lengths), np.uint32)
+    codes, top = np.zeros(len(lengths), np.uint32), table_bits(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     if len(order):
-        span = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-        codes[order] = (np.cumsum(span) - span) >> (MAX_BITS - lengths[order].astype(np.int64))
+        rest = top - lengths[order].astype(np.int64)
+        span = 1 << rest
+        codes[order] = (np.cumsum(span) - span) >> rest
     return codes
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, length) for every value of the next 16 bits."""
+    """(id, length) for every value of the next table_bits() bits."""
+    top = table_bits(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    span = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-    ids, bits = np.zeros(1 << MAX_BITS, np.int64), np.full(1 << MAX_BITS, MAX_BITS, np.int64)
+    span = 1 << (top - lengths[order].astype(np.int64))
+    ids, bits = np.zeros(1 << top, np.int64), np.full(1 << top, top, np.int64)
     ids[: span.sum()], bits[: span.sum()] = np.repeat(order, span), np.repeat(lengths[order], span)
     return ids, bits
 
@@ -303,14 +308,18 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndar
     """The n ids of a block; one lane per checkpoint."""
     if not n:
         return np.zeros(0, np.int64)
-    b = np.frombuffer(payload + b"\0\0\0", np.uint8).astype(np.int64)
-    window = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     ids, bits = table
+    top = len(ids).bit_length() - 1
+    wide = -(-(top + 7) // 8)  # bytes that hold a code wherever in a byte it starts
+    b = np.frombuffer(payload + bytes(wide), np.uint8).astype(np.int64)
+    window = b[: len(payload) + 1]
+    for k in range(1, wide):
+        window = (window << 8) | b[k : len(payload) + 1 + k]
     at = np.array(checkpoints, np.int64)
     out = np.zeros((STEP, len(at)), np.int64)
     limit = len(window) - 1
     for k in range(STEP):
-        seen = (window[np.minimum(at >> 3, limit)] >> (8 - (at & 7))) & 0xFFFF
+        seen = (window[np.minimum(at >> 3, limit)] >> (8 * wide - top - (at & 7))) & ((1 << top) - 1)
         out[k] = ids[seen]
         at = at + bits[seen]
     return out.T.reshape(-1)[:n]
