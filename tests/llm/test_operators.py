@@ -217,20 +217,28 @@ def test_dart_signatures_estimate_similarity():
     assert abs((heavy[0] == heavy[1]).mean() - jaccard) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 100), (7, 7)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), few).collect()}
     assert set(got.values()) == {0, 100} and got[60] == 0 and got[300] == 100
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_no_edges(spark, few):
+    for edges in ([], [(3, 3)]):
+        assert connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), few).collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_long_chains(spark, few):
     """Chains longer than any fixed number of rounds of neighbours' labels: shuffled ids, and the least id at the far end."""
     rng = random.Random(8)
     shuffled = list(range(1000, 1600))
     rng.shuffle(shuffled)
     far = [*range(5001, 5500), 5000]
     edges = [e for chain in (shuffled, far) for e in zip(chain, chain[1:])]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), few).collect()}
     assert got == dict.fromkeys(shuffled, 1000) | dict.fromkeys(far, 5000)
 
 

@@ -103,32 +103,35 @@ def touching(docs: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
 
 
 HOT_SHARE = 200
-FEW_NODES = 5_000
+FEW_NODES = 20_000
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, few: int = FEW_NODES) -> DataFrame:
     """(node, component): component is the smallest node reachable. edges: (a, b) longs, any direction, repeats allowed.
 
     In a round each node takes the least label of its neighbours, and so does the node that its old label names
     (hooking); then each label is replaced by its own label (pointer jumping). Labels only fall, and the rounds end when
     none does, without a cap. Chains of 500 to 500,000 nodes, with ids in order and shuffled, took 8 to 20 rounds in a
     simulation of this rule. Nodes without an edge are not in the result.
-    Labels that more than one node in HOT_SHARE has, at most that many, are looked up by a broadcast of their rows, so no
-    task gathers a large component (with fewer than FEW_NODES nodes there is no large one). Each round is checkpointed; nothing but a count and those labels reaches the driver in a round.
+    Tables of one row a node are broadcast while there are at most `few` nodes (two longs each, under 1 MB), so a round deals
+    rows out twice only and no task gathers a component. With more nodes all joins shuffle, and labels that more than one node
+    in HOT_SHARE has, at most that many, are looked up by a broadcast of their rows. Each round is checkpointed; nothing but a
+    count and those labels reaches the driver in a round.
     """
     both = checkpointed(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     nodes = labels.count()
+    small = F.broadcast if nodes <= few else (lambda df: df)
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").where("heard < component")
+        heard = both.join(small(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        lower = labels.join(small(heard), "node").where("heard < component")
         told = lower.select(F.explode(F.array("node", "component")).alias("node"), "heard").groupBy("node").agg(F.min("heard").alias("heard"))
-        step = labels.join(told, "node", "left").select("node", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("before"))
-        if nodes >= FEW_NODES:
+        step = labels.join(small(told), "node", "left").select("node", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("before"))
+        if nodes > few:
             step = checkpointed(step)
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("root")).where("root < component")
-        rows = step.join(jump, "component", "left")
-        if nodes >= FEW_NODES:
+        rows = step.join(small(jump), "component", "left")
+        if nodes > few:
             common = [r["component"] for r in step.groupBy("component").count().where(F.col("count") > nodes / HOT_SHARE).collect()]
             hot = F.col("component").isin(common)
             rows = step.where(~hot).join(jump.where(~hot), "component", "left").unionByName(step.where(hot).join(F.broadcast(jump.where(hot)), "component", "left"))
