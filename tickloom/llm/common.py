@@ -60,7 +60,10 @@ class Scratch:
         self.held: dict[int, DataFrame] = {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        got = written(df, name)
+        return self.keep(written(df, name))
+
+    def keep(self, got: DataFrame) -> DataFrame:
+        """got: from written()."""
         self.held[id(got)] = got
         return got
 
