@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import EPS, clipped
+from tickloom.operators.order_stats import rolling_scores
 from tickloom.operators.windows import diff, ordered, trailing
 
 
 def with_rolling_z(df: DataFrame, columns: dict[str, Column], w: WindowSpec, n: int = 252, low: float = 0.01, high: float = 0.99, mode: str = "linear") -> DataFrame:
     """Columns set to tanh of the z-score of values against the n rows before, held within their quantiles first; 0 while there are fewer.
 
-    Only earlier rows enter, so nothing looks ahead. A null value stays null once the rows suffice. Each statistic of a frame
+    For market-wide series of a row a date; long tables have rolling_normalised(). Only earlier rows enter, so nothing looks ahead. A null value stays null once the rows suffice. Each statistic of a frame
     is computed once and named (Spark evaluates every mention of a window expression anew), both quantiles from one pass.
     """
     frame = trailing(w, n, 1)
@@ -33,8 +34,8 @@ def with_rolling_z(df: DataFrame, columns: dict[str, Column], w: WindowSpec, n:
 
 
 def rolling_normalised(df: DataFrame, columns: list[str], by: str = "ticker", time: str = "bar_date", n: int = 252, mode: str = "linear") -> DataFrame:
-    """with_rolling_z of each column in place; all share one window, hence one sort."""
-    return with_rolling_z(df, {c: F.col(c) for c in columns}, ordered(by, time), n, mode=mode)
+    """with_rolling_z of each column in place, by sorted windows (order_stats)."""
+    return rolling_scores(df, columns, n, by=by, time=time, mode=mode)
 
 
 def deltas(df: DataFrame, steps: dict[str, list[int]], by: str = "ticker", time: str = "bar_date") -> DataFrame:

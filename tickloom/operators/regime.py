@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import EPS
-from tickloom.operators.normalize import with_rolling_z
+from tickloom.operators.normalize import rolling_normalised, with_rolling_z
 from tickloom.operators.windows import diff, ordered, rolling
 
 
@@ -43,7 +43,7 @@ def relative_strength(rows: DataFrame, value: str, benchmark: str, spans: tuple[
     sums = rows.select("ticker", "bar_date", *[rolling("sum", F.col(value), w, k).alias(f"s{k}") for k in spans])
     side = sums.where(F.col("ticker") == benchmark).select("bar_date", *[F.col(f"s{k}").alias(f"b{k}") for k in spans])
     raw = sums.join(side, "bar_date", "left").select("ticker", "bar_date", *[(F.col(f"s{k}") - F.col(f"b{k}")).alias(f"rs_{k}d") for k in spans])
-    return with_rolling_z(raw, {f"rs_{k}d": F.col(f"rs_{k}d") for k in spans}, w, n)
+    return rolling_normalised(raw, [f"rs_{k}d" for k in spans], n=n)
 
 
 def ratio_regime(rows: DataFrame, numerator: str, denominator: str, prefix: str, short: int = 5, long: int = 60, step: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from tickloom.operators import features as FT
 from tickloom.operators import joins as J
 from tickloom.operators import lifecycle as L
 from tickloom.operators import normalize as N
+from tickloom.operators import order_stats as OS
 from tickloom.operators import regime as R
 from tickloom.operators import windows as W
 from tickloom.operators.rollup import coarser, live_view, rollup
@@ -200,8 +201,8 @@ def rolling_statistics(spark, sf_dir):
     "q01 q99",
 )
 def rolling_quantiles(spark, sf_dir):
-    w = W.ordered("ticker", "bar_date")
-    return daily_bars(spark, sf_dir).select("ticker", "bar_date", *[W.rolling_quantile(F.col("close"), q, w, 60, 1).alias(n) for q, n in ((0.01, "q01"), (0.99, "q99"))])
+    bars = daily_bars(spark, sf_dir).select("ticker", "bar_date", "close")
+    return OS.rolling_order(bars, ["close"], 60, {"q01": 0.01, "q99": 0.99}, lag=1).select("ticker", "bar_date", F.col("close_q01").alias("q01"), F.col("close_q99").alias("q99"))
 
 
 @query(
@@ -211,8 +212,8 @@ def rolling_quantiles(spark, sf_dir):
 )
 def rolling_nearest_rank(spark, sf_dir):
     """A rolling quantile that is one of the values: nearest rank, half up."""
-    w = W.ordered("ticker", "bar_date")
-    return daily_bars(spark, sf_dir).select("ticker", "bar_date", W.rolling_quantile(F.col("close"), 0.5, w, 60, 0, "nearest").alias("mid"))
+    bars = daily_bars(spark, sf_dir).select("ticker", "bar_date", "close")
+    return OS.rolling_order(bars, ["close"], 60, {"mid": 0.5}, mode="nearest").select("ticker", "bar_date", F.col("close_mid").alias("mid"))
 
 
 @query(
@@ -590,6 +591,25 @@ def rolling_z_scores(spark, sf_dir):
     return N.rolling_normalised(daily_bars(spark, sf_dir).select("ticker", "bar_date", "close", "volume"), ["close", "volume"], n=60)
 
 
+#: 22 columns of a bar, as both engines read them.
+BAR_FEATURES = {
+    "close": "close", "open": "open", "high": "high", "low": "low", "volume": "CAST(volume AS DOUBLE)", "trades": "CAST(transactions AS DOUBLE)", "log_close": "ln(close)", "log_volume": "ln(1 + volume)",
+    "body": "close - open", "span": "high - low", "middle": "(high + low) / 2", "typical": "(high + low + close) / 3", "weighted": "(high + low + 2 * close) / 4", "upper": "high - greatest(open, close)", "lower": "least(open, close) - low",
+    "day_return": "ln(close / open)", "reach": "ln(high / low)", "up": "ln(high / open)", "down": "ln(low / open)", "trade_size": "volume / greatest(transactions, 1)", "turnover": "close * volume", "log_turnover": "ln(1 + close * volume)",
+}
+
+
+@query(
+    f"""{BARS}, f AS (SELECT ticker, bar_date, {', '.join(f'{e} AS {n}' for n, e in BAR_FEATURES.items())} FROM bars)
+        SELECT ticker, bar_date, {', '.join(f"{_z(n, 'w', 252)} AS {n}" for n in BAR_FEATURES)} FROM f WINDOW w AS ({P} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)""",
+    " ".join(BAR_FEATURES), 5,
+)
+def rolling_z_features(spark, sf_dir):
+    """22 columns against their last 252 rows, in one pass of a sorted window a column."""
+    features = daily_bars(spark, sf_dir).selectExpr("ticker", "bar_date", *[f"{e} AS {n}" for n, e in BAR_FEATURES.items()])
+    return OS.rolling_scores(features, list(BAR_FEATURES))
+
+
 @query(
     f"""{BARS}, z AS (SELECT ticker, bar_date, {_z('close', 'w', 60)} AS z FROM bars WINDOW w AS ({P} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
         SELECT ticker, bar_date, coalesce(z - lag(z, 20) OVER w, 0.0) AS z_delta_20, coalesce(z - lag(z, 60) OVER w, 0.0) AS z_delta_60 FROM z WINDOW w AS ({P})""",
