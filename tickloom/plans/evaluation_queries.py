@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import folds as FO
-from tickloom.operators import indicators as I
+from tickloom.operators import recursions as RC
 from tickloom.operators import metrics as M
 from tickloom.operators import simulator as SIM
 from tickloom.operators import windows as W
@@ -233,15 +233,71 @@ def policy_episodes(spark, sf_dir):
     return SIM.episode_info(SIM.simulate(SIM.with_policy(steps(spark, sf_dir).drop("actions"), momentum, ["prices"])))
 
 
-@query()
+def _recursion(name: str, source: str, averages: dict[str, tuple[str, int, int, float, float]]) -> str:
+    """CTEs with each average of source (ticker, pos and columns). averages: column, position of its first value, values that begin it, their divisor, alpha."""
+    start = {n: first + seeds - 1 for n, (_, first, seeds, _, _) in averages.items()}
+    seed = ", ".join(f"sum({x}) OVER (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {seeds - 1} PRECEDING AND CURRENT ROW) / {div}.0 AS s_{n}" for n, (x, _, seeds, div, _) in averages.items())
+    step = ", ".join(f"CASE WHEN b.pos < {start[n]} THEN NULL WHEN b.pos = {start[n]} THEN b.s_{n} ELSE {1 - a!r} * r.{n} + {a!r} * b.{x} END" for n, (x, _, _, _, a) in averages.items())
+    return f"""{name}_base AS (SELECT *, {seed} FROM {source}),
+      {name}(ticker, pos, {', '.join(averages)}) AS (SELECT ticker, pos, {', '.join('NULL::DOUBLE' for _ in averages)} FROM {name}_base WHERE pos = 0
+        UNION ALL SELECT b.ticker, b.pos, {step} FROM {name} r JOIN {name}_base b ON b.ticker = r.ticker AND b.pos = r.pos + 1)"""
+
+
+def _of_ema(column: str, n: int, first: int = 0) -> tuple[str, int, int, float, float]:
+    return column, first, n, n, 2 / (n + 1)
+
+
+def _of_wilder(column: str, n: int, first: int) -> tuple[str, int, int, float, float]:
+    return column, first, n, n, 1 / n
+
+
+def _directional_sql(spans: tuple[int, ...], averages: dict, more: dict, further: str = "") -> str:
+    """first: averages and Wilder's sums; second: ADX and more; joined as m, first, second."""
+    sums = {f"{s}_{n}": (s, 1, n - 1, n, 1 / n) for n in spans for s in ("tr", "plus", "minus")}
+    sides = ", ".join(f"CASE WHEN f.pos >= {n} THEN coalesce(100 * f.{s}_{n} / nullif(f.tr_{n}, 0), 0) END AS {s[0]}di_{n}" for n in spans for s in ("plus", "minus"))
+    dx = ", ".join(f"CASE WHEN pdi_{n} + mdi_{n} > 0 THEN 100 * abs(pdi_{n} - mdi_{n}) / (pdi_{n} + mdi_{n}) WHEN pdi_{n} IS NOT NULL THEN 0 END AS dx_{n}" for n in spans)
+    return f"""WITH RECURSIVE {DAILY_BARS_SQL}, p AS (SELECT *, row_number() OVER w - 1 AS pos, lag(close) OVER w AS before, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_date)),
+      m AS (SELECT ticker, bar_date, pos, close, CAST(volume AS DOUBLE) AS volume, CAST(transactions AS DOUBLE) AS transactions, volume / greatest(transactions, 1) AS trade_size, (high - low) / greatest(transactions, 1) AS trade_range,
+        CASE WHEN pos > 0 THEN greatest(high - low, abs(high - before), abs(low - before)) END AS tr, CASE WHEN pos > 0 THEN CASE WHEN up > down AND up > 0 THEN up ELSE 0 END END AS plus,
+        CASE WHEN pos > 0 THEN CASE WHEN down > up AND down > 0 THEN down ELSE 0 END END AS minus, CASE WHEN pos > 0 THEN greatest(close - before, 0) END AS gain, CASE WHEN pos > 0 THEN greatest(before - close, 0) END AS loss FROM p),
+      {_recursion('first', 'm', averages | sums)}, sides AS (SELECT f.*, {sides}{further} FROM first f),
+      dx AS (SELECT *, {dx} FROM sides), {_recursion('second', 'dx', {f"adx_{n}": _of_wilder(f"dx_{n}", n, n) for n in spans} | more)}"""
+
+
+_TREND = {f"{c}_ema_{n}": _of_ema(c, n) for c, ns in {"close": (5, 20, 60, 120, 252), "volume": (5, 20, 60), "trade_size": (60,), "trade_range": (60,), "transactions": (60,)}.items() for n in ns}
+_log_of = lambda a, b: f"ln(nullif(({a} + 1e-8) / ({b} + 1e-8), 0))"
+_TREND_OUT = (
+    {f"ema_close_ratio_{n}": _log_of("m.close", f"d.close_ema_{n}") for n in (5, 20, 60, 120, 252)}
+    | {f"ema_{a}_{b}_ratio": _log_of(f"d.close_ema_{a}", f"d.close_ema_{b}") for a, b in ((5, 20), (20, 60))}
+    | {"adx_14": "s.adx_14 / 100", "adx_5_20": _log_of("s.adx_5", "s.adx_20"), "adx_20_60": _log_of("s.adx_20", "s.adx_60"), "volume_ema_ratio_20": _log_of("m.volume", "d.volume_ema_20")}
+    | {f"volume_{a}_{b}_ratio": _log_of(f"d.volume_ema_{a}", f"d.volume_ema_{b}") for a, b in ((5, 20), (20, 60))}
+    | {"avg_trade_size_ratio": _log_of("m.trade_size", "d.trade_size_ema_60"), "range_per_trade_ratio": _log_of("m.trade_range", "d.trade_range_ema_60"), "trade_intensity_ratio": _log_of("m.transactions", "d.transactions_ema_60")}
+)
+
+
+@query(
+    f"""{_directional_sql((5, 14, 20, 60), _TREND, {})}
+      SELECT m.ticker, m.bar_date, {', '.join(f'{e} AS {n}' for n, e in _TREND_OUT.items())} FROM m JOIN dx d USING (ticker, pos) JOIN second s USING (ticker, pos)""",
+    " ".join(_TREND_OUT),
+)
 def trend_indicators(spark, sf_dir):
-    """EMA and ADX features: recursive, so a grouped pass."""
-    return I.with_columns(daily_bars(spark, sf_dir), I.trend_columns)
+    """EMA and ADX features: recursive averages by scans over chunks."""
+    return RC.trend(daily_bars(spark, sf_dir))
 
 
-@query()
+_CLASSIC = {f"ema_{n}": _of_ema("close", n) for n in (3, 9, 12, 21, 26)} | {"up_14": _of_wilder("gain", 14, 1), "down_14": _of_wilder("loss", 14, 1), "atr_14": _of_wilder("tr", 14, 1)}
+_RSI = ", ema_12 - ema_26 AS macd, CASE WHEN up_14 + down_14 > 0 THEN 100 * up_14 / (up_14 + down_14) WHEN up_14 IS NOT NULL THEN 0 END AS rsi_14"
+
+
+@query(
+    f"""{_directional_sql((20,), _CLASSIC, {"macd_signal": _of_ema("macd", 9, 25)}, _RSI)}
+      SELECT m.ticker, m.bar_date, d.rsi_14, d.macd, s.macd_signal, d.pdi_20 AS plus_di_20, d.mdi_20 AS minus_di_20, s.adx_20, d.atr_14, d.ema_3, d.ema_9, d.ema_21,
+        CASE WHEN count(d.rsi_14) OVER w = 14 THEN (d.rsi_14 - min(d.rsi_14) OVER w) / nullif(max(d.rsi_14) OVER w - min(d.rsi_14) OVER w, 0) END AS stoch_rsi
+      FROM m JOIN dx d USING (ticker, pos) JOIN second s USING (ticker, pos) WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+    "rsi_14 macd macd_signal plus_di_20 minus_di_20 adx_20 atr_14 ema_3 ema_9 ema_21 stoch_rsi", 5,
+)
 def classic_indicators(spark, sf_dir):
-    return I.with_columns(daily_bars(spark, sf_dir), I.classic_columns)
+    return RC.classic(daily_bars(spark, sf_dir))
 
 
 # ---- sinks and vectors
