@@ -67,6 +67,7 @@ def test_divergence_against_brute_force(spark, how, monkeypatch):
     rows += [rows[0], rows[0], (None, "en", "only null"), ("", "", None), ("12 34", "xx", "a"), ("rare words", "xx", "b"), (said(30_000), "de", "long"), ("z" * 100_000, "en", "a"), ("Aa aA", "en", "a\x00b")]
     monkeypatch.setattr(divergence, "HELD", 20)
     monkeypatch.setattr(divergence, "BLOCKS", 2)
+    monkeypatch.setattr(divergence, "MEMO", 50)
     docs = spark.createDataFrame([(k, *r, 1, 2, 3) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, slot int, term int, count int")
     got = divergence.divergence(docs.repartition(5), least=4, top=3, **how)
     assert sorted(map(tuple, got.collect())) == brute(rows, 4, 3)

@@ -40,6 +40,7 @@ SHARD_KEYS = 1 << 19
 SHARD_BYTES = 16 << 20
 BROADCAST_BYTES = 64 << 20
 HELD = 300_000  # terms that a task counts before it hands them on
+MEMO = 300_000  # terms whose slots a task remembers
 SLOTS = 4096
 BLOCKS = 2000  # blocks of counters that a task holds
 TILE = 256
@@ -82,6 +83,7 @@ class PerfectHash:
             slot[left[alone]] = base + np.cumsum(bits)[at[alone]] - 1
             base += int(bits.sum())
             left = left[~alone]
+        left = np.array(sorted(left.tolist(), key=lambda i: keys[i]), np.int64)
         slot[left] = base + np.arange(len(left))
         self.rest = {keys[i]: int(slot[i]) for i in left}
         self.slot = slot
@@ -108,6 +110,10 @@ class PerfectHash:
         return slot
 
 
+def hashed(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys))
+
+
 def term_key(lang: bytes, term: bytes) -> bytes:
     return b"%d:%b%b" % (len(lang), lang, term)
 
@@ -155,15 +161,21 @@ def _key() -> Column:
 
 
 def numbered(kept: DataFrame, scratch: Scratch, shard_keys: int = SHARD_KEYS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """lang, term, key, shard and slot within the shard of each kept term, written; and the number of shards."""
+    """lang, term, key, shard and slot of each kept term, written; and the number of shards.
+
+    A slot is the term's place in the shard by language and perfect hash, so that a group's counters lie together.
+    """
     n, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.length("term") + F.length("lang") + 8), F.lit(0))).first()
     shards = max(1, -(-n // shard_keys), -(-size // shard_bytes))
     keyed = kept.select("lang", "term", _key().alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
 
     def build(rows: pa.Table) -> pa.Table:
         keys = rows.column("key").to_pylist()
-        h = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys))
-        return rows.append_column("slot", pa.array(PerfectHash(h, keys).slot))
+        slot = PerfectHash(hashed(keys), keys).slot
+        lang = np.unique(np.array([k[: k.index(b":") + 1 + int(k[: k.index(b":")])] for k in keys], object), return_inverse=True)[1]
+        place = np.empty(len(keys), np.int64)
+        place[np.lexsort((slot, lang))] = np.arange(len(keys))
+        return rows.append_column("slot", pa.array(place))
 
     slots = scratch.table(keyed.groupBy("shard").applyInArrow(build, "lang string, term binary, key binary, shard bigint, slot bigint"), "slots")
     return slots, shards
@@ -190,37 +202,53 @@ COUNTS = "lang string, source string, shard bigint, slot bigint, count bigint"
 
 
 def _recount(docs: DataFrame, slots: DataFrame, turn: list[int], shards: int) -> DataFrame:
-    rows = slots.where(F.col("shard").isin(turn)).select("shard", "key").toArrow()  # at most broadcast_bytes of terms
-    found: dict[int, PerfectHash] = {}
+    rows = slots.where(F.col("shard").isin(turn)).select("shard", "slot", "key").toArrow()  # at most broadcast_bytes of terms
+    found: dict[int, tuple[PerfectHash, np.ndarray]] = {}
     for shard in turn:
-        keys = rows.filter(pc.equal(rows.column("shard"), shard)).column("key").to_pylist()
-        found[shard] = PerfectHash(np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys)), keys)
+        mine = rows.filter(pc.equal(rows.column("shard"), shard))
+        keys = mine.column("key").to_pylist()
+        perfect = PerfectHash(hashed(keys), keys)
+        place = np.empty(len(keys), np.int64)
+        place[perfect.slot] = mine.column("slot").to_numpy()
+        found[shard] = perfect, place
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = shared.value
         dense: dict[tuple[bytes, bytes, int, int], np.ndarray] = {}
 
-        def add(lang: bytes, source: bytes, counter: Counter) -> None:
-            keys = [term_key(lang, t) for t in counter]
-            h = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys))
-            n = np.fromiter(counter.values(), np.int64, len(keys))
-            shard = (h.view(np.int64) % np.int64(shards)).astype(np.int64)
+        memo: dict[bytes, dict[bytes, int]] = {}
+
+        def look_up(lang: bytes, terms: list[bytes], known: dict[bytes, int]) -> None:
+            """Adds slot x shards + shard of each term to known, -1 for those not stored."""
+            keys = [term_key(lang, t) for t in terms]
+            h = hashed(keys)
+            shard = h.view(np.int64) % np.int64(shards)
             stored = pa.array(keys, pa.large_binary())
-            for s, perfect in hashes.items():
+            at = np.full(len(keys), -1, np.int64)
+            for s, (perfect, place) in hashes.items():
                 mine = np.flatnonzero(shard == s)
-                if not len(mine):
-                    continue
                 slot = perfect.find(h[mine], stored.take(pa.array(mine)))
-                mine, slot = mine[slot >= 0], slot[slot >= 0]
-                order = np.argsort(slot)
-                mine, slot = mine[order], slot[order]
-                blocks, first = np.unique(slot // SLOTS, return_index=True)
-                for b, lo, hi in zip(blocks.tolist(), first, np.append(first, len(slot))[1:], strict=True):
-                    counters = dense.get(k := (lang, source, s, b))
-                    if counters is None:
-                        counters = dense[k] = np.zeros(SLOTS, np.int64)
-                    counters[slot[lo:hi] - b * SLOTS] += n[mine[lo:hi]]
+                at[mine[slot >= 0]] = place[slot[slot >= 0]] * shards + s
+            known.update(zip(terms, at.tolist(), strict=True))
+
+        def add(lang: bytes, source: bytes, counter: Counter) -> None:
+            known = memo.setdefault(lang, {})
+            if new := [t for t in counter if t not in known]:
+                look_up(lang, new, known)
+            at = np.fromiter(map(known.get, counter), np.int64, len(counter))
+            n = np.fromiter(counter.values(), np.int64, len(counter))
+            at, n = at[at >= 0], n[at >= 0]
+            slot, shard = at // shards, at % shards
+            order = np.lexsort((slot, shard))
+            slot, shard, n = slot[order], shard[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (slot[1:] // SLOTS != slot[:-1] // SLOTS)])) if len(slot) else []
+            for lo, hi in zip(first, [*first[1:], len(slot)], strict=True) if len(slot) else ():
+                block = int(slot[lo] // SLOTS)
+                counters = dense.get(k := (lang, source, int(shard[lo]), block))
+                if counters is None:
+                    counters = dense[k] = np.zeros(SLOTS, np.int64)
+                counters[slot[lo:hi] - block * SLOTS] += n[lo:hi]
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source, s, b), counters in dense.items():
@@ -243,6 +271,8 @@ def _recount(docs: DataFrame, slots: DataFrame, turn: list[int], shards: int) ->
                         add(*group, c)
                     held.clear()
                     n = 0
+                    if sum(map(len, memo.values())) > MEMO:
+                        memo.clear()
                     if len(dense) > BLOCKS:
                         yield from flush()
         for group, c in held.items():
