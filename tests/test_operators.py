@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, sources, sinks, streaming, and cases the tables do not hold."""
 
+import datetime
 import math
 import random
 
@@ -110,6 +111,45 @@ def test_split_traps(spark):
     assert got == {("A", "2020-01-01"): (50.0, 20.0), ("A", "2020-01-02"): (25.0, 40.0), ("A", "2020-01-03"): (50.0, 10.0), ("B", "2020-01-01"): (5.0, 10.0)}
 
 
+def calendar_of(spark, n):
+    days = spark.range(n).withColumn("bar_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")))
+    return days.select("bar_date", F.col("id").alias("idx"))
+
+
+@pytest.mark.parametrize("sessions,names", [((0, 1, 2, 12, 13), ["X"] * 5), ((0, 1, 2, 13, 14), ["X.1"] * 3 + ["X"] * 2)])
+def test_segments_are_cut_at_ten_missed_sessions(spark, sessions, names):
+    b = bars_of(spark, [("X", str(datetime.date(2024, 1, 1) + datetime.timedelta(k)), 1.0) for k in sessions])
+    got = sorted((str(r["bar_date"]), r["ticker"]) for r in lifecycle.segments(b, calendar_of(spark, 30)).collect())
+    assert [t for _, t in got] == names
+
+
+@pytest.mark.parametrize("end,closes,volumes", [("2024-01-31", [25, 50, 50, 100, 100], [40, 20, 20, 10, 10]), ("2024-01-15", [25, 100], [40, 10])])
+def test_splits_count_up_to_their_segments_end(spark, end, closes, volumes):
+    """With the segment ending before the second split, that split is another company's."""
+    dates = [d for d in ("2024-01-09", "2024-01-10", "2024-01-19", "2024-01-20", "2024-01-31") if d <= end] if end > "2024-01-20" else ["2024-01-09", "2024-01-15"]
+    b = bars_of(spark, [("X", d, 100.0) for d in dates]).withColumns({"source_ticker": F.lit("X"), "segment": F.lit(0)})
+    later = bars_of(spark, [("X", "2024-03-01", 7.0)]).withColumns({"source_ticker": F.lit("X"), "segment": F.lit(1)})
+    s = spark.createDataFrame([("X", "2024-01-10", 0.25), ("X", "2024-01-20", 0.5)], "ticker string, execution_date string, factor double").withColumn("execution_date", F.to_date("execution_date"))
+    got = lifecycle.segment_split_adjusted(b.unionByName(later), s).orderBy("bar_date").collect()
+    assert [r["close"] for r in got] == [*closes, 7.0] and [r["volume"] for r in got] == [*volumes, 10.0]
+
+
+def test_flow_with_calendar_splits_and_regime(spark):
+    """A reused symbol: the split of the newer company leaves the older one alone; filled sessions carry the adjusted close."""
+    from tickloom.plans.flows import daily_flow
+
+    day = lambda k: str(datetime.date(2024, 1, 1) + datetime.timedelta(k))
+    rows = [("X", day(k), 100.0 + k) for k in range(8)] + [("X", day(k), 10.0 + k) for k in range(30, 40) if k != 33]
+    s = spark.createDataFrame([("X", day(35), 0.5)], "ticker string, execution_date string, factor double").withColumn("execution_date", F.to_date("execution_date"))
+    regime = calendar_of(spark, 60).select("bar_date", (F.col("idx") * 2).alias("mood"))
+    got = daily_flow(bars_of(spark, rows), ["volume_log"], ["volume_log"], calendar_of(spark, 60), s, regime, least_rows=2, jump=9.0, n=3)
+    have = {(r["ticker"], str(r["bar_date"])): (r["close"], r["volume"], r["mood"]) for r in got.collect()}
+    want = {("X.1", day(k)): (100.0 + k, 10.0, 2 * k) for k in range(8)}
+    want |= {("X", day(k)): ((10.0 + k) * (0.5 if k < 35 else 1), 20.0 if k < 35 else 10.0, 2 * k) for k in range(30, 40)}
+    want["X", day(33)] = (21.0, 0.0, 66)
+    assert have == want
+
+
 def test_gates(spark):
     b = bars_of(spark, [("A", "2020-01-01", 1.0), ("A", "2020-01-02", 3.0), ("B", "2020-01-01", 1.0), ("B", "2020-01-02", 1.2), ("C", "2020-01-01", 1.0)])
     assert {r["ticker"] for r in lifecycle.continuous(b).collect()} == {"B", "C"}

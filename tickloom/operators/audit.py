@@ -1,13 +1,11 @@
-"""Read-only checks of a feature table. Each gives tidy rows; audit() unions them."""
+"""Read-only checks of a feature table. Each gives tidy rows; audit_scan.audit() makes all of them in one scan."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import correlation
+from tickloom.operators import gram
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -46,11 +44,8 @@ def split_drift(df: DataFrame, columns: list[str], split: str, base: str = "trai
 
 
 def correlations(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """a, b, r of every pair of columns (a < b), per group of by: all in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
-    wide = (df.groupBy(*by) if by else df.groupBy()).agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    rows = wide.unpivot(by or [], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    return rows.select(*(by or []), F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "r")
+    """a, b, r of every pair of columns (a < b), per group of by, from blocked products (gram)."""
+    return gram.correlations(df, columns, by).select(*(by or []), "a", "b", "r")
 
 
 def multicollinear(df: DataFrame, columns: list[str], limit: float = 0.95) -> DataFrame:
@@ -84,22 +79,3 @@ def downcastable(df: DataFrame, columns: list[str], tolerance: float = 1e-6) ->
 
 def downcast(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c in columns})
-
-
-def audit(bars: DataFrame, columns: list[str]) -> DataFrame:
-    """(check, subject, severity, value) of all checks that found something."""
-    from tickloom.operators.lifecycle import discontinuities
-
-    row = lambda check, subject, severity, value: [F.lit(check).alias("check"), F.col(subject).alias("subject"), F.lit(severity).alias("severity"), F.col(value).cast("double").alias("value")]
-    bad = missing_and_invalid(bars, columns).withColumn("bad", F.col("n_null") + F.col("n_nan") + F.col("n_inf")).where("bad > 0")
-    parts = [
-        bad.select(*row("missing", "feature", "warning", "bad")),
-        statistics(bars, columns).where("saturation > 0.05").select(*row("saturation", "feature", "info", "saturation")),
-        yearly_drift(bars, columns).where("drifted").groupBy("feature").agg(F.count("*").alias("years")).where("years >= 2").select(*row("drift", "feature", "warning", "years")),
-        close_nulls(bars).where("interior > 0").select(*row("interior nulls", "ticker", "critical", "interior")),
-        survivorship(bars).where("not active").withColumn("n", F.lit(1)).select(*row("delisted", "ticker", "info", "n")),
-        discontinuities(bars).groupBy("ticker", "severity").agg(F.count("*").alias("n")).select(F.lit("discontinuity").alias("check"), F.col("ticker").alias("subject"), "severity", F.col("n").cast("double").alias("value")),
-        multicollinear(bars, columns).where("n_high > 0").withColumn("pair", F.concat_ws("|", "a", "b")).select(*row("collinear", "pair", "info", "n_high")),
-        downcastable(bars, columns).where("fits").select(*row("downcast", "feature", "info", "loss")),
-    ]
-    return reduce(DataFrame.unionByName, parts)

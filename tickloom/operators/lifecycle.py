@@ -69,6 +69,20 @@ def split_adjusted(bars: DataFrame, splits: DataFrame) -> DataFrame:
     return got.withColumns({c: F.col(c) * factor for c in ("open", "high", "low", "close")} | {"volume": F.col("volume") / factor})
 
 
+def segment_split_adjusted(segmented: DataFrame, splits: DataFrame) -> DataFrame:
+    """split_adjusted() of segments(): a split counts for the bars of its source ticker's segment only, up to the segment's last date.
+
+    So bars of a company that had the symbol before are left alone by splits of the one that has it now.
+    """
+    last = segmented.groupBy("source_ticker", "segment").agg(F.max("bar_date").alias("__last"))
+    bounded = segmented.join(last, ["source_ticker", "segment"])
+    dated = splits.select(F.col("ticker").alias("source_ticker"), "execution_date", F.col("execution_date").alias("__on"), "factor")
+    got = asof_next(bounded, dated, ["source_ticker"], "bar_date", "execution_date", ["__on", "factor"])
+    factor = F.when(F.col("__on") <= F.col("__last"), F.col("factor")).otherwise(F.lit(1.0))
+    made = {c: F.col(c) * F.coalesce(factor, F.lit(1.0)) for c in ("open", "high", "low", "close")} | {"volume": F.col("volume") / F.coalesce(factor, F.lit(1.0))}
+    return got.withColumns(made).drop("__last", "__on", "factor").select(segmented.columns)
+
+
 def suspect_renames(renames: DataFrame, splits: DataFrame) -> DataFrame:
     """Renames whose previous name has a split after the change: the name lives on, so it was no rename."""
     s = splits.select(F.col("ticker").alias("previous_ticker"), "execution_date")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
 from tickloom.operators import audit as A
+from tickloom.operators import audit_scan as AS
 from tickloom.operators import features as FT
+from tickloom.operators import gram as G
 from tickloom.operators import joins as J
 from tickloom.operators import lifecycle as L
 from tickloom.operators import normalize as N
@@ -352,6 +354,24 @@ def split_adjusted_bars(spark, sf_dir):
     return L.split_adjusted(bars, _splits(bars)).select("ticker", "bar_date", "close", "volume")
 
 
+_SEGMENTED = f"""g AS (SELECT b.*, c.idx - lag(c.idx) OVER (PARTITION BY b.ticker ORDER BY b.bar_date) - 1 AS gap FROM bars b LEFT JOIN calendar c USING (bar_date)),
+        s AS (SELECT *, sum(CASE WHEN coalesce(gap >= 10, true) THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY bar_date ROWS UNBOUNDED PRECEDING) - 1 AS segment FROM g),
+        n AS (SELECT *, max(segment) OVER (PARTITION BY ticker) AS newest, max(bar_date) OVER (PARTITION BY ticker, segment) AS last FROM s)"""
+_NAMED = "CASE WHEN segment = newest THEN ticker ELSE ticker || '.' || CAST(segment + 1 AS VARCHAR) END"
+
+
+@query(
+    f"""WITH {WEEKDAY_BARS}, {CALENDAR_SQL}, {_SPLITS}, {_SEGMENTED},
+        f AS (SELECT n.*, (SELECT arg_min(struct_pack(k := x.factor, d := x.execution_date), x.execution_date) FROM splits x WHERE x.ticker = n.ticker AND x.execution_date > n.bar_date) AS next FROM n)
+        SELECT {_NAMED} AS ticker, bar_date, close * coalesce(CASE WHEN next.d <= last THEN next.k END, 1.0) AS close, volume / coalesce(CASE WHEN next.d <= last THEN next.k END, 1.0) AS volume FROM f""",
+    "close volume", 4,
+)
+def segment_split_adjusted_bars(spark, sf_dir):
+    """Prices adjusted by the first split after them within their segment."""
+    bars = weekday_bars(spark, sf_dir)
+    return L.segment_split_adjusted(L.segments(bars, weekdays(bars)), _splits(bars)).select("ticker", "bar_date", "close", "volume")
+
+
 @query(
     f"""{BARS}, {_SPLITS}, m AS (SELECT ticker, bar_date, close, abs(close / lag(close) OVER ({P}) - 1) AS move FROM bars),
         n AS (SELECT m.*, s.execution_date FROM m JOIN splits s ON m.ticker = s.ticker AND abs(date_diff('day', m.bar_date, s.execution_date)) <= 5)
@@ -837,7 +857,41 @@ def downcastable_columns(spark, sf_dir):
     return A.downcastable(daily_bars(spark, sf_dir), ["close", "volume"])
 
 
-@query()
+_AUDITED = ("close", "high", "low", "open", "volume")
+_ROWS_SQL = " UNION ALL ".join(f"SELECT ticker, bar_date, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM bars" for c in _AUDITED)
+_PAIRS_SQL = " UNION ALL ".join(f"SELECT '{a}|{b}' AS subject, corr({a}, {b}) AS r FROM bars GROUP BY ticker" for i, a in enumerate(_AUDITED) for b in _AUDITED[i + 1 :])
+
+
+@query(
+    f"""{BARS}, l AS ({_ROWS_SQL}), y AS (SELECT feature, year(bar_date) AS y, avg(value) AS m, stddev_samp(value) AS d FROM l GROUP BY ALL HAVING count(value) >= 10),
+      moved AS (SELECT a.feature, abs(a.m - b.m) / b.d > 0.5 OR abs(a.d - b.d) / b.d > 0.5 AS drifted FROM y a JOIN y b ON a.feature = b.feature AND a.y = b.y + 1),
+      j AS (SELECT ticker, abs(ln(close) - ln(lag(close) OVER ({P}))) AS r FROM bars), ends AS (SELECT ticker, max(bar_date) FILTER (close > 0) AS until FROM bars GROUP BY ticker)
+      SELECT 'saturation' AS check, feature AS subject, 'info' AS severity, avg(CAST(abs(value) > 0.99 AS DOUBLE)) AS value FROM l GROUP BY feature HAVING avg(CAST(abs(value) > 0.99 AS DOUBLE)) > 0.05
+      UNION ALL SELECT 'missing', feature, 'warning', CAST(count(*) - count(value) AS DOUBLE) FROM l GROUP BY feature HAVING count(*) > count(value)
+      UNION ALL SELECT 'downcast', feature, 'info', max(abs(value - CAST(CAST(value AS FLOAT) AS DOUBLE))) FROM l GROUP BY feature HAVING max(abs(value - CAST(CAST(value AS FLOAT) AS DOUBLE))) <= 1e-6
+      UNION ALL SELECT 'drift', feature, 'warning', CAST(count(*) AS DOUBLE) FROM moved WHERE drifted GROUP BY feature HAVING count(*) >= 2
+      UNION ALL SELECT 'discontinuity', ticker, CASE WHEN r >= ln(2.0) THEN 'critical' ELSE 'suspicious' END AS s, CAST(count(*) AS DOUBLE) FROM j WHERE r >= ln(1.5) GROUP BY ticker, s
+      UNION ALL SELECT 'delisted', ticker, 'info', 1.0 FROM ends WHERE date_diff('day', until, (SELECT max(until) FROM ends)) > 30
+      UNION ALL SELECT 'collinear', subject, 'info', CAST(count(*) AS DOUBLE) FROM ({_PAIRS_SQL}) WHERE abs(r) >= 0.95 GROUP BY subject""",
+    "value",
+)
 def audit_report(spark, sf_dir):
-    """All checks as one tidy table."""
-    return A.audit(daily_bars(spark, sf_dir), ["open", "high", "low", "close", "volume"])
+    """All checks as one tidy table, from one scan."""
+    return AS.audit(daily_bars(spark, sf_dir), list(_AUDITED))
+
+
+#: The market-wide columns that every date has.
+REGIME_COLUMNS = [*_REGIME, *(f"{c}_delta_{n}" for c, ns in _REGIME_DELTAS.items() for n in ns), *_ROTATION, *_ROTATION_DELTAS]
+REGIME_SQL = _regime_sql()
+_REGIME_PAIRS = [(a, b) for i, a in enumerate(sorted(REGIME_COLUMNS)) for b in sorted(REGIME_COLUMNS)[i + 1 :]]
+
+
+@query(
+    f"""WITH t AS MATERIALIZED ({REGIME_SQL}), k AS MATERIALIZED (SELECT * FROM t WHERE {' AND '.join(f'{c} IS NOT NULL' for c in REGIME_COLUMNS)}),
+      p AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END AS r, count(*) AS n FROM k" for a, b in _REGIME_PAIRS)})
+      SELECT a, b, r FROM p WHERE n >= 100 AND abs(r) >= 0.9 ORDER BY round(abs(r), 9) DESC, a, b LIMIT 30""",
+    "r",
+)
+def regime_collinearity(spark, sf_dir):
+    """The pairs of market-wide columns that say the same: |r| of 0.9 and more over at least 100 complete dates."""
+    return G.regime_collinear(regime_table(spark, sf_dir), list(REGIME_COLUMNS))

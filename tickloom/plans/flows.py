@@ -14,16 +14,18 @@ def daily_flow(
     bars: DataFrame, normalised: list[str], across: list[str], calendar: DataFrame | None = None, splits: DataFrame | None = None, regime: DataFrame | None = None,
     least_rows: int = L.MIN_ROWS, jump: float = L.JUMP, n: int = 252,
 ) -> DataFrame:
-    """Daily bars to features: lifetimes cut at gaps and sessions filled (with a calendar), prices adjusted (with splits), tickers
+    """Daily bars to features: lifetimes cut at gaps, prices adjusted (with splits, each within its lifetime), sessions filled (with a calendar), tickers
     with a short or broken history left out, features of daily_features(), rolling z-scores, cross-section scores, and the
     market-wide columns of each date (with a regime table).
 
     Two shuffles of the bars, by ticker and by date; every per-ticker step shares the first one's order.
     """
-    if splits is not None:
-        bars = L.split_adjusted(bars, splits)
     if calendar is not None:
-        bars = L.densified(L.segments(bars, calendar).select(bars.columns), calendar)
+        cut = L.segments(bars, calendar)
+        cut = cut if splits is None else L.segment_split_adjusted(cut, splits)
+        bars = L.densified(cut.select(bars.columns), calendar)
+    elif splits is not None:
+        bars = L.split_adjusted(bars, splits)
     good = L.ticker_status(bars, least_rows, jump).where("status = 'ok'").select("ticker")
     rows = FT.daily_features(bars.join(good, "ticker", "left_semi"))
     rows = N.cross_section(N.rolling_normalised(rows, normalised, n=n), across)
