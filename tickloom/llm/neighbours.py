@@ -48,6 +48,7 @@ BEAM = 160
 WIDTH = 64
 NODES = 256  # of a bucket
 ASKERS = 16
+BROADCAST_ROWS = 50_000  # of three numbers: leaves that are dealt out
 EXACT = 16  # points of a beam that are measured again, at least
 EDGES = "a bigint, b bigint, sim float, fresh boolean"
 
@@ -99,13 +100,15 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pa
     return pa.table({"a": a[top], "b": b[top], "sim": sim[top].astype(np.float32), "fresh": np.ones(len(top), bool)})
 
 
-def start(nodes: DataFrame, k: int) -> DataFrame:
+def start(nodes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """EDGES of each node to its nearest in the blocks of the start."""
     size = nodes.groupBy("w").count().withColumn("bits", F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / LEAF)))).cast("int")).drop("count")
-    leaf = F.posexplode(F.concat(F.array(F.lit(0)), "code")).alias("turn", "code")
+    random = F.pmod(F.xxhash64("point"), F.lit(1 << 20)).cast("int")
+    leaf = F.posexplode(F.concat(F.array(random), "code")).alias("turn", "code")
     placed = nodes.join(size, "w").select("point", "w", "unit", "bits", leaf).withColumn("leaf", F.col("code").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("bits")) - 1))
-    held = placed.groupBy("w", "turn", "leaf").count()
-    salted = placed.join(held, ["w", "turn", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("point", "turn"), F.ceil(F.col("count") / LEAF)))
+    large = scratch.table(placed.groupBy("w", "turn", "leaf").count().where(F.col("count") > 2 * LEAF), "leaves")
+    known = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    salted = placed.join(known, ["w", "turn", "leaf"], "left").withColumn("salt", F.pmod(F.xxhash64("point", "turn"), F.ceil(F.coalesce("count", F.lit(1)) / LEAF)))
 
     def meet(rows: pa.Table) -> pa.Table:
         x, point = _binary(rows.column("unit"), np.float32), rows.column("point").to_numpy()
@@ -269,7 +272,7 @@ def nearest(
     found = scratch.table(points(rows.withColumn("times", F.lit(1))), "points")
     nodes = scratch.table(units(found), "nodes")
     n = nodes.count()
-    edges = descended(nodes, scratch.table(start(nodes, k), "edges"), n, k, reverse, delta, scratch)
+    edges = descended(nodes, scratch.table(start(nodes, k, scratch), "edges"), n, k, reverse, delta, scratch)
     placed = scratch.table(rows.join(found.select("data", "point"), "data").select("id", "point"), "placed")
     askers = placed.where(asked)
     beams = searched(nodes, edges, scratch.table(askers.select(F.col("point").alias("q")).distinct(), "askers"), beam, width, reverse, scratch)
