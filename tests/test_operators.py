@@ -276,12 +276,36 @@ def test_degenerate_metrics(spark):
     assert r["total_return"] == 0 and r["sharpe"] is None and r["profit_factor"] is None and r["max_drawdown"] == 0
 
 
+def test_pools_over_tickers_need_no_window_over_all(spark):
+    """Episodes of every ticker, ages over the whole pool; no plan brings a pool or series into one task."""
+    rows = [(t, str(datetime.date(2020, 1, 1) + datetime.timedelta(k))) for t, n in (("hot", 90), ("a", 12), ("short", 4)) for k in range(n)]
+    dates = spark.createDataFrame(rows, "ticker string, bar_date string").withColumn("bar_date", F.to_date("bar_date")).repartition(3)
+    pool = folds.episode_pool(dates, 5, 2.0, 2, "ticker")
+    got = sorted((str(r["start_date"]), r["ticker"], str(r["end_date"]), r["start_idx"], r["age"], r["weight"]) for r in pool.collect())
+    starts = sorted((rows[i][1], t, k) for i, (t, k) in enumerate((t, k) for t, n in (("hot", 90), ("a", 12), ("short", 4)) for k in range(n)) if k % 2 == 0 and k + 4 < {"hot": 90, "a": 12, "short": 4}[t])
+    ages = [1 - i / (len(starts) - 1) for i in range(len(starts))]
+    total = sum(math.exp(-2 * x) for x in ages)
+    assert len(got) == len(starts)
+    for g, (d, t, k), x in zip(got, starts, ages, strict=True):
+        assert g[:2] == (d, t) and g[3] == k and g[2] == str(datetime.date.fromisoformat(d) + datetime.timedelta(4))
+        assert abs(g[4] - x) < 1e-12 and abs(g[5] - math.exp(-2 * x) / total) < 1e-12
+    assert folds.drawn(pool, 300, 5, ["start_date", "ticker"]).count() == 300
+    for df in (pool, folds.drawn(pool, 300, 5, ["start_date", "ticker"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any("Window [" in line and "], [" not in line for line in plan.splitlines())
+
+
 def test_draws(spark):
     dates = spark.range(300).select(F.expr("date_add(date'2020-01-01', cast(id as int))").alias("bar_date"))
     pool = folds.episode_pool(dates, 50, 3.0)
     assert pool.count() == 251 and abs(pool.agg(F.sum("weight")).first()[0] - 1) < 1e-9
     a, b = folds.drawn(pool, 500, 1).orderBy("draw").collect(), folds.drawn(pool.repartition(7), 500, 1).orderBy("draw").collect()
-    assert [r["start_idx"] for r in a] == [r["start_idx"] for r in b] and len(a) >= 499
+    assert [r["start_idx"] for r in a] == [r["start_idx"] for r in b] and [r["draw"] for r in a] == list(range(500))
+    rows = pool.orderBy("start_idx").collect()
+    upto = np.cumsum([r["weight"] for r in rows])
+    u = [r["u"] for r in spark.range(500).select(folds.uniform(1, "id").alias("u")).collect()]
+    assert [r["start_idx"] for r in a] == [rows[min(int(np.searchsorted(upto / upto[-1], x, "right")), len(rows) - 1)]["start_idx"] for x in u]
+    assert folds.drawn(pool.limit(0), 10, 1).count() == 0 and folds.episode_pool(dates.limit(0), 50).count() == 0
     assert np.mean([r["start_idx"] for r in a]) > 150
     assert folds.validation_set(pool, 10, 1).distinct().count() == 10
     sample = folds.recency_sample(spark, 100, 20, 128, 1000, 4.0, 2).collect()

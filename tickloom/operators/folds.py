@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.scan import placed, running_sums
 from tickloom.operators.windows import ordered
 
 
@@ -43,34 +44,59 @@ def trimmed(df: DataFrame, by: str, date: str) -> DataFrame:
     return df.withColumns({"__a": F.min(date).over(w), "__b": F.max(date).over(w)}).where((F.col(date) > F.col("__a")) & (F.col(date) < F.col("__b"))).drop("__a", "__b")
 
 
-def episode_pool(dates: DataFrame, length: int, decay: float = 0.0, stride: int = 1) -> DataFrame:
-    """start_idx, start_date, end_date, weight of every episode of `length` steps; the weight falls with age by exp(-decay age)."""
-    w = Window.orderBy("bar_date")
-    at = dates.select("bar_date", (F.row_number().over(w) - 1).alias("start_idx"), F.lead("bar_date", length - 1).over(w).alias("end_date"))
-    pool = at.where("end_date is not null").where(F.col("start_idx") % stride == 0).select("start_idx", F.col("bar_date").alias("start_date"), "end_date")
-    return weighted_by_recency(pool, "start_idx", decay)
+def episode_pool(dates: DataFrame, length: int, decay: float = 0.0, stride: int = 1, by: str | None = None) -> DataFrame:
+    """start_idx, start_date, end_date, weight of every episode of `length` steps; the weight falls with age by exp(-decay age).
+
+    With by, episodes of each key (a ticker) are numbered within it; ages and weights are those of the whole pool, by start_date.
+    Places come from two-level sums: no window goes over a whole series or pool. An episode's end is the row length - 1 places on.
+    """
+    keys = [by] if by else []
+    at = placed(dates.select(*keys, "bar_date"), keys, ["bar_date"], "start_idx")
+    ends = at.select(*keys, (F.col("start_idx") - (length - 1)).alias("start_idx"), F.col("bar_date").alias("end_date"))
+    pool = at.where(F.col("start_idx") % stride == 0).join(ends, [*keys, "start_idx"]).select(*keys, "start_idx", F.col("bar_date").alias("start_date"), "end_date")
+    return weighted_by_recency(pool, ["start_date", by] if by else "start_idx", decay)
 
 
-def weighted_by_recency(pool: DataFrame, order: str, decay: float) -> DataFrame:
+def weighted_by_recency(pool: DataFrame, order: str | list[str], decay: float) -> DataFrame:
     """age 0 (newest) to 1 and weight exp(-decay age), adding up to 1."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    age = 1 - F.coalesce(F.try_divide(F.row_number().over(Window.orderBy(order)) - 1, n - 1), F.lit(0.0))
-    raw = pool.withColumn("age", age).withColumn("__w", F.exp(-F.lit(decay) * F.col("age")))
-    return raw.withColumn("weight", F.col("__w") / F.sum("__w").over(Window.partitionBy(F.lit(0)))).drop("__w")
+    order = [order] if isinstance(order, str) else order
+    at = placed(pool, [], order, "__place")
+    one = F.lit(1).alias("__one")
+    raw = at.select("*", one)
+    n = raw.groupBy("__one").agg(F.count("*").alias("__n"))  # one row
+    aged = raw.join(F.broadcast(n), "__one").withColumn("age", 1 - F.coalesce(F.try_divide(F.col("__place"), F.col("__n") - 1), F.lit(0.0)))
+    aged = aged.withColumn("__w", F.exp(-F.lit(decay) * F.col("age")))
+    total = aged.groupBy("__one").agg(F.sum("__w").alias("__sum"))  # one row
+    return aged.join(F.broadcast(total), "__one").withColumn("weight", F.col("__w") / F.col("__sum")).drop("__w", "__n", "__sum", "__place", "__one")
+
+
+SLICES = 4096
+DIGITS = 18
 
 
-def drawn(pool: DataFrame, n: int, seed: int) -> DataFrame:
+def drawn(pool: DataFrame, n: int, seed: int, order: list[str] | None = None) -> DataFrame:
     """n draws with replacement by weight: draw, and the pool's columns. Each draw falls into one cumulative band.
 
-    Bands and draws meet by an equi join on 4096 slices of (0, 1); a band is sent to the slices it touches.
+    Bands are sums of decimals in two levels, so they do not depend on how rows are dealt out, and the last one ends where draws
+    end: a draw is a share of the total. Bands and draws meet by an equi join on slices of the total; a band is sent to
+    the slices it touches, the draws of a slice are split by Spark where there are many.
     """
-    upto = F.sum("weight").over(Window.orderBy("start_idx").rowsBetween(Window.unboundedPreceding, 0))
-    bands = pool.withColumn("__hi", upto).withColumn("__lo", F.col("__hi") - F.col("weight"))
+    order = order or ["start_idx"]
+    bands = running_sums(pool, [], order, {"__hi": F.col("weight")}, DIGITS)
+    total = bands.agg(F.max("__hi").alias("t")).first()["t"]
+    if not total:
+        return pool.limit(0).select(F.lit(0).cast("bigint").alias("draw"), "*")
+    share = lambda c: (c / F.lit(float(total))).cast("double")
+    lo = F.col("__hi") - F.col("weight").cast(f"decimal(38,{DIGITS})")
+    bands = bands.withColumns({"__lo": share(lo.cast("double")), "__up": F.when(F.col("__hi") == F.lit(total), 2.0).otherwise(share(F.col("__hi").cast("double")))})
+    slice_of = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * SLICES)
     draws = pool.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(seed, "id").alias("__u"))
-    slice_of = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) * 4096)
-    spread = bands.withColumn("__s", F.explode(F.sequence(slice_of("__lo"), slice_of("__hi"))))
-    inside = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
-    return draws.withColumn("__s", slice_of("__u")).join(spread, "__s").where(inside).drop("__u", "__lo", "__hi", "__s")
+    spread = bands.withColumn("__s", F.explode(F.sequence(slice_of(F.col("__lo")), slice_of(F.col("__up")))))
+    inside = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__up"))
+    hit = draws.withColumn("__s", slice_of(F.col("__u"))).join(spread, "__s").where(inside)
+    # rounding may let two neighbouring bands claim a draw that lies on their edge: the first has it
+    best = hit.groupBy("draw").agg(F.min_by(F.struct(*pool.columns), "__hi").alias("__row"))
+    return best.select("draw", "__row.*")
 
 
 def validation_set(pool: DataFrame, n: int, seed: int) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +16,13 @@ from tickloom.operators import lifecycle as L
 from tickloom.operators import metrics as M
 from tickloom.operators import regime as R
 from tickloom.operators import windows as W
+from tickloom.operators.scan import placed
+from tickloom.plans.bars_queries import _bucketed
 from tickloom.plans.registry import query
 from tickloom.session import shared_folder
 from tickloom.sources import bars as B
 from tickloom.sources import sinks as K
+from tickloom.sources import vendor as V
 from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, daily_bars, hourly_bars, table, ticks
 
 BARS = f"WITH {DAILY_BARS_SQL}"
@@ -122,6 +129,69 @@ def streamed_bars(spark, sf_dir):
     return spark.read.parquet(path).drop("day").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+def _pages(rows, folder: str, name: str, size: int) -> None:
+    """Writes pages as a vendor serves them below a folder that all tasks share: {name}-{k}.json of `size` records, each with the next one's name.
+
+    rows: name, at (place of the record, from 0), record (JSON). A page is written by the task that has its records.
+    """
+    os.makedirs(folder.removeprefix("file://"), exist_ok=True)
+
+    def write(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("at")
+        who, k, last = page["name"].iloc[0], int(page["at"].iloc[0]) // size, bool(page["last"].max())
+        records = ",".join(page["record"])
+        with open(f"{folder.removeprefix('file://')}/{who}-{k}.json", "w") as f:
+            f.write(f'{{"results":[{records}],"next_url":{"null" if last else json.dumps(f"{who}-{k + 1}.json")}}}')
+        return pd.DataFrame({"n": [len(page)]})
+
+    ends = rows.groupBy("name").agg(F.max("at").alias("end"))
+    marked = rows.join(ends, "name").withColumn("last", F.col("at") == F.col("end"))
+    marked.groupBy("name", F.floor(F.col("at") / size)).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+@query(f"{BARS} SELECT ticker, bar_date, close, volume FROM bars WHERE bar_date >= DATE '1996-01-01'", "close volume")
+def paged_bars(spark, sf_dir):
+    """Bars read page by page as a vendor serves them, a partition a batch of tickers; the date filter goes with the request."""
+    folder = _folder(spark, "pages")
+    bars = daily_bars(spark, sf_dir).select("ticker", "bar_date", "close", F.col("volume").cast("double"))
+    at = F.row_number().over(Window.partitionBy("ticker").orderBy("bar_date")) - 1
+    _pages(bars.select(F.col("ticker").alias("name"), at.alias("at"), F.to_json(F.struct("*")).alias("record")), folder, "bars", 200)
+    tickers = [r["ticker"] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]  # what is asked for
+    rows = V.vendor_rows(spark, f"{folder}/{{tickers}}-0.json", tickers, "ticker string, bar_date date, close double, volume double", batch=1)
+    return rows.where(F.col("bar_date") >= F.lit("1996-01-01").cast("date"))
+
+
+@query(f"{HOURS} SELECT * FROM bars")
+def message_bars(spark, sf_dir):
+    """Hourly bars of messages read by number from a stream with offsets, a batch at a time."""
+    from tickloom.streaming.rollups import streamed_rollup, upserted
+
+    folder, path = _folder(spark, "messages"), _folder(spark, "message-bars")
+    rows = placed(ticks(spark, sf_dir).select("ticker", "ts", "id", "price"), [], ["id"])
+    message = F.to_json(F.struct("ticker", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "id", "price"))
+    _pages(rows.select(F.lit("log").alias("name"), F.col("position").alias("at"), message.alias("record")), folder, "log", 500)
+    with open(f"{folder.removeprefix('file://')}/offset.json", "w") as f:
+        json.dump({"offset": rows.count()}, f)
+    stream = V.message_stream(spark, f"{folder}/log-{{segment}}.json", f"{folder}/offset.json", "ticker string, ts timestamp, id bigint, price double", segment=500)
+    upserted(streamed_rollup(stream, "1 hour", late="400 days"), path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path).drop("day").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query(_bucketed(1440))
+def refreshed_bars(spark, sf_dir):
+    """Daily bars kept by policy: every third tick comes a batch late and re-aggregates its day; the newest day is live."""
+    from tickloom.streaming import refresh as R
+
+    folder = _folder(spark, "refreshed")
+    rows = ticks(spark, sf_dir).select("ticker", F.col("ts").cast("timestamp").alias("ts"), "id", "price")
+    now = rows.agg(F.max("ts").alias("t")).first()["t"]
+    policy = R.Policy("1 day", start=timedelta(days=400))
+    for k, part in enumerate((F.col("id") % 3 != 0, F.col("id") % 3 == 0)):
+        R.append(rows.where(part), k, folder, policy)
+        R.refresh(spark, folder, now, policy)
+    return R.live(spark, folder, now, policy).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 # ---- small projections and joins
 
 

@@ -45,17 +45,22 @@ def compact(spark: SparkSession, path: str, before: str, by: str = "bar_date") -
     _by_date(old, by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def ingest(spark: SparkSession, source: DataFrame, path: str, order: Column) -> int:
-    """Appends what is new of the source to the table; the number of rejected rows."""
-    good, bad = typed(source)
+def ingest(spark: SparkSession, source: DataFrame, path: str, order: Column, by: str = "bar_date") -> int:
+    """Appends what is new of the source to the table, partitioned by `by`; the number of rejected rows.
+
+    Only the dates of the load are read of the table (partition pruning), so a load costs what it brings, not what is there.
+    """
+    good, _ = typed(source)
+    keyed = F.col("ticker").isNotNull() & F.col("timestamp").isNotNull()
+    dates = source.groupBy(by).agg(F.count_if(keyed).alias("n"), F.count_if(~keyed).alias("rejected")).collect()  # a row a date of the load
     try:
-        target = spark.read.parquet(path)
+        target = spark.read.parquet(path).where(F.col(by).isin([r[by] for r in dates if r["n"]]))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         target = None
-    append_bars(new_rows(good, target, ["ticker", "timestamp"], order), path)
-    return bad.count()
+    append_bars(new_rows(good, target, ["ticker", "timestamp"], order), path, by)
+    return sum(r["rejected"] for r in dates)
 
 
 def write_features(df: DataFrame, path: str, by: str = "ticker") -> None:

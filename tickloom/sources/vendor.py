@@ -40,7 +40,8 @@ FLOOR, CEILING = "0001-01-01", "9999-12-31"
 
 
 def fetched(url: str, token: str = "", retries: int = 5, wait: float = 0.5, timeout: float = 30.0) -> dict:
-    """The JSON object at url."""
+    """The JSON object at url; a path without a scheme is a file."""
+    url = url if ":" in url.split("/", 1)[0] else f"file://{url}"
     for attempt in range(retries + 1):
         try:
             request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
