@@ -18,7 +18,7 @@ DATES = {
         "since_significant_move", "lifecycle_segments", "densified_bars", "split_adjusted_bars", "segment_split_adjusted_bars", "stitched_tickers", "long_histories", "discontinuities",
         "benchmark_ratio", "candle_features", "return_features", "volatility_features", "volume_features", "money_flow_index", "lag_pack",
         "rolling_z_scores", "rolling_z_features", "level_deltas", "cross_section_scores", "train_fitted_scaler", "market_breadth", "ratio_regime", "term_structure",
-        "relative_strength", "sector_rotation", "stored_year", "regime_table", "trend_indicators", "classic_indicators", "paged_bars",
+        "relative_strength", "sector_rotation", "stored_year", "regime_table", "trend_indicators", "classic_indicators", "paged_bars", "clustered_window",
     ),
     "execution_date": (
         "verified_splits",

@@ -114,6 +114,14 @@ def session_minute_spans(spark, sf_dir):
     return minutes.groupBy(F.col("bar_date").cast("string").alias("day")).agg(F.count("*").alias("minutes"), F.min(F.unix_micros("timestamp")).alias("opens"))
 
 
+@query(f"{BARS} SELECT ticker, bar_date, avg(close) OVER ({P} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean_20 FROM bars", "mean_20")
+def clustered_window(spark, sf_dir):
+    """A window by ticker over a bucketed, sorted table: it is planned without a shuffle."""
+    name = f"clustered_{uuid.uuid4().hex}"
+    K.write_clustered(daily_bars(spark, sf_dir).select("ticker", "bar_date", "close"), name, _folder(spark, name), 8)
+    return spark.table(name).select("ticker", "bar_date", F.avg("close").over(W.trailing(W.ordered("ticker", "bar_date"), 20)).alias("mean_20"))
+
+
 # ---- a stream
 
 

@@ -63,6 +63,16 @@ def ingest(spark: SparkSession, source: DataFrame, path: str, order: Column, by:
     return sum(r["rejected"] for r in dates)
 
 
+def write_clustered(df: DataFrame, table: str, path: str, buckets: int, by: str = "ticker", time: str = "bar_date", row_group: int = 8 << 20) -> None:
+    """A table bucketed by ticker, a sorted file a bucket, with a Bloom filter on the ticker: its chunks by key and its time index.
+
+    Windows and joins by ticker on it need no shuffle. A filter on a ticker reads the row groups
+    (of about row_group bytes) whose bounds and filter admit the ticker; one on the time is checked against row groups, too.
+    """
+    writer = df.repartition(buckets, by).write.format("parquet").mode("error").bucketBy(buckets, by).sortBy(by, time).option("path", path)
+    writer.option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{by}", "true").option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 100).saveAsTable(table)
+
+
 def write_features(df: DataFrame, path: str, by: str = "ticker") -> None:
     """One folder per ticker in a new place; never over an input."""
     df.repartition(by).write.mode("error").partitionBy(by).parquet(path)
