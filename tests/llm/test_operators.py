@@ -518,6 +518,31 @@ def test_metric_join_of_every_row(spark, block):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_long_vectors_near_the_threshold(spark):
+    """2,000 dimensions, cosines within 1e-6 of the threshold on either side: float32 products err by more."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(12):
+        x = rng.normal(size=2000)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=2000)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = 0.9 + (1 if k % 2 else -1) * 1e-6
+        z = c * x + np.sqrt(1 - c * c) * y
+        rows += [(2 * k, x.tolist()), (2 * k + 1, z.tolist())]
+        want |= {2 * k: k % 2, 2 * k + 1: k % 2}
+    got = metric_join.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.9).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == want
+
+
+def test_every_row_of_a_components_least_id_is_kept_by_the_query(spark, tmp_path):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (3, [1.0, 0.0], 0), (4, [0.0, 1.0], 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["vec_id"], r["component_id"], r["kept"]) for r in metric_join.op9_embedding_near_dedup(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (3, 1, False), (4, 4, True)]
+
+
 # ---- 10
 
 

@@ -100,12 +100,13 @@ def joined_block(members: pd.DataFrame, others: pd.DataFrame, cosine: float) ->
     n = others["n"].to_numpy()
     links = np.zeros(len(a), np.int64)
     a32, b32 = a.astype(np.float32), b.astype(np.float32)
+    slack = max(SLACK, 4 * np.finfo(np.float32).eps * a.shape[1])  # more than a float32 product of unit vectors can err
     mine, theirs = members["point"].to_numpy(), others["point"].to_numpy()
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for low in range(0, len(a), 512):
         near = a32[low : low + 512] @ b32.T
-        i, j = np.nonzero(near >= np.float32(cosine - SLACK))
-        sure = near[i, j] >= np.float32(cosine + SLACK)
+        i, j = np.nonzero(near >= np.float32(cosine - slack))
+        sure = near[i, j] >= np.float32(cosine + slack)
         if not sure.all():
             exact = np.einsum("ij,ij->i", a[low + i[~sure]], b[j[~sure]])
             sure[~sure] = exact >= cosine
@@ -281,4 +282,6 @@ def member_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """near_duplicates() of all embeddings; here every row of the component's least id is kept, as the query's contract says."""
+    rows = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
