@@ -772,6 +772,10 @@ def _regime_sql() -> str:
 @query(_regime_sql(), " ".join([*_REGIME, *(f"{c}_delta_{n}" for c, ns in (_REGIME_DELTAS | _TERM_DELTAS).items() for n in ns), *_TERM_DELTAS, *_RATIOS, *_ROTATION, *_ROTATION_DELTAS]), 4)
 def regime_table(spark, sf_dir):
     """All 45 market-wide columns of a date in one table."""
+    return _regime_rows(spark, sf_dir)
+
+
+def _regime_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.ln(F.col("close") / F.lag("close").over(W.ordered("ticker", "bar_date")))
     rows = daily_bars(spark, sf_dir).select("ticker", "bar_date", "close", r.alias("r"))
     return R.regime_table(rows, "r", ("1", "2"), _PAIRS, [str(k) for k in range(1, 12)], _SPANS, _TERMS, _ROTATIONS, _PAST)
@@ -894,4 +898,4 @@ _REGIME_PAIRS = [(a, b) for i, a in enumerate(sorted(REGIME_COLUMNS)) for b in s
 )
 def regime_collinearity(spark, sf_dir):
     """The pairs of market-wide columns that say the same: |r| of 0.9 and more over at least 100 complete dates."""
-    return G.regime_collinear(regime_table(spark, sf_dir), list(REGIME_COLUMNS))
+    return G.regime_collinear(_regime_rows(spark, sf_dir), list(REGIME_COLUMNS))
