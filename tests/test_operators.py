@@ -310,3 +310,37 @@ def test_draws(spark):
     assert folds.validation_set(pool, 10, 1).distinct().count() == 10
     sample = folds.recency_sample(spark, 100, 20, 128, 1000, 4.0, 2).collect()
     assert {r["slot"] for r in sample} <= {(19 - k) % 128 for k in range(100)}
+
+
+def test_weight_statistics_count_unnamed_assets_as_zero(spark):
+    from tickloom.operators.metrics import weight_statistics
+
+    rows = [(1, 1, "a", 0.25), (1, 1, "a", 0.25), (1, 1, "b", 0.5), (1, 2, "a", 1.0), (1, 3, "b", 0.4), (2, 1, "a", 0.3)]
+    got = {(r["e"], r["asset"]): r for r in weight_statistics(spark.createDataFrame(rows, "e int, step int, asset string, weight double"), ["e"]).collect()}
+    want = {(1, "a"): [0.5, 1.0, 0.0], (1, "b"): [0.5, 0.0, 0.4], (1, "cash"): [0.0, 0.0, 0.6], (2, "a"): [0.3], (2, "cash"): [0.7]}
+    assert set(got) == set(want)
+    for k, values in want.items():
+        assert np.allclose([got[k][c] for c in ("mean", "std", "least", "most")], [np.mean(values), np.std(values), min(values), max(values)], atol=1e-12)
+
+
+def test_json_bars_of_folders(spark, tmp_path):
+    bars = spark.sql("SELECT * FROM VALUES ('A/B', timestamp'2020-01-01', 1.5D), ('A/B', timestamp'2021-01-01', 2.5D), ('A+ %', timestamp'2021-01-01', 4D), ('C', timestamp'2020-01-01', 3.5D) t(ticker, timestamp, close)")
+    sinks.write_json_bars(bars, f"{tmp_path}/j")
+    got = sorted((r["ticker"], str(r["timestamp"]), r["close"]) for r in B.json_bars(spark, f"{tmp_path}/j").collect())
+    assert got == [("A+ %", "2021-01-01 00:00:00", 4.0), ("A/B", "2020-01-01 00:00:00", 1.5), ("A/B", "2021-01-01 00:00:00", 2.5), ("C", "2020-01-01 00:00:00", 3.5)]
+
+
+def test_fetch_binds_arguments(spark):
+    spark.range(5).createOrReplaceTempView("some_ids")
+    text = "SELECT id FROM IDENTIFIER(:name) WHERE id > :least"
+    assert [r["id"] for r in sinks.fetch(spark, text, name="some_ids", least=2).collect()] == [3, 4]
+    assert sinks.fetch(spark, "SELECT :v AS v", v="1; DROP TABLE some_ids").first()["v"] == "1; DROP TABLE some_ids"
+
+
+def test_column_statistics_of_nulls(spark, tmp_path):
+    sinks.create_schemas(spark, ("staging",))
+    name = f"staging.t_{tmp_path.name}"
+    sinks.load_table(spark.createDataFrame([(1, None), (5, "x"), (None, "y")], "a int, s string"), name, f"{tmp_path}/t", {"spark__sql__parquet__compression__codec": "gzip"})
+    got = {r["name"]: r for r in sinks.column_statistics(spark, name).collect()}
+    assert (got["a"]["least"], got["a"]["most"], got["a"]["n_nulls"], got["s"]["n_nulls"]) == ("1", "5", 1, 1)
+    assert spark.conf.get("spark.sql.parquet.compression.codec") != "gzip"

@@ -83,6 +83,25 @@ def episode_summary(episodes: DataFrame, by: list[str], per_year: float = YEAR /
     )
 
 
+def weight_statistics(weights: DataFrame, by: list[str], cash: str = "cash") -> DataFrame:
+    """by, asset, mean, std (population), least, most of each asset's weight over the steps of an episode, cash being what the others leave.
+
+    weights: by, step, asset, weight. Weights of one asset in one step add up; an asset that a step does not name has weight 0 there.
+    Sums merge before the shuffle, and what joins them is one row an episode.
+    """
+    held = weights.groupBy(*by, "step", "asset").agg(F.sum("weight").alias("weight"))
+    rest = held.groupBy(*by, "step").agg(F.lit(cash).alias("asset"), (1 - F.sum("weight")).alias("weight"))
+    steps = rest.groupBy(*by).agg(F.count("*").alias("__steps"))
+    found = held.unionByName(rest).groupBy(*by, "asset").agg(
+        F.count("*").alias("__n"), F.avg("weight").alias("__mean"), F.var_pop("weight").alias("__var"), F.min("weight").alias("__min"), F.max("weight").alias("__max")
+    )
+    share = F.col("__n") / F.col("__steps")
+    # The steps without the asset are a second group, of mean and deviation 0.
+    var = share * (F.col("__var") + F.pow("__mean", F.lit(2)) * (1 - share))
+    filled = lambda pick, c: F.when(F.col("__n") < F.col("__steps"), pick(F.col(c), F.lit(0.0))).otherwise(F.col(c))
+    return found.join(steps, by).select(*by, "asset", (F.col("__mean") * share).alias("mean"), F.sqrt(var).alias("std"), filled(F.least, "__min").alias("least"), filled(F.greatest, "__max").alias("most"))
+
+
 def best_checkpoint(calls: DataFrame) -> DataFrame:
     """The call with the highest score of each fold, the earliest of equals. calls: fold, call, score."""
     return calls.groupBy("fold").agg(F.max_by("call", F.struct("score", -F.col("call"))).alias("call"), F.max("score").alias("score"))

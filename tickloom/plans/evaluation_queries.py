@@ -99,6 +99,21 @@ def episode_summaries(spark, sf_dir):
     return M.episode_summary(e, ["model"]).withColumn("log_growth", F.ln(1 + F.col("cumulative"))).drop("cumulative")
 
 
+@query(
+    """WITH w AS (SELECT l_orderkey % 50 AS episode, l_orderkey AS step, l_returnflag AS asset, sum(l_extendedprice) / 1e6 AS weight FROM lineitem GROUP BY ALL),
+       s AS (SELECT DISTINCT episode, step FROM w), a AS (SELECT DISTINCT episode, asset FROM w),
+       g AS (SELECT s.episode, s.step, a.asset, coalesce(w.weight, 0) AS weight FROM s JOIN a USING (episode) LEFT JOIN w USING (episode, step, asset)
+             UNION ALL SELECT episode, step, 'cash', 1 - sum(weight) FROM w GROUP BY ALL)
+       SELECT episode, asset, avg(weight) AS mean, stddev_pop(weight) AS std, min(weight) AS least, max(weight) AS most FROM g GROUP BY ALL""",
+    "mean std least most",
+)
+def episode_weights(spark, sf_dir):
+    """Statistics of what each asset, and cash, weighs over the steps of an episode."""
+    lines = table(spark, sf_dir, "lineitem")
+    w = lines.select((F.col("l_orderkey") % 50).alias("episode"), F.col("l_orderkey").alias("step"), F.col("l_returnflag").alias("asset"), (F.col("l_extendedprice") / 1e6).alias("weight"))
+    return M.weight_statistics(w, ["episode"])
+
+
 @query("SELECT fold, arg_max(call, (score, -call)) AS call, max(score) AS score FROM (SELECT o_custkey % 50 AS fold, o_orderkey AS call, round(o_totalprice, -4) AS score FROM orders) GROUP BY fold")
 def best_checkpoints(spark, sf_dir):
     """The earliest best call of each fold."""
@@ -118,12 +133,14 @@ def smoothed_metric(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(k AS INT) AS fold, DATE '1995-01-01' AS train_start, CASE WHEN k = 4 THEN DATE '2001-12-31' ELSE make_date(1997 + k, 12, 31) END AS train_end,
-       CASE WHEN k < 4 THEN make_date(1998 + k, 1, 1) END AS valid_start, CASE WHEN k < 4 THEN make_date(1998 + k, 12, 31) END AS valid_end FROM range(5) t(k)"""
+    """WITH y AS (SELECT min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders)
+       SELECT CAST(k AS INT) AS fold, make_date(a, 1, 1) AS train_start, CASE WHEN a + k + 3 > b THEN make_date(b, 12, 31) ELSE make_date(a + k + 2, 12, 31) END AS train_end,
+       CASE WHEN a + k + 3 <= b THEN make_date(a + k + 3, 1, 1) END AS valid_start, CASE WHEN a + k + 3 <= b THEN make_date(a + k + 3, 12, 31) END AS valid_end FROM y, range(100) t(k) WHERE k <= b - a - 2"""
 )
 def walk_forward_folds(spark, sf_dir):
-    """Expanding folds by year; the last one trains on everything."""
-    return FO.walk_forward(spark, 1995, 2001, train_years=3)
+    """Expanding folds by year over the years of the orders; the last one trains on everything."""
+    years = table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last")).first()
+    return FO.walk_forward(spark, years["first"], years["last"], train_years=3)
 
 
 @query(

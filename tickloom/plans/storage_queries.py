@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import SparkSession, Window
@@ -57,6 +57,36 @@ def json_round_trip(spark, sf_dir):
     return spark.read.schema(kinds).json(path).where("p_size > 25")
 
 
+@query(f"{BARS} SELECT ticker, CAST(epoch_us(bar_date) AS BIGINT) AS at, open, high, low, close, CAST(volume AS DOUBLE) AS volume, (high + low + close) / 3 AS vwap FROM bars", "open high low close volume vwap")
+def json_ticker_bars(spark, sf_dir):
+    """JSON array files of a ticker's bars, read with a given schema; the ticker comes from the folder."""
+    path = _folder(spark, "jsonbars")
+    bars = daily_bars(spark, sf_dir).withColumns({"timestamp": F.col("bar_date").cast("timestamp"), "vwap": (F.col("high") + F.col("low") + F.col("close")) / 3})
+    K.write_json_bars(bars.select("ticker", "timestamp", "open", "high", "low", "close", "transactions", F.col("volume").cast("double"), "vwap"), path)
+    return B.json_bars(spark, path).select("ticker", F.unix_micros("timestamp").alias("at"), "open", "high", "low", "close", "volume", "vwap")
+
+
+@query(f"{BARS} SELECT ticker, avg(close) AS mean, count(*) AS n FROM bars WHERE bar_date >= DATE '1997-01-01' AND volume > 20 GROUP BY ticker", "mean")
+def warehouse_fetch(spark, sf_dir):
+    """A bulk load into a schema of the warehouse, analysed, and read back by SQL with bound arguments."""
+    K.create_schemas(spark)
+    name = f"features.bars_{uuid.uuid4().hex}"
+    K.load_table(daily_bars(spark, sf_dir), name, _folder(spark, "warehouse"), {"spark__sql__parquet__compression__codec": "lz4"})
+    text = "SELECT ticker, avg(close) AS mean, count(*) AS n FROM IDENTIFIER(:bars) WHERE bar_date >= :start AND volume > :least GROUP BY ticker"
+    return K.fetch(spark, text, bars=name, start=date(1997, 1, 1), least=20)
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS most, count(*) - count({c}) AS n_nulls FROM lineitem" for c in ("l_orderkey", "l_suppkey", "l_linenumber"))
+)
+def table_statistics(spark, sf_dir):
+    """What the optimizer knows of a table's columns after the load."""
+    K.create_schemas(spark)
+    name = f"staging.lines_{uuid.uuid4().hex}"
+    K.load_table(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), name, _folder(spark, "lines"))
+    return K.column_statistics(spark, name).drop("n_distinct")
+
+
 @query(f"{BARS} SELECT ticker, CAST(bar_date AS VARCHAR) AS day, close FROM bars WHERE ticker IN ('3', '7')", "close")
 def ticker_folders(spark, sf_dir):
     """One folder a ticker; a filter on the ticker reads its folders only."""
@@ -98,20 +128,38 @@ _SESSIONS = f"""s AS (SELECT d::DATE AS d, CASE WHEN d::DATE IN ({_SHORT}) THEN
     WHERE isodow(d) < 6 AND d::DATE NOT IN ({_CLOSED}))"""
 
 
-@query(f"WITH {_SESSIONS} SELECT CAST(d AS VARCHAR) AS day, close_hour, row_number() OVER (ORDER BY d) - 1 AS idx FROM s")
+def _sessions(spark: SparkSession, sf_dir: str):
+    """Sessions of all years in which there are events."""
+    years = table(spark, sf_dir, "events").agg(F.min(F.year("ts")).alias("first"), F.max(F.year("ts")).alias("last")).first()
+    return B.sessions(spark, f"{years['first']}-01-01", f"{years['last']}-12-31")
+
+
+@query(
+    f"""WITH {_SESSIONS}, e AS (SELECT ts::DATE AS d, count(*) AS n FROM events GROUP BY 1)
+        SELECT CAST(d AS VARCHAR) AS day, close_hour, row_number() OVER (ORDER BY d) - 1 AS idx, coalesce(n, 0) AS n_events FROM s LEFT JOIN e USING (d)
+        WHERE year(d) BETWEEN (SELECT min(year(ts)) FROM events) AND (SELECT max(year(ts)) FROM events)"""
+)
 def exchange_sessions(spark, sf_dir):
-    """Sessions of two years by the calendar's rules; the SQL lists the closures."""
-    return B.sessions(spark, "2024-01-01", "2025-12-31").select(F.col("bar_date").cast("string").alias("day"), "close_hour", "idx")
+    """Sessions of the years of the events by the calendar's rules, and the events of each; the SQL lists the closures."""
+    events = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("bar_date")).agg(F.count("*").alias("n"))
+    days = _sessions(spark, sf_dir).join(events, "bar_date", "left")
+    return days.select(F.col("bar_date").cast("string").alias("day"), "close_hour", "idx", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
 @query(
-    f"""WITH {_SESSIONS}, z AS (SELECT *, CASE WHEN d BETWEEN DATE '2024-03-10' AND DATE '2024-11-02' OR d BETWEEN DATE '2025-03-09' AND DATE '2025-11-01' THEN 4 ELSE 5 END AS behind FROM s)
-        SELECT CAST(d AS VARCHAR) AS day, (close_hour - 9) * 60 - 30 AS minutes, CAST(epoch_us(d::TIMESTAMP) AS BIGINT) + (570 + behind * 60) * 60000000::BIGINT AS opens FROM z"""
+    f"""WITH {_SESSIONS}, z AS (SELECT *, CASE WHEN d BETWEEN DATE '2024-03-10' AND DATE '2024-11-02' OR d BETWEEN DATE '2025-03-09' AND DATE '2025-11-01' THEN 4 ELSE 5 END AS behind FROM s
+        WHERE year(d) BETWEEN (SELECT min(year(ts)) FROM events) AND (SELECT max(year(ts)) FROM events)),
+        o AS (SELECT CAST(d AS VARCHAR) AS day, (close_hour - 9) * 60 - 30 AS minutes, CAST(epoch_us(d::TIMESTAMP) AS BIGINT) + (570 + behind * 60) * 60000000::BIGINT AS opens FROM z)
+        SELECT day, minutes, opens, (SELECT count(*) FROM events WHERE epoch_us(ts) >= opens AND epoch_us(ts) < opens + minutes * 60000000::BIGINT) AS n_events FROM o"""
 )
 def session_minute_spans(spark, sf_dir):
-    """Minutes of each session, and the first one in UTC across changes of the clock."""
-    minutes = B.session_minutes(B.sessions(spark, "2024-01-01", "2025-12-31"))
-    return minutes.groupBy(F.col("bar_date").cast("string").alias("day")).agg(F.count("*").alias("minutes"), F.min(F.unix_micros("timestamp")).alias("opens"))
+    """Minutes of each session, the first one in UTC across changes of the clock, and the events within the session."""
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    events = table(spark, sf_dir, "events").groupBy(minute.alias("m")).agg(F.count("*").alias("n"))
+    minutes = B.session_minutes(_sessions(spark, sf_dir)).withColumn("m", F.floor(F.unix_micros("timestamp") / 60_000_000)).join(events, "m", "left")
+    return minutes.groupBy(F.col("bar_date").cast("string").alias("day")).agg(
+        F.count("*").alias("minutes"), F.min(F.unix_micros("timestamp")).alias("opens"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_events")
+    )
 
 
 @query(f"{BARS} SELECT ticker, bar_date, avg(close) OVER ({P} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean_20 FROM bars", "mean_20")

@@ -22,9 +22,12 @@ def flat_bars(spark: SparkSession, path: str, tickers: list[str] | None = None,
 
 
 def json_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of JSON array files, one file per ticker; the ticker is the file's name."""
-    rows = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
+    """Bars of JSON array files. The ticker is the name of the folder ticker=..., else of the file."""
+    rows = spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    folder, file = (F.regexp_extract(F.input_file_name(), p, 1) for p in (r"/ticker=([^/]+)/", r"([^/]+?)(?:\.json)?$"))
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # A folder's name is escaped by the writer, and file names are given as addresses.
+    name = F.when(folder != "", plain(plain(folder))).otherwise(file)
     return rows.withColumn("ticker", name).withColumn("timestamp", F.timestamp_millis("timestamp"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import tuned
+
 SCHEMAS = ("raw", "staging", "features", "regime", "audit", "results")
 
 
@@ -90,10 +92,43 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("error").json(path)
 
 
+def write_json_bars(bars: DataFrame, path: str) -> None:
+    """JSON array files, one a ticker and year, in folders by ticker, as json_bars() reads them. bars: ticker, timestamp and values.
+
+    No array holds more than a ticker's bars of a year.
+    """
+    fields = [F.unix_millis("timestamp").alias("timestamp"), *(F.col(c) for c in bars.columns if c not in ("ticker", "timestamp"))]
+    arrays = bars.groupBy("ticker", F.year("timestamp").alias("year")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("value"))
+    arrays.write.mode("error").partitionBy("ticker", "year").text(path)
+
+
+def load_table(df: DataFrame, name: str, path: str, bulk: dict[str, str] | None = None) -> None:
+    """df as the table `name` in a schema of the warehouse, written under the settings `bulk`, with statistics for the optimizer."""
+    spark = df.sparkSession
+    with tuned(spark, **(bulk or {})):
+        df.write.format("parquet").mode("error").option("path", path).saveAsTable(name)
+    analyse(spark, name)
+
+
+def fetch(spark: SparkSession, text: str, **args) -> DataFrame:
+    """Rows of a SQL text. Values, and names of tables as IDENTIFIER(:name), are bound as arguments and never pasted into it."""
+    return spark.sql(text, args=args)
+
+
 def analyse(spark: SparkSession, name: str) -> None:
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
+def column_statistics(spark: SparkSession, name: str) -> DataFrame:
+    """name, least, most, n_nulls, n_distinct (about) of each column, as analyse() left them in the catalog; no row is read."""
+    found = []
+    for column in spark.table(name).columns:
+        info = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {name} `{column}`").collect()}
+        known = {k: None if info.get(k) in (None, "NULL") else info[k] for k in ("min", "max", "num_nulls", "distinct_count")}
+        found.append((column, known["min"], known["max"], *(None if known[k] is None else int(known[k]) for k in ("num_nulls", "distinct_count"))))
+    return spark.createDataFrame(found, "name string, least string, most string, n_nulls bigint, n_distinct bigint")
+
+
 def next_run_number(names: DataFrame, prefix: str = "run_") -> int:
     """One more than the largest number after the prefix. names: name."""
     got = names.select(F.max(F.regexp_extract("name", rf"^{prefix}(\d+)", 1).try_cast("int")).alias("n")).first()["n"]
