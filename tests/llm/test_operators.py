@@ -116,6 +116,21 @@ def test_suffix_random_repeats(spark):
         assert got.get(i, (0, 0, t.encode())) == (removed, spans, kept)
 
 
+def test_suffix_ranks_are_places_in_order(spark):
+    """Pairs of one row drop out; the ranks of the others rise with (rank, added), whatever partition they are in."""
+    pairs = [(k % 7, (k * 37) % 11 - 5, k % 3, 1) for k in range(150)] + [(9, 9, 0, 1), (9, 8, 0, 2)]
+    found = spark.createDataFrame(pairs, "rank bigint, added bigint, outer bigint, n int").repartition(5)
+    scratch = suffix_dedup.Scratch()
+    got = sorted((r["next"], (r["rank"], r["added"]), r["mixed"]) for r in suffix_dedup.sorted_ranks(found, scratch).collect())
+    count, outers = Counter(), {}
+    for rank, added, outer, n in pairs:
+        count[rank, added] += n
+        outers.setdefault((rank, added), set()).add(outer)
+    assert [p for _, p, _ in got] == sorted(p for p, n in count.items() if n > 1)
+    assert all(mixed == (len(outers[p]) > 1) for _, p, mixed in got)
+    assert suffix_dedup.class_widths(301, 7) == [49, 7, 1] and suffix_dedup.class_widths(2, 7) == [1] and suffix_dedup.class_widths(1, 7) == []
+
+
 def test_segments_do_not_matter(spark, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     data = np.frombuffer("".join(t or "" for _, t, _ in rows).encode(), np.uint8)

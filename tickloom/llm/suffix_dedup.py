@@ -8,23 +8,22 @@ Distributed prefix doubling over a sampled suffix array. A full array would need
 
 1. every string of `length` units elects one position in it, the leftmost one of least hash among its prefixes of
    length/4. The choice depends on the string alone, so equal strings elect the same position. Neighbouring strings
-   mostly elect the same one, which leaves about one (rank, position) pair for each 3/8 of `length`. Its rank is that of
-   the prefix there (`inner`); `outer` is the rank of all that its run of strings spans.
-2. Spark sorts and counts the pairs. A unique inner rank: none of the run's strings occurs elsewhere, the run is done. An
-   outer rank that occurs twice: all of them do, the run is done. What is left are runs at which a repeat begins or ends.
-3. Those are ranked again, with more of the string: the run's strings are cut into classes of at most 1/7 as many
-   neighbours, aligned by their distance from the elected position, and inner is the rank of the window that all strings
-   of a class share: 100 of 400 bytes first, then 358, 394 and 400. Ranks are sorted and counted as in 2, unique ones
-   drop out, and the rounds end when the window has the length of the string. Then inner is the rank of the string.
-
-Ranks are 64-bit hashes of the units. Equal strings have equal ranks by construction; two different strings of one text
-collection share one with a chance of about 2^-64 a pair.
-
-Scale: about 1 row for each 150 bytes is shuffled in step 2, a few rows for each end of a repeat after that. Every count
-is a partial aggregation first, every join back is one of two shuffled tables that Spark can split where a rank is hot;
-no group meets in one task, however many documents share a passage. Text is shuffled only for documents with something
-to refine or remove: rows are first held against the at most 2^20 hash buckets of those ids, whose broadcast has that
-bound at any size of the input.
+   mostly elect the same one, which leaves about one position for each 3/8 of `length`. Its first key is the prefix there
+   (`added`), by hash; `outer` tells apart all that its run of strings spans.
+2. Equal keys are counted, keys of one position drop out, and Spark sorts the others by range: a position's rank is the
+   place of its key in that order. A unique key: none of the run's strings occurs elsewhere, the run is done. An outer
+   that occurs twice: all of them do, the run is done. What is left are runs at which a repeat begins or ends.
+3. Those are ranked again by pairs (rank so far, what a longer window adds at both ends). The run's strings are cut into
+   classes of neighbours, by their distance from the elected position, and the window of a class is what all its strings
+   share: 100 of 400 bytes first, then, with classes of 49, 7 and 1 strings, 352, 394 and 400. The windows of a class hold
+   that of the class it was cut from, so equal pairs are equal windows. Pairs are counted and sorted as in 2, unique ones
+   drop out, and the rounds end when none is left or the window has the length of the string.
+
+Windows grow towards the threshold, not by doubling: 200 neighbours share a window of 200 bytes, so that the step from 200
+to 400 would make 200 rows of each. Sorting the counted pairs keeps hot ones to one row each.
+
+Prefixes and what windows add are compared by 64-bit hashes. Equal strings have equal ranks by construction; two different
+keys of one rank so far share a hash with a chance of about 2^-64 a pair.
 
 Defined cases: null text counts as empty; texts shorter than `length` lose nothing; repeated rows with one doc_id are
 told apart by a row number within it, so a doubled row repeats itself like any copy; a null doc_id is an id of its own;
@@ -138,7 +137,7 @@ def core_of(length: int) -> int:
 
 
 def runs_of_segment(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(inner, outer, first, last, elected) of each run of strings that elect one position.
+    """(inner: of the prefix at the elected position, outer, first, last, elected) of each run of strings that elect one position.
 
     data: units; starts: the positions, ascending, at which strings of `length` units within one document start.
     """
@@ -153,7 +152,7 @@ def runs_of_segment(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
     return grams[at], outer, first, last, at
 
 
-RUNS = "doc_id bigint, row int, inner bigint, outer bigint, first bigint, last bigint, elected bigint, n int"
+RUNS = "doc_id bigint, row int, added bigint, outer bigint, first bigint, last bigint, elected bigint, n int"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +199,7 @@ def runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
                     ranks = [pa.nulls(len(d), pa.int64())] * 2 if len(columns) == 2 else [pa.array(c.view(np.int64)) for c in columns[3:5]]
                     elected = pa.nulls(len(d), pa.int64()) if len(columns) == 2 else pa.array(columns[2])
                     arrays = [ids.take(pa.array(d)), pa.array(rows[d].astype(np.int32)), *ranks, pa.array(columns[0]), pa.array(columns[1]), elected, pa.array(n.astype(np.int32))]
-                    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "inner", "outer", "first", "last", "elected", "n"])
+                    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "added", "outer", "first", "last", "elected", "n"])
 
                 yield rows_of(doc[new], first[new], last[new], at[new], inner[new], outer[new], np.where(many, 2, 1)[new])
                 if many.any():  # merged spans of the repeats within a document
@@ -214,29 +213,34 @@ def runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     return docs.mapInArrow(scan, RUNS)
 
 
-def shared_ranks(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The inner ranks that occur more than once, and whether with several outer ranks (mixed)."""
-    return scratch.table(found.groupBy("inner").agg(F.sum("n").alias("t"), (F.min("outer") < F.max("outer")).alias("mixed")).where("t > 1").select("inner", "mixed"), "ranks")
+def sorted_ranks(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (rank, added) of more than one row: next, their place in the order that Spark sorts them into, and whether they have several outer (mixed).
+
+    Places rise with the pairs but have gaps, as partitions are numbered each for itself; the table fixes them.
+    """
+    pairs = found.groupBy("rank", "added").agg(F.sum("n").alias("t"), (F.min("outer") < F.max("outer")).alias("mixed")).where("t > 1")
+    in_order = pairs.select("rank", "added", "mixed").repartitionByRange("rank", "added").sortWithinPartitions("rank", "added")
+    return scratch.table(in_order.withColumn("next", F.monotonically_increasing_id()), "ranks")
 
 
 def judged(found: DataFrame, scratch: Scratch, *place: str) -> DataFrame:
-    """One round: the rows of found that are repeats (repeat) or may hold repeats (refine); place: what tells rows apart.
+    """One round: the rows of found that are repeats (repeat) or may hold repeats (refine), with their new rank; place: what tells rows apart.
 
-    Rows with a unique inner rank drop out. Of the rows of one outer rank one is refined for all.
+    Rows with a unique pair drop out. Of the rows of one rank and outer one is refined for all.
     """
-    shared = shared_ranks(found, scratch)
-    alive = scratch.table(found.join(shared, "inner"), "alive")
-    twice = scratch.table(alive.groupBy("inner", "outer").agg(F.sum("n").alias("c"), F.min(F.struct(*place)).alias("one")).where("c > 1").select("inner", "outer", "one"), "twice")
+    ranks = sorted_ranks(found, scratch)
+    alive = scratch.table(found.join(ranks, ["rank", "added"]).drop("rank", "added").withColumnRenamed("next", "rank"), "alive")
+    twice = scratch.table(alive.groupBy("rank", "outer").agg(F.sum("n").alias("c"), F.min(F.struct(*place)).alias("one")).where("c > 1").select("rank", "outer", "one"), "twice")
     refine = F.col("mixed") & (F.col("one").isNull() | F.struct(*place).eqNullSafe(F.col("one")))
-    marks = alive.join(twice, ["inner", "outer"], "left").withColumn("repeat", F.col("one").isNotNull()).withColumn("refine", refine)
-    marks = scratch.table(marks.where("repeat or refine").drop("inner", "outer", "n", "mixed", "one"), "marks")
-    scratch.drop(shared, alive, twice)
+    marks = alive.join(twice, ["rank", "outer"], "left").withColumn("repeat", F.col("one").isNotNull()).withColumn("refine", refine)
+    marks = scratch.table(marks.where("repeat or refine").drop("outer", "n", "mixed", "one"), "marks")
+    scratch.drop(ranks, alive, twice)
     return marks
 
 
 def contexts(docs: DataFrame, marks: DataFrame, length: int, unit: str) -> DataFrame:
-    """The units that each run to refine spans: ctx (a number), doc_id, row, first, at (elected, from first), hi (last, from first), data."""
-    wanted = marks.where("refine").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "elected")).alias("runs"))
+    """The units that each run to refine spans: ctx (a number), doc_id, row, first, at (elected, from first), hi (last, from first), rank, data."""
+    wanted = marks.where("refine").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "elected", "rank")).alias("runs"))
     joined = touching(docs, wanted).join(wanted, _same(docs, wanted)).select(docs["doc_id"], docs["row"], "data", "runs")
     width = 1 if unit == "bytes" else 8
 
@@ -246,7 +250,7 @@ def contexts(docs: DataFrame, marks: DataFrame, length: int, unit: str) -> DataF
             begins = np.append(0, ends[:-1])
             lists = batch.column(3)
             n = lists.value_lengths().to_numpy()
-            first, last, elected = (x.to_numpy() for x in lists.flatten().flatten())
+            first, last, elected, rank = (x.to_numpy() for x in lists.flatten().flatten())
             doc = np.repeat(np.arange(len(n)), n)
             raw = memoryview(np.ascontiguousarray(data)).cast("B")
             low, high = (begins[doc] + first) * width, (begins[doc] + last + length) * width
@@ -254,11 +258,11 @@ def contexts(docs: DataFrame, marks: DataFrame, length: int, unit: str) -> DataF
                 some = slice(k, k + 1000)
                 take = pa.array(doc[some])
                 parts = pa.array([bytes(raw[x:y]) for x, y in zip(low[some].tolist(), high[some].tolist(), strict=True)], pa.binary())
-                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(first[some]), pa.array((elected - first)[some].astype(np.int32)), pa.array((last - first)[some].astype(np.int32)), parts]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "first", "at", "hi", "data"])
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(first[some]), pa.array((elected - first)[some].astype(np.int32)), pa.array((last - first)[some].astype(np.int32)), pa.array(rank[some]), parts]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "first", "at", "hi", "rank", "data"])
             give_back()
 
-    cuts = joined.mapInArrow(cut, "doc_id bigint, row int, first bigint, at int, hi int, data binary")
+    cuts = joined.mapInArrow(cut, "doc_id bigint, row int, first bigint, at int, hi int, rank bigint, data binary")
     return cuts.withColumn("ctx", F.monotonically_increasing_id())  # fixed once the table is written
 
 
@@ -266,13 +270,15 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
 
 
-def class_ranks(found: DataFrame, length: int, width: int, unit: str) -> DataFrame:
-    """Classes of `width` neighbouring strings of contexts, ranked: inner, outer, ctx, lo, hi (starts in the context), n.
+def class_pairs(found: DataFrame, length: int, width: int, before: int, unit: str) -> DataFrame:
+    """Classes of `width` neighbouring strings of contexts: rank (so far), added, outer, ctx, lo, hi (starts in the context), n.
 
-    found: ctx, at, data, ranges (array of structs lo, hi: the strings of the context to rank).
+    found: ctx, at, data, ranges (array of structs lo, hi, rank: strings of the context of one class of `before` neighbours, a
+    multiple of width or all strings that can elect one position, and its rank).
     """
+    farthest = length - core_of(length)
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = _column(batch, "data")
             if unit != "bytes":
@@ -281,7 +287,7 @@ def class_ranks(found: DataFrame, length: int, width: int, unit: str) -> DataFra
             elected = batch.column(1).to_numpy().astype(np.int64)
             lists = batch.column(3)
             of = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
-            low, high = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+            low, high, rank = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
             # By distance d from the start of a string to the elected position: class j has the d from j width on.
             least, most = elected[of] - high, elected[of] - low
             k = most // width - least // width + 1
@@ -291,13 +297,28 @@ def class_ranks(found: DataFrame, length: int, width: int, unit: str) -> DataFra
             first, last = at - np.minimum(most[i], j * width + width - 1), at - np.maximum(least[i], j * width)
             base = begins[of[i]]
             hashes = Hashes(data)
-            start = base + at - j * width
-            inner = _mixed(hashes.of(start, start - width + 1 + length) + (j + 1).astype(np.uint64) * np.uint64(_BASE))
+
+            def window(nearest, w):
+                """What all strings at the distances nearest to nearest + w - 1 share."""
+                return base + at - nearest, base + at - np.minimum(nearest + w - 1, farthest) + length
+
+            start, stop = window(j * width, width)
+            inside, end = window(j * width // before * before, before)
+            left, right = hashes.of(start, inside), hashes.of(end, stop)
+            added = _mixed(left + _mixed(right + np.uint64(_BASE)) + (j + 1).astype(np.uint64) * np.uint64(_BASE))
             outer = hashes.of(base + first, base + last + length) ^ _mixed((at - first).astype(np.uint64))
-            arrays = [pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), batch.column(0).take(pa.array(of[i])), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.ones(len(i), np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["inner", "outer", "ctx", "lo", "hi", "n"])
+            arrays = [pa.array(rank[i]), pa.array(added.view(np.int64)), pa.array(outer.view(np.int64)), batch.column(0).take(pa.array(of[i])), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.ones(len(i), np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rank", "added", "outer", "ctx", "lo", "hi", "n"])
+
+    return found.select("ctx", "at", "data", "ranges").mapInArrow(pairs, "rank bigint, added bigint, outer bigint, ctx bigint, lo int, hi int, n int")
+
 
-    return found.select("ctx", "at", "data", "ranges").mapInArrow(rank, "inner bigint, outer bigint, ctx bigint, lo int, hi int, n int")
+def class_widths(most: int, shrink: int) -> list[int]:
+    """The powers of shrink below most, falling to 1; none if most is 1."""
+    widths = [1]
+    while widths[-1] * shrink < most:
+        widths.append(widths[-1] * shrink)
+    return widths[::-1] if most > 1 else []
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", shrink: int = SHRINK) -> DataFrame:
@@ -305,27 +326,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", s
     text_batches(docs.sparkSession)
     scratch = Scratch()
     found = scratch.table(runs(docs, length, unit), "runs")
-    marks = judged(found.where("inner is not null"), scratch, "doc_id", "row", "first")
-    spans = found.where("inner is null").select("doc_id", "row", "first", "last")
+    marks = judged(found.where("added is not null").withColumn("rank", F.lit(0).cast("bigint")), scratch, "doc_id", "row", "first")
+    spans = found.where("added is null").select("doc_id", "row", "first", "last")
     spans = spans.unionByName(marks.where("repeat").select("doc_id", "row", "first", "last"))
-    width, wanted = length - core_of(length) + 1, None
-    while width > 1 and not marks.where("refine").isEmpty():
-        if wanted is None:
+    before, held = length - core_of(length) + 1, None
+    for width in class_widths(before, shrink):
+        if marks.where("refine").isEmpty():
+            break
+        if held is None:
             held = scratch.table(contexts(docs, marks, length, unit), "contexts")
             places = held.select("ctx", "doc_id", "row", F.col("first").alias("from"))
-            wanted = held.withColumn("ranges", F.array(F.struct(F.lit(0).alias("lo"), "hi")))
+            wanted = held.withColumn("ranges", F.array(F.struct(F.lit(0).alias("lo"), "hi", "rank")))
         else:
-            still = marks.where("refine").groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+            still = marks.where("refine").groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi", "rank")).alias("ranges"))
             wanted = held.join(still, "ctx")
-        width = -(-width // shrink)
-        ranks = scratch.table(class_ranks(wanted, length, width, unit), "classes")
+        pairs = scratch.table(class_pairs(wanted, length, width, before, unit), "classes")
         if width > 1:
-            marks = judged(ranks, scratch, "ctx", "lo")
-            scratch.drop(ranks)
+            marks = judged(pairs, scratch, "ctx", "lo")
+            scratch.drop(pairs)
             repeats = marks.where("repeat")
-        else:  # an inner rank is now that of a string
-            repeats = ranks.join(shared_ranks(ranks, scratch), "inner")
+        else:  # a pair is now a string
+            repeats = pairs.join(sorted_ranks(pairs, scratch), ["rank", "added"])
         spans = spans.unionByName(repeats.join(places, "ctx").select("doc_id", "row", (F.col("from") + F.col("lo")).alias("first"), (F.col("from") + F.col("hi")).alias("last")))
+        before = width
     lists = written(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
     scratch.drop(*scratch.held.values())
     return lists
