@@ -74,11 +74,11 @@ def valid_range(prices: DataFrame, n_tickers: int) -> DataFrame:
 
 
 def episode_summary(episodes: DataFrame, by: list[str], per_year: float = YEAR / 5) -> DataFrame:
-    """Mean, median, deviation, extremes, share positive, growth of episode returns. episodes: by, episode, ret, benchmark."""
+    """Mean, median, deviation, extremes, share positive, growth and its logarithm (of the product itself) of episode returns. episodes: by, episode, ret, benchmark."""
     r = F.col("ret")
     return episodes.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.stddev_pop(r).alias("std"), F.min(r).alias("worst"), F.max(r).alias("best"),
-        F.avg((r > 0).cast("double")).alias("positive"), F.avg((r > F.col("benchmark")).cast("double")).alias("beat_benchmark"), (F.product(1 + r) - 1).alias("cumulative"),
+        F.avg((r > 0).cast("double")).alias("positive"), F.avg((r > F.col("benchmark")).cast("double")).alias("beat_benchmark"), (F.product(1 + r) - 1).alias("cumulative"), F.ln(F.product(1 + r)).alias("log_growth"),
         (F.try_divide(F.avg(r), F.stddev_samp(r)) * math.sqrt(per_year)).alias("sharpe"),
     )
 

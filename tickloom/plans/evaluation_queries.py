@@ -96,7 +96,7 @@ _EPISODES = "e AS (SELECT o_custkey % 9 AS model, o_orderkey AS episode, (o_tota
 def episode_summaries(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     e = o.select((F.col("o_custkey") % 9).alias("model"), F.col("o_orderkey").alias("episode"), ((F.col("o_totalprice") - 150_000) / 5_000_000).alias("ret"), F.lit(0.001).alias("benchmark"))
-    return M.episode_summary(e, ["model"]).withColumn("log_growth", F.ln(1 + F.col("cumulative"))).drop("cumulative")
+    return M.episode_summary(e, ["model"]).drop("cumulative")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ DATES = {
 }
 
 
+def rounded(x: Column, digits: int = DIGITS) -> Column:
+    """floor(x 10^digits + 0.50013) / 10^digits in doubles, as the SQL has it: what has no digits after the point, infinity and NaN stay as they are (floor() gives a bigint)."""
+    y = x.cast("double") * 10.0**digits + 0.50013
+    return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y) / 10.0**digits
+
+
 def query(sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Callable[[Query], Query]:
     """Registers a query under its function's name. doubles: columns rounded on both sides by the same float arithmetic, as sums depend on
     their order; the odd offset keeps decimal ties away from the cut."""
@@ -55,7 +61,7 @@ def query(sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Ca
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
             df = df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
-            return df.withColumns({c: F.floor(F.col(c).cast("double") * 10.0**digits + 0.50013).cast("double") / 10.0**digits for c in columns}) if columns else df
+            return df.withColumns({c: rounded(F.col(c), digits) for c in columns}) if columns else df
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
