@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.functions.scalars import EPS, clipped, daily_phases, log_ratio
-from tickloom.operators.windows import ordered, rolling, rolling_corr, trailing
+from tickloom.operators.scan import CHUNK, by_series
+from tickloom.operators.sliding import counts, moments
+from tickloom.operators.windows import ordered, rolling, rolling_corr
 
 
 def typical() -> Column:
@@ -35,17 +40,29 @@ def returns(w: WindowSpec, spans: tuple[int, ...] = (5, 20, 60, 120, 252)) -> di
     return {f"log_return_{n}": F.ln(F.try_divide(F.col("close"), F.lag("close", n).over(w))) for n in spans}
 
 
-def with_volatility(df: DataFrame, w: WindowSpec, pairs: tuple[tuple[int, int], ...] = ((5, 20), (20, 60), (60, 252)), alone: int = 15) -> DataFrame:
+def with_volatility(
+    df: DataFrame, by: str = "ticker", time: str = "bar_date", pairs: tuple[tuple[int, int], ...] = ((5, 20), (20, 60), (60, 252)), alone: int = 15, chunk: int = CHUNK, counted: DataFrame | None = None,
+) -> DataFrame:
     """Log ratios of population deviations of the close, and ln(1 + deviation) over `alone` rows.
 
-    Each frame's deviation is computed once; whether a frame is full follows from a running count, not from counting it.
+    Windows are put together from blocks (sliding.moments), so a row costs the logarithm of its spans. counted: as in scan.split().
     """
     spans = sorted({alone, *(n for pair in pairs for n in pair)})
-    seen = df.withColumn("__c", F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    made = seen.withColumns({f"__f{n}": F.col("__c") - F.coalesce(F.lag("__c", n).over(w), F.lit(0)) == n for n in spans} | {f"__s{n}": F.stddev_pop("close").over(trailing(w, n)) for n in spans})
-    sd = lambda n: F.when(F.col(f"__f{n}"), F.col(f"__s{n}"))
+
+    def kernel(table: pa.Table, place: np.ndarray) -> pa.Table:
+        close = table.column("close")
+        x, known = close.cast(pa.float64()).to_numpy(zero_copy_only=False), close.is_valid().to_numpy()
+        for n in spans:
+            with np.errstate(invalid="ignore"):
+                sd = np.sqrt(moments(x, n)[1] / n)
+            table = table.append_column(f"__s{n}", pa.array(sd, pa.float64(), mask=(place < n - 1) | (counts(known, n) < n)))
+        return table
+
+    schema = StructType([*df.schema.fields, *[StructField(f"__s{n}", DoubleType()) for n in spans]])
+    made = by_series(df, [by], [time], kernel, schema, spans[-1] - 1, chunk, counted)
+    sd = lambda n: F.col(f"__s{n}")
     out = made.withColumns({f"volatility_{a}_{b}_ratio": log_ratio(sd(a), sd(b)) for a, b in pairs} | {f"volatility_{alone}": F.log1p(sd(alone))})
-    return out.drop("__c", *(f"__{x}{n}" for n in spans for x in "fs"))
+    return out.drop(*(f"__s{n}" for n in spans))
 
 
 def momentum(w: WindowSpec) -> dict[str, Column]:
@@ -99,8 +116,8 @@ def lag_pack(columns: list[str], w: WindowSpec, lags: tuple[int, ...] = (1, 5, 1
     return out
 
 
-def daily_features(bars: DataFrame, by: str = "ticker", time: str = "bar_date") -> DataFrame:
-    """All window features of daily bars and the calendar phases: one shuffle, one sort."""
+def daily_features(bars: DataFrame, by: str = "ticker", time: str = "bar_date", counted: DataFrame | None = None) -> DataFrame:
+    """All window features of daily bars and the calendar phases: one shuffle, one sort (series of more than scan.CHUNK rows: one more)."""
     w = ordered(by, time)
     made = candles(w) | returns(w) | momentum(w) | volume(w)
-    return with_volatility(bars.withColumns(made), w).select("*", *daily_phases(F.col(time)))
+    return with_volatility(bars.withColumns(made), by, time, counted=bars if counted is None else counted).select("*", *daily_phases(F.col(time)))

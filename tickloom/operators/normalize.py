@@ -33,9 +33,9 @@ def with_rolling_z(df: DataFrame, columns: dict[str, Column], w: WindowSpec, n:
     return out.withColumns({name: z(name) for name in columns}).drop(*stats)
 
 
-def rolling_normalised(df: DataFrame, columns: list[str], by: str = "ticker", time: str = "bar_date", n: int = 252, mode: str = "linear") -> DataFrame:
-    """with_rolling_z of each column in place, by sorted windows (order_stats)."""
-    return rolling_scores(df, columns, n, by=by, time=time, mode=mode)
+def rolling_normalised(df: DataFrame, columns: list[str], by: str = "ticker", time: str = "bar_date", n: int = 252, mode: str = "linear", counted: DataFrame | None = None) -> DataFrame:
+    """with_rolling_z of each column in place (order_stats). counted: as in scan.split()."""
+    return rolling_scores(df, columns, n, by=by, time=time, mode=mode, counted=counted)
 
 
 def deltas(df: DataFrame, steps: dict[str, list[int]], by: str = "ticker", time: str = "bar_date") -> DataFrame:

@@ -8,6 +8,8 @@ their sum, at the last of them it becomes the mean that starts the average, and
 4. each chunk computes its rows from that state.
 A series of 10^9 rows is 10^5 chunks, in as many tasks as there are; only rows of step 3 meet by series.
 
+The indicators do series of at most a chunk whole, many at once (whole_averages); only longer ones take these steps.
+
 Nulls and NaN are no values: the average stays as it is. It is null until it starts.
 """
 
@@ -23,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tickloom.operators.scan import CHUNK, by_chunks, materialised, placed
+from tickloom.operators.scan import CHUNK, by_chunks, by_packs, materialised, placed, split
+from tickloom.operators.sliding import smallest
 
 EPS = 1e-8
 
@@ -95,6 +98,36 @@ def chunk_values(x: np.ndarray, seen: int, state: float, avg: Average) -> np.nda
     return out
 
 
+def whole_averages(columns: dict[str, np.ndarray], place: np.ndarray, averages: dict[str, Average]) -> dict[str, np.ndarray]:
+    """The averages of whole series that lie one after another, a step at a time for all of them. place: of each value in its series."""
+    starts = np.flatnonzero(place == 0)
+    sizes = np.diff(np.append(starts, len(place)))
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    specs = list(averages.values())
+    x = np.column_stack([columns[a.column] for a in specs])
+    seeds, divisor, alpha, scale = (np.array([getattr(a, k) for a in specs], float) for k in ("seeds", "divisor", "alpha", "scale"))
+    shown, keep = seeds + np.array([a.late for a in specs]), 1 - alpha
+    seen, state = np.zeros((len(starts), len(specs))), np.zeros((len(starts), len(specs)))
+    out = np.empty_like(x)
+    lasting = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for t, n in enumerate(lasting):
+            at = starts[:n] + t
+            v, s, m = x[at], state[:n], seen[:n]
+            known = v == v
+            m += known
+            if known.all() and (m > shown).all():
+                s *= keep
+                s += alpha * v
+                out[at] = s * scale
+                continue
+            next_ = np.where(m > seeds, keep * s + alpha * v, np.where(m == seeds, (s + v) / divisor, s + v))
+            s[:] = np.where(known, next_, s)
+            out[at] = np.where(m >= shown, s * scale, np.nan)
+    return {name: out[:, i] for i, name in enumerate(averages)}
+
+
 def averaged(rows: DataFrame, averages: dict[str, Average], by: list[str], position: str = "position", chunk: int = CHUNK) -> DataFrame:
     """rows with the averages, by name. rows: placed(), read three times."""
     columns = sorted({a.column for a in averages.values()})
@@ -150,30 +183,43 @@ def averaged(rows: DataFrame, averages: dict[str, Average], by: list[str], posit
 # ---- indicators
 
 
-def moves(bars: DataFrame, by: str, time: str, chunk: int = CHUNK) -> DataFrame:
-    """Placed bars with what the indicators average: true range (tr from the second bar on, tr0 from the first), directional moves, gains and losses, sizes."""
-    made = ("tr", "tr0", "plus", "minus", "gain", "loss")
-
-    def kernel(table: pa.Table, halo: int) -> pa.Table:
-        high, low, close = (table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("high", "low", "close"))
-        before = np.concatenate([[np.nan], close[:-1]])
-        up, down = np.diff(high, prepend=np.nan), -np.diff(low, prepend=np.nan)
-        change = close - before
-        with np.errstate(invalid="ignore"):
-            tr = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
-            plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-            gain, loss = np.maximum(change, 0), np.maximum(-change, 0)
-        known = ~np.isnan(change)
-        found = {"tr": tr, "tr0": np.fmax(tr, high - low), "plus": np.where(known, plus, np.nan), "minus": np.where(known, minus, np.nan), "gain": gain, "loss": loss}
-        out = table.slice(halo)
-        for name in made:
-            out = out.append_column(name, pa.array(found[name][halo:], pa.float64(), from_pandas=True))
-        return out
+MOVES = ("tr", "tr0", "plus", "minus", "gain", "loss")
 
-    rows = placed(bars.select(by, time, *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume", "transactions")]), [by], [time])
-    got = by_chunks(rows, [by], kernel, StructType([*rows.schema.fields, *[StructField(n, DoubleType()) for n in made]]), 1, chunk)
+
+def _values(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _sized(bars: DataFrame, by: str, time: str) -> DataFrame:
+    """by, time and numbers of bars as doubles, with size and range of a trade."""
     per = F.greatest(F.col("transactions"), F.lit(1.0))
-    return materialised(got.withColumns({"trade_size": F.col("volume") / per, "trade_range": (F.col("high") - F.col("low")) / per}))
+    numbers = bars.select(by, time, *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume", "transactions")])
+    return numbers.withColumns({"trade_size": F.col("volume") / per, "trade_range": (F.col("high") - F.col("low")) / per})
+
+
+def _moves(table: pa.Table, place: np.ndarray) -> dict[str, np.ndarray]:
+    """What the indicators average: true range (tr from the second bar on, tr0 from the first), directional moves, gains and losses. place: of each bar in its series."""
+    high, low, close = (_values(table, c) for c in ("high", "low", "close"))
+    last = lambda x: np.where(place == 0, np.nan, np.roll(x, 1))
+    before = last(close)
+    up, down, change = high - last(high), last(low) - low, close - before
+    known = ~np.isnan(change)
+    with np.errstate(invalid="ignore"):
+        tr = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
+        plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+        return {"tr": tr, "tr0": np.fmax(tr, high - low), "plus": np.where(known, plus, np.nan), "minus": np.where(known, minus, np.nan), "gain": np.maximum(change, 0), "loss": np.maximum(-change, 0)}
+
+
+def moves(bars: DataFrame, by: str, time: str, chunk: int = CHUNK) -> DataFrame:
+    """Placed _sized() bars with their _moves()."""
+
+    def kernel(table: pa.Table, place: np.ndarray) -> pa.Table:
+        for name, x in _moves(table, place).items():
+            table = table.append_column(name, pa.array(x, pa.float64(), from_pandas=True))
+        return table
+
+    rows = placed(bars, [by], [time])
+    return materialised(by_chunks(rows, [by], kernel, StructType([*rows.schema.fields, *[StructField(n, DoubleType()) for n in MOVES]]), 1, chunk))
 
 
 def _log(a: str, b: str) -> Column:
@@ -186,19 +232,53 @@ def _index(n: int) -> dict[str, Column]:
     return {f"pdi_{n}": p, f"mdi_{n}": m, f"dx_{n}": F.when(p + m > 0, 100 * F.abs(p - m) / (p + m)).when(F.col(f"tr_{n}").isNotNull(), 0.0)}
 
 
-def _directional(rows: DataFrame, spans: tuple[int, ...], averages: dict[str, Average], further: Callable[[DataFrame], DataFrame], more: dict[str, Average], by: str, chunk: int) -> DataFrame:
-    """rows with averages, dx of each span and, of these and of `more`, the second averages."""
-    sums = {f"{s}_{n}": wilder_sum(s, n) for n in spans for s in ("tr", "plus", "minus")}
-    first = averaged(rows, averages | sums, [by], chunk=chunk)
-    held = materialised(further(first).withColumns({k: c for n in spans for k, c in _index(n).items()}))
-    return averaged(held, {f"adx_{n}": wilder(f"dx_{n}", n) for n in spans} | more, [by], chunk=chunk)
-
-
-def trend(bars: DataFrame, by: str = "ticker", time: str = "bar_date", chunk: int = CHUNK) -> DataFrame:
-    """by, time and log ratios of prices, volumes and trade sizes to their averages, and of averages to each other; ADX."""
+def _whole_index(found: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """_index() of arrays."""
+    tr = found[f"tr_{n}"]
+    p, m = (np.where(tr != 0, 100 * found[f"{s}_{n}"] / tr, 0.0) for s in ("plus", "minus"))
+    return {f"pdi_{n}": p, f"mdi_{n}": m, f"dx_{n}": np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), np.where(np.isnan(tr), np.nan, 0.0))}
+
+
+def _directional(
+    bars: DataFrame, spans: tuple[int, ...], averages: dict[str, Average], further: Callable[[DataFrame], DataFrame], whole_further: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]],
+    more: dict[str, Average], names: list[str], by: str, time: str, chunk: int, counted: DataFrame | None, last: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """bars with the averages, dx of each span and, of these and of `more`, the second averages, by `names`.
+
+    Series of at most `chunk` rows are done whole, in one pass; the others in chunks, by further() and, at the end, last() instead of whole_further().
+    """
+    first = averages | {f"{s}_{n}": wilder_sum(s, n) for n in spans for s in ("tr", "plus", "minus")}
+    second = {f"adx_{n}": wilder(f"dx_{n}", n) for n in spans} | more
+    rows = _sized(bars, by, time)
+
+    def kernel(table: pa.Table, place: np.ndarray) -> pa.Table:
+        found = {c: _values(table, c) for c in ("high", "low", "close", "volume", "transactions", "trade_size", "trade_range")} | _moves(table, place)
+        found |= whole_averages(found, place, first)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found |= whole_further(found, place)
+            for n in spans:
+                found |= _whole_index(found, n)
+        found |= whole_averages(found, place, second)
+        for name in names:
+            table = table.append_column(name, pa.array(found[name], pa.float64(), from_pandas=True))
+        return table
+
+    short, large = split(rows, [by], chunk, counted)
+    schema = StructType([*rows.schema.fields, *[StructField(name, DoubleType()) for name in names]])
+    got = by_packs(short, [by], [time], kernel, schema)
+    if large is None:
+        return got
+    chunked = averaged(moves(large, by, time, chunk), first, [by], chunk=chunk)
+    held = materialised(further(chunked).withColumns({k: c for n in spans for k, c in _index(n).items()}))
+    return got.unionByName(last(averaged(held, second, [by], chunk=chunk)).select(got.columns))
+
+
+def trend(bars: DataFrame, by: str = "ticker", time: str = "bar_date", chunk: int = CHUNK, counted: DataFrame | None = None) -> DataFrame:
+    """by, time and log ratios of prices, volumes and trade sizes to their averages, and of averages to each other; ADX. counted: as in scan.split()."""
     spans = {"close": (5, 20, 60, 120, 252), "volume": (5, 20, 60), "trade_size": (60,), "trade_range": (60,), "transactions": (60,)}
     averages = {f"{c}_ema_{n}": ema(c, n) for c, ns in spans.items() for n in ns}
-    got = _directional(moves(bars, by, time, chunk), (5, 14, 20, 60), averages, lambda df: df, {}, by, chunk)
+    directions = (5, 14, 20, 60)
+    got = _directional(bars, directions, averages, lambda df: df, lambda found, place: {}, {}, [*averages, *(f"adx_{n}" for n in directions)], by, time, chunk, counted)
     out = {f"ema_close_ratio_{n}": _log("close", f"close_ema_{n}") for n in spans["close"]}
     out |= {f"ema_{a}_{b}_ratio": _log(f"close_ema_{a}", f"close_ema_{b}") for a, b in ((5, 20), (20, 60))}
     out |= {"adx_14": F.col("adx_14") / 100, "adx_5_20": _log("adx_5", "adx_20"), "adx_20_60": _log("adx_20", "adx_60")}
@@ -207,7 +287,7 @@ def trend(bars: DataFrame, by: str = "ticker", time: str = "bar_date", chunk: in
     return got.select(by, time, *[c.alias(n) for n, c in out.items()])
 
 
-def classic(bars: DataFrame, by: str = "ticker", time: str = "bar_date", chunk: int = CHUNK) -> DataFrame:
+def classic(bars: DataFrame, by: str = "ticker", time: str = "bar_date", chunk: int = CHUNK, counted: DataFrame | None = None) -> DataFrame:
     """by, time, RSI and its place in its last 14 values, MACD and its signal, directional indicators of 20, ATR of 14, EMAs of 3, 9 and 21."""
     averages = {f"ema_{n}": ema("close", n) for n in (3, 9, 12, 21, 26)} | {"up_14": wilder("gain", 14), "down_14": wilder("loss", 14), "atr_14": wilder("tr", 14)}
     both = F.col("up_14") + F.col("down_14")
@@ -215,13 +295,20 @@ def classic(bars: DataFrame, by: str = "ticker", time: str = "bar_date", chunk:
     def further(df: DataFrame) -> DataFrame:
         return df.withColumns({"macd": F.col("ema_12") - F.col("ema_26"), "rsi_14": F.when(both > 0, 100 * F.col("up_14") / both).when(both.isNotNull(), 0.0)})
 
-    got = _directional(moves(bars, by, time, chunk), (20,), averages, further, {"macd_signal": ema("macd", 9)}, by, chunk)
+    def stochastic(r: np.ndarray, place: np.ndarray) -> np.ndarray:
+        low, high = smallest(r, 14, 1)[0], -smallest(-r, 14, 1)[0]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where((place >= 13) & (high > low), (r - low) / (high - low), np.nan)
+
+    def whole_further(found: dict[str, np.ndarray], place: np.ndarray) -> dict[str, np.ndarray]:
+        up, both = found["up_14"], found["up_14"] + found["down_14"]
+        rsi = np.where(both > 0, 100 * up / both, np.where(np.isnan(both), np.nan, 0.0))
+        return {"macd": found["ema_12"] - found["ema_26"], "rsi_14": rsi, "stoch_rsi": stochastic(rsi, place)}
 
-    def stochastic(table: pa.Table, halo: int) -> pa.Table:
-        r = pd.Series(table.column("rsi_14").to_numpy(zero_copy_only=False))
-        low, high = r.rolling(14).min(), r.rolling(14).max()
-        x = ((r - low) / (high - low).where(high > low)).to_numpy()
-        return table.slice(halo).append_column("stoch_rsi", pa.array(x[halo:], pa.float64(), from_pandas=True))
+    def last(df: DataFrame) -> DataFrame:
+        kernel = lambda table, place: table.append_column("stoch_rsi", pa.array(stochastic(_values(table, "rsi_14"), place), pa.float64(), from_pandas=True))
+        return by_chunks(df, [by], kernel, StructType([*df.schema.fields, StructField("stoch_rsi", DoubleType())]), 13, chunk)
 
-    rows = got.select(by, time, "position", "rsi_14", "macd", "macd_signal", F.col("pdi_20").alias("plus_di_20"), F.col("mdi_20").alias("minus_di_20"), "adx_20", "atr_14", "ema_3", "ema_9", "ema_21")
-    return by_chunks(rows, [by], stochastic, StructType([*rows.schema.fields, StructField("stoch_rsi", DoubleType())]), 13, chunk).drop("position")
+    names = ["rsi_14", "stoch_rsi", "macd", "macd_signal", "pdi_20", "mdi_20", "adx_20", "atr_14", "ema_3", "ema_9", "ema_21"]
+    got = _directional(bars, (20,), averages, further, whole_further, {"macd_signal": ema("macd", 9)}, names, by, time, chunk, counted, last)
+    return got.select(by, time, "rsi_14", "macd", "macd_signal", F.col("pdi_20").alias("plus_di_20"), F.col("mdi_20").alias("minus_di_20"), "adx_20", "atr_14", "ema_3", "ema_9", "ema_21", "stoch_rsi")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.functions.scalars import EPS
 from tickloom.operators.normalize import rolling_normalised, with_rolling_z
+from tickloom.operators.scan import by_series
+from tickloom.operators.sliding import counts, ordered_sums
 from tickloom.operators.windows import diff, ordered, rolling
 
 
@@ -15,10 +20,21 @@ def _series(name: Column | None = None):
     return Window.orderBy("bar_date")
 
 
-def breadth(rows: DataFrame, value: str, spans: tuple[int, ...] = (5, 20, 60, 200), by: str = "ticker") -> DataFrame:
-    """Share of tickers whose sum of value over the last n rows is above 0, per date."""
-    w = ordered(by, "bar_date")
-    sums = rows.select("bar_date", *[rolling("sum", F.col(value), w, n).alias(f"s{n}") for n in spans])
+def breadth(rows: DataFrame, value: str, spans: tuple[int, ...] = (5, 20, 60, 200), by: str = "ticker", counted: DataFrame | None = None) -> DataFrame:
+    """Share of tickers whose sum of value over the last n rows is above 0, per date. Sums are added up in order, so that their signs do not depend on how windows are cut; counted: as in scan.split()."""
+
+    def kernel(table: pa.Table, place: np.ndarray) -> pa.Table:
+        column = table.column("__x")
+        known = column.is_valid().to_numpy()
+        x = np.where(known, column.to_numpy(), 0.0)
+        for n in spans:
+            with np.errstate(invalid="ignore"):
+                table = table.append_column(f"s{n}", pa.array(ordered_sums(x, n), pa.float64(), mask=(place < n - 1) | (counts(known, n) < n)))
+        return table
+
+    wanted = rows.select(by, "bar_date", F.col(value).cast("double").alias("__x"))
+    schema = StructType([*wanted.schema.fields, *[StructField(f"s{n}", DoubleType()) for n in spans]])
+    sums = by_series(wanted, [by], ["bar_date"], kernel, schema, max(spans) - 1, counted=counted)
     return sums.groupBy("bar_date").agg(*[F.avg((F.col(f"s{n}") > 0).cast("double")).alias(f"breadth_{n}d") for n in spans])
 
 

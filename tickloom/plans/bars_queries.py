@@ -18,7 +18,7 @@ from tickloom.operators import regime as R
 from tickloom.operators import windows as W
 from tickloom.operators.rollup import coarser, live_view, rollup
 from tickloom.plans.registry import query
-from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, TICKS_SQL, daily_bars, hourly_bars, table, ticks
+from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, TICKS_SQL, daily_bars, hourly_bars, table, ticks, trades
 
 BARS = f"WITH {DAILY_BARS_SQL}"
 HOURS = f"WITH {HOURLY_BARS_SQL}"
@@ -550,8 +550,7 @@ def _sd(n: int) -> str:
     "volatility_5_20_ratio volatility_20_60_ratio volatility_60_252_ratio volatility_15", 4,
 )
 def volatility_features(spark, sf_dir):
-    made = FT.with_volatility(daily_bars(spark, sf_dir).select("ticker", "bar_date", "close"), W.ordered("ticker", "bar_date"))
-    return made.drop("close")
+    return FT.with_volatility(daily_bars(spark, sf_dir).select("ticker", "bar_date", "close"), counted=trades(spark, sf_dir)).drop("close")
 
 
 @query(
@@ -625,9 +624,9 @@ BAR_FEATURES = {
     " ".join(BAR_FEATURES), 5,
 )
 def rolling_z_features(spark, sf_dir):
-    """22 columns against their last 252 rows, in one pass of a sorted window a column."""
+    """22 columns against their last 252 rows, in one pass over the rows."""
     features = daily_bars(spark, sf_dir).selectExpr("ticker", "bar_date", *[f"{e} AS {n}" for n, e in BAR_FEATURES.items()])
-    return OS.rolling_scores(features, list(BAR_FEATURES))
+    return OS.rolling_scores(features, list(BAR_FEATURES), counted=trades(spark, sf_dir))
 
 
 @query(
@@ -682,8 +681,9 @@ def train_fitted_scaler(spark, sf_dir):
 )
 def market_breadth(spark, sf_dir):
     """Share of tickers that rose over n days."""
+    bars = daily_bars(spark, sf_dir)
     r = F.ln(F.col("close") / F.lag("close").over(W.ordered("ticker", "bar_date")))
-    return R.breadth(daily_bars(spark, sf_dir).select("ticker", "bar_date", r.alias("r")), "r")
+    return R.breadth(bars.select("ticker", "bar_date", r.alias("r")), "r", counted=trades(spark, sf_dir))
 
 
 _LEGS = "legs AS (SELECT a.bar_date, ln(a.close / (b.close + 1e-8)) AS x FROM bars a JOIN bars b USING (bar_date) WHERE a.ticker = '1' AND b.ticker = '2')"

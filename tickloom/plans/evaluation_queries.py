@@ -15,7 +15,7 @@ from tickloom.operators import simulator as SIM
 from tickloom.operators import windows as W
 from tickloom.plans.registry import query
 from tickloom.session import shared_folder
-from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, daily_bars, hourly_bars, table
+from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, daily_bars, hourly_bars, table, trades
 
 BARS = f"WITH {DAILY_BARS_SQL}"
 HOURS = f"WITH {HOURLY_BARS_SQL}"
@@ -299,7 +299,7 @@ _TREND_OUT = (
 )
 def trend_indicators(spark, sf_dir):
     """EMA and ADX features: recursive averages by scans over chunks."""
-    return RC.trend(daily_bars(spark, sf_dir))
+    return RC.trend(daily_bars(spark, sf_dir), counted=trades(spark, sf_dir))
 
 
 _CLASSIC = {f"ema_{n}": _of_ema("close", n) for n in (3, 9, 12, 21, 26)} | {"up_14": _of_wilder("gain", 14, 1), "down_14": _of_wilder("loss", 14, 1), "atr_14": _of_wilder("tr", 14, 1)}
@@ -314,7 +314,7 @@ _RSI = ", ema_12 - ema_26 AS macd, CASE WHEN up_14 + down_14 > 0 THEN 100 * up_1
     "rsi_14 macd macd_signal plus_di_20 minus_di_20 adx_20 atr_14 ema_3 ema_9 ema_21 stoch_rsi", 5,
 )
 def classic_indicators(spark, sf_dir):
-    return RC.classic(daily_bars(spark, sf_dir))
+    return RC.classic(daily_bars(spark, sf_dir), counted=trades(spark, sf_dir))
 
 
 # ---- sinks and vectors

@@ -23,7 +23,7 @@ from tickloom.session import shared_folder
 from tickloom.sources import bars as B
 from tickloom.sources import sinks as K
 from tickloom.sources import vendor as V
-from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, daily_bars, hourly_bars, table, ticks
+from tickloom.sources.tables import DAILY_BARS_SQL, HOURLY_BARS_SQL, daily_bars, hourly_bars, table, ticks, trades
 
 BARS = f"WITH {DAILY_BARS_SQL}"
 HOURS = f"WITH {HOURLY_BARS_SQL}"
@@ -345,6 +345,6 @@ def daily_pipeline(spark, sf_dir):
     """The daily flow: gates on history and jumps, window features, normalisation over time, then across the universe."""
     from tickloom.plans.flows import daily_flow
 
-    return daily_flow(daily_bars(spark, sf_dir), ["intraday_return", "volume_log", "log_return_20"], ["volume_log"], least_rows=520, jump=6.5, n=60).select(
+    return daily_flow(daily_bars(spark, sf_dir), ["intraday_return", "volume_log", "log_return_20"], ["volume_log"], least_rows=520, jump=6.5, n=60, counted=trades(spark, sf_dir)).select(
         "ticker", F.col("bar_date").cast("string").alias("day"), "intraday_return", "volume_log", "log_return_20", "volume_log_cs_zscore"
     )

@@ -21,6 +21,11 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticker of every trade that daily_bars() are made of: no ticker has more bars, and counting these needs no bars."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"))
+
+
 DAILY_BARS_SQL = """bars AS (
   SELECT ticker, bar_date, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close, sum(q) AS volume, count(*) AS transactions
   FROM (SELECT cast(l_suppkey AS varchar) AS ticker, cast(l_shipdate AS date) AS bar_date, l_extendedprice / l_quantity AS p,
