@@ -59,11 +59,11 @@ def json_round_trip(spark, sf_dir):
 
 @query(f"{BARS} SELECT ticker, CAST(epoch_us(bar_date) AS BIGINT) AS at, open, high, low, close, CAST(volume AS DOUBLE) AS volume, (high + low + close) / 3 AS vwap FROM bars", "open high low close volume vwap")
 def json_ticker_bars(spark, sf_dir):
-    """JSON array files of a ticker's bars, read with a given schema; the ticker comes from the folder."""
+    """JSON arrays of a ticker's bars of a year, many a file, read with a given schema."""
     path = _folder(spark, "jsonbars")
     bars = daily_bars(spark, sf_dir).withColumns({"timestamp": F.col("bar_date").cast("timestamp"), "vwap": (F.col("high") + F.col("low") + F.col("close")) / 3})
     K.write_json_bars(bars.select("ticker", "timestamp", "open", "high", "low", "close", "transactions", F.col("volume").cast("double"), "vwap"), path)
-    return B.json_bars(spark, path).select("ticker", F.unix_micros("timestamp").alias("at"), "open", "high", "low", "close", "volume", "vwap")
+    return B.json_bars(spark, path, lines=True).select("ticker", F.unix_micros("timestamp").alias("at"), "open", "high", "low", "close", "volume", "vwap")
 
 
 @query(f"{BARS} SELECT ticker, avg(close) AS mean, count(*) AS n FROM bars WHERE bar_date >= DATE '1997-01-01' AND volume > 20 GROUP BY ticker", "mean")
@@ -89,10 +89,10 @@ def table_statistics(spark, sf_dir):
 
 @query(f"{BARS} SELECT ticker, CAST(bar_date AS VARCHAR) AS day, close FROM bars WHERE ticker IN ('3', '7')", "close")
 def ticker_folders(spark, sf_dir):
-    """One folder a ticker; a filter on the ticker reads its folders only."""
+    """A folder a hash of tickers; of tickers asked for only their folders are read."""
     path = _folder(spark, "tickers")
     K.write_features(daily_bars(spark, sf_dir).select("ticker", "bar_date", "close"), path)
-    return spark.read.schema("bar_date date, close double, ticker string").parquet(path).where(F.col("ticker").isin("3", "7")).select("ticker", F.col("bar_date").cast("string").alias("day"), "close")
+    return K.read_features(spark, path, "ticker string, bar_date date, close double", ["3", "7"]).select("ticker", F.col("bar_date").cast("string").alias("day"), "close")
 
 
 @query(f"{BARS} SELECT ticker, CAST(bar_date AS VARCHAR) AS day, close FROM bars", "close")
