@@ -7,7 +7,7 @@ import os
 import uuid
 from datetime import date, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,26 +188,37 @@ def streamed_bars(spark, sf_dir):
 def _pages(rows, folder: str, name: str, size: int) -> None:
     """Writes pages as a vendor serves them below a folder that all tasks share: {name}-{k}.json of `size` records, each with the next one's name.
 
-    rows: name, at (place of the record, from 0), record (JSON). A page is written by the task that has its records.
+    rows: name, at (place of the record, from 0), record (JSON). A page is written by the task that has its records; a task has many, one after another.
     """
     os.makedirs(folder.removeprefix("file://"), exist_ok=True)
 
-    def write(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("at")
-        who, k, last = page["name"].iloc[0], int(page["at"].iloc[0]) // size, bool(page["last"].max())
-        records = ",".join(page["record"])
+    def write(who: str, k: int, records: list[str], last: bool) -> int:
         with open(f"{folder.removeprefix('file://')}/{who}-{k}.json", "w") as f:
-            f.write(f'{{"results":[{records}],"next_url":{"null" if last else json.dumps(f"{who}-{k + 1}.json")}}}')
-        return pd.DataFrame({"n": [len(page)]})
+            f.write(f'{{"results":[{",".join(records)}],"next_url":{"null" if last else json.dumps(f"{who}-{k + 1}.json")}}}')
+        return len(records)
+
+    def run(batches):
+        held, key, n, end = [], None, 0, False
+        for batch in batches:
+            for who, k, record, last in zip(*(batch.column(c).to_pylist() for c in ("name", "page", "record", "last")), strict=True):
+                if (who, k) != key and held:
+                    n += write(*key, held, end)
+                    held, end = [], False
+                key = who, k
+                held.append(record)
+                end |= last
+        if held:
+            n += write(*key, held, end)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     ends = rows.groupBy("name").agg(F.max("at").alias("end"))
-    marked = rows.join(ends, "name").withColumn("last", F.col("at") == F.col("end"))
-    marked.groupBy("name", F.floor(F.col("at") / size)).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    marked = rows.join(ends, "name").select("name", F.floor(F.col("at") / size).alias("page"), "at", "record", (F.col("at") == F.col("end")).alias("last"))
+    marked.repartition("name", "page").sortWithinPartitions("name", "page", "at").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 @query(f"{BARS} SELECT ticker, bar_date, close, volume FROM bars WHERE bar_date >= DATE '1996-01-01'", "close volume")
 def paged_bars(spark, sf_dir):
-    """Bars read page by page as a vendor serves them, a partition a batch of tickers; the date filter goes with the request."""
+    """Bars read page by page as a vendor serves them, a request a ticker and a partition many requests; the date filter goes with the request."""
     folder = _folder(spark, "pages")
     bars = daily_bars(spark, sf_dir).select("ticker", "bar_date", "close", F.col("volume").cast("double"))
     at = F.row_number().over(Window.partitionBy("ticker").orderBy("bar_date")) - 1

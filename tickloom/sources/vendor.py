@@ -3,7 +3,7 @@
     spark.dataSource.register(VendorSource)
     spark.read.format("vendor").schema(SPLITS).option("url", "https://host/splits?ticker={tickers}&gte={start}").option("tickers", "A,B").load()
 
-Batch: tickers are dealt into partitions of `batch`, so pages are fetched by executors side by side. A page is a JSON object with
+Batch: a request asks for `batch` tickers; requests are dealt into partitions (dealt()), so pages are fetched by executors side by side. A page is a JSON object with
 `results` and, unless it is the last, `next_url` (absolute, or relative to the page). Failed requests (no answer, half an
 answer, status 429 or 5xx) are tried again, `retries` times, after waits that double; other errors end the query. Filters on
 `ticker` leave out tickers before anything is fetched, filters on the date column fill {start} and {end}; Spark applies
@@ -36,6 +36,8 @@ from pyspark.sql.types import DateType, StructType, TimestampNTZType, TimestampT
 AGGREGATES = "ticker string, timestamp bigint, open double, high double, low double, close double, transactions bigint, volume double, vwap double"
 SPLITS = "ticker string, execution_date date, split_from double, split_to double"
 EVENTS = "current_ticker string, names array<struct<date: date, name: string>>"
+#: The most requests of a partition, and how many partitions there are before they get more than one.
+REQUESTS, SIDE_BY_SIDE = 128, 64
 FLOOR, CEILING = "0001-01-01", "9999-12-31"
 
 
@@ -93,6 +95,12 @@ class _Options:
         self.how = {"token": options.get("token", ""), "retries": int(options.get("retries", 5)), "wait": float(options.get("wait", 0.5)), "timeout": float(options.get("timeout", 30))}
 
 
+def dealt(requests: list) -> list[InputPartition]:
+    """Partitions of requests that follow each other: one each while they are few, up to REQUESTS where there are many, which a task makes one after another."""
+    size = max(1, min(REQUESTS, len(requests) // SIDE_BY_SIDE))
+    return [InputPartition(requests[k : k + size]) for k in range(0, len(requests), size)]
+
+
 class VendorReader(_Options, DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         super().__init__(schema, options)
@@ -114,14 +122,13 @@ class VendorReader(_Options, DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         size = int(self.options.get("batch", 100))
-        return [InputPartition(self.tickers[k : k + size]) for k in range(0, len(self.tickers), size)]
+        return dealt([self.tickers[k : k + size] for k in range(0, len(self.tickers), size)])
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.value:
-            return
-        names = urllib.parse.quote(",".join(partition.value), safe=",")
-        for records in pages(self.options["url"].format(tickers=names, start=self.start, end=self.end), **self.how):
-            yield from _arrow(records, self.schema)
+        for batch in partition.value or []:
+            names = urllib.parse.quote(",".join(batch), safe=",")
+            for records in pages(self.options["url"].format(tickers=names, start=self.start, end=self.end), **self.how):
+                yield from _arrow(records, self.schema)
 
 
 class VendorStream(_Options, DataSourceStreamReader):
@@ -141,15 +148,15 @@ class VendorStream(_Options, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         low, high = start["n"], end["n"]
         self.at = high
-        return [InputPartition((s, max(low, s * self.size), min(high, (s + 1) * self.size))) for s in range(low // self.size, -(-high // self.size))]
+        return dealt([(s, max(low, s * self.size), min(high, (s + 1) * self.size)) for s in range(low // self.size, -(-high // self.size))])
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        segment, low, high = partition.value
-        page = fetched(self.options["url"].format(segment=segment), **self.how)["results"]
-        records = page[low - segment * self.size : high - segment * self.size]
-        if len(records) != high - low:
-            raise ValueError(f"segment {segment} has lost messages {low} to {high}")
-        return _arrow(records, self.schema)
+        for segment, low, high in partition.value:
+            page = fetched(self.options["url"].format(segment=segment), **self.how)["results"]
+            records = page[low - segment * self.size : high - segment * self.size]
+            if len(records) != high - low:
+                raise ValueError(f"segment {segment} has lost messages {low} to {high}")
+            yield from _arrow(records, self.schema)
 
     def commit(self, end: dict) -> None:
         self.at = end["n"]
