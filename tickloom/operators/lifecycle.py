@@ -92,12 +92,14 @@ def suspect_renames(renames: DataFrame, splits: DataFrame) -> DataFrame:
 def stitched(bars: DataFrame, renames: DataFrame) -> DataFrame:
     """Bars under current names: rows of previous names before the change, of the current one from the last change on."""
     last = renames.groupBy("current_ticker").agg(F.max("change_date").alias("since"))
-    own = bars.join(last, bars["ticker"] == last["current_ticker"], "left").where("since is null or bar_date >= since").select(bars["*"])
+    joined = bars.join(last, bars["ticker"] == last["current_ticker"], "left")
+    alone = joined.where("since is null").select(bars["*"])  # no old rows come to these: they need no place
+    own = joined.where("bar_date >= since").select(bars["*"])
     old = bars.join(renames, bars["ticker"] == renames["previous_ticker"]).where("bar_date < change_date")
     moved = old.select(*[F.col("current_ticker").alias("ticker") if c == "ticker" else bars[c] for c in bars.columns])
     pick = Window.partitionBy("ticker", "bar_date").orderBy("__rank")
     both = own.withColumn("__rank", F.lit(0)).unionByName(moved.withColumn("__rank", F.lit(1)))
-    return both.withColumn("__n", F.row_number().over(pick)).where("__n = 1").drop("__n", "__rank")
+    return alone.unionByName(both.withColumn("__n", F.row_number().over(pick)).where("__n = 1").drop("__n", "__rank"))
 
 
 def aliases(renames: DataFrame) -> DataFrame:

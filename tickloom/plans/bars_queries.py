@@ -415,7 +415,7 @@ def stitched_tickers(spark, sf_dir):
     renames = spark.createDataFrame(days, "current_ticker string, previous_ticker string, change_date string").withColumn("change_date", F.to_date("change_date"))
     out = L.stitched(bars.withColumn("source", F.col("ticker")), renames)
     every = bars.join(renames, bars["ticker"] == renames["previous_ticker"]).where("bar_date < change_date").groupBy(F.col("current_ticker").alias("ticker"), "bar_date").agg(F.count("*").alias("olds"))
-    got = out.join(every, ["ticker", "bar_date"], "left")
+    got = out.join(F.broadcast(every), ["ticker", "bar_date"], "left")  # the bars of three tickers at most
     own = F.col("source") == F.col("ticker")
     return got.select("ticker", "bar_date", F.when(own, 0).otherwise(1).alias("rank"), (F.coalesce("olds", F.lit(0)) + own.cast("int") > 1).alias("several"))
 
